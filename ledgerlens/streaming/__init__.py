@@ -1,0 +1,7 @@
+"""Streaming: intentionally empty.
+
+The audit analytics read whole ledger extracts; none of them has a
+watermark, an event-time window or per-key state, so there is no streaming
+operator to build.  A new extract is processed by re-running the batch
+plans in ``ledgerlens.plans``.
+"""
