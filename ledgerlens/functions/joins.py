@@ -48,9 +48,12 @@ def nullsafe_join(
 def broadcast_if_small(df: DataFrame, max_rows: int | None = None) -> DataFrame:
     """Broadcast ``df`` only after checking it has at most ``max_rows`` rows.
 
-    The check reads at most ``max_rows + 1`` rows.  A larger side is returned
-    unhinted, so Spark shuffles it (and AQE may still broadcast it at run
-    time from measured sizes).
+    The check is a job that reads at most ``max_rows + 1`` rows; a larger side
+    is returned unhinted and shuffled.  Lookup joins in the library do not
+    call this: they leave the choice to Spark, whose planner broadcasts only
+    sides whose estimated size is under ``spark.sql.autoBroadcastJoinThreshold``
+    and whose AQE re-plans from measured sizes.  Use it where an explicit
+    hint is wanted.
     """
     if max_rows is None:
         max_rows = int(
@@ -63,22 +66,17 @@ def broadcast_if_small(df: DataFrame, max_rows: int | None = None) -> DataFrame:
 def full_outer_nullsafe(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
     """Full outer join on null-safe keys with the keys merged into one column.
 
-    Written as inner + left-only + right-only.  Each part is a join type whose
-    hot partitions AQE can split (a full outer join's cannot), and Spark
-    reuses each side's shuffle across the parts, so inputs are shuffled once.
+    One sort-merge (or shuffled hash) join: each side is shuffled once on the
+    keys.  AQE cannot split a hot key of a full outer join; a key with m rows
+    on one side and n on the other yields m x n rows by definition.
     """
     left_rest = [c for c in left.columns if c not in keys]
     right_rest = [c for c in right.columns if c not in keys]
     clash = set(left_rest) & set(right_rest)
     if clash:
         raise ValueError(f"non-key columns on both sides: {sorted(clash)}")
-    order = keys + left_rest + right_rest
-    both = nullsafe_join(left, right, keys, "inner")
-    left_only = nullsafe_join(left, right, keys, "left_anti")
-    right_only = nullsafe_join(right, left, keys, "left_anti")
-    return (
-        both.select(order)
-        .unionByName(left_only, allowMissingColumns=True)
-        .unionByName(right_only, allowMissingColumns=True)
-        .select(order)
-    )
+    tmp = {k: f"__rk{i}_{k}" for i, k in enumerate(keys)}
+    r = right.withColumnsRenamed(tmp)
+    cond = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(tmp[k])) for k in keys])
+    merged = [F.coalesce(F.col(k), F.col(tmp[k])).alias(k) for k in keys]
+    return left.join(r, cond, "full").select(*merged, *left_rest, *right_rest)

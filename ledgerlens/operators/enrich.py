@@ -1,8 +1,9 @@
 """Lookups that build the analysed tables (O1 invoice file, O3 PO file, O16 AR listing).
 
 Every lookup is a left join on null-safe keys (a missing key matches a
-missing key, as in the original merges).  Lookups whose row count is checked
-to be small are broadcast; bigger ones are shuffled and left to AQE.
+missing key, as in the original merges).  No broadcast hints: Spark
+broadcasts a lookup only when its size estimate is under the broadcast
+threshold (AQE re-checks measured sizes); a large vendor master is shuffled.
 """
 
 from __future__ import annotations
@@ -10,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 from ledgerlens import schemas as S
-from ledgerlens.functions.joins import broadcast_if_small, full_outer_nullsafe, nullsafe_join
+from ledgerlens.functions.joins import full_outer_nullsafe, nullsafe_join
 
 
 def _suffix_clashes(right: DataFrame, left_cols: list[str], keys: list[str], suffix: str) -> DataFrame:
@@ -20,9 +21,9 @@ def _suffix_clashes(right: DataFrame, left_cols: list[str], keys: list[str], suf
 
 
 def lookup_left(left: DataFrame, lookup: DataFrame, keys: list[str], suffix: str) -> DataFrame:
-    """Left join of a lookup table on null-safe keys, broadcast when checked small."""
+    """Left join of a lookup table on null-safe keys (join strategy left to Spark)."""
     lookup = _suffix_clashes(lookup, left.columns, keys, suffix)
-    return nullsafe_join(left, broadcast_if_small(lookup), keys, "left")
+    return nullsafe_join(left, lookup, keys, "left")
 
 
 def invoice_file(bsak: DataFrame, lfa1: DataFrame, t001: DataFrame) -> DataFrame:
@@ -40,8 +41,9 @@ def po_file(rseg: DataFrame, ekpo: DataFrame, ekbe: DataFrame) -> DataFrame:
     """O3: PO lines with invoice receipts and PO history, full outer on (PO, item).
 
     A PO item with m receipts and n history rows gives m x n rows, as the
-    original merge does.  The analytics never need this table (they read the
-    (vendor, reference) pairs of the history alone, see ``payables.po_pairs``).
+    original merge does, so a hot PO item is inherently expensive here.  The
+    analytics never build this table: they read the distinct (vendor,
+    reference) pairs of the history alone (see ``payables.po_pairs``).
     """
     keys = [S.PO_NUM, S.PO_ITEM]
     return full_outer_nullsafe(full_outer_nullsafe(rseg, ekpo, keys), ekbe, keys)

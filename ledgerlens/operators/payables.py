@@ -254,7 +254,9 @@ def recurrence_profile(sundry: DataFrame, order: str = "document", absolute: boo
         F.count(F.lit(1)).alias("run_count"),
         F.max("run_length").cast("int").alias("max_consecutive_weeks"),
     )
-    months = seq.groupBy(*keys).agg(F.countDistinct("month").alias("month_count"))
+    # Distinct months per group, from the materialised scan when it has them.
+    month_src = runs if order == "document" else seq
+    months = month_src.groupBy(*keys).agg(F.countDistinct("month").alias("month_count"))
     stats = per_group.join(months, keys)
     if order == "document":
         rows = runs.select(

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from ledgerlens import schemas as S
 from ledgerlens.functions.dates import age_bucket, outstanding_days
-from ledgerlens.functions.joins import broadcast_if_small, nullsafe_join
+from ledgerlens.functions.joins import nullsafe_join
 from ledgerlens.functions.money import money, sum0
 from ledgerlens.functions.nullsafe import ne_keep_null
 
@@ -69,8 +69,7 @@ def document_balances(
         .where(F.col("_sh"))
     )
     if fan_out and knkk is not None:
-        mult = broadcast_if_small(_credit_multiplicity(knkk))
-        agg = agg.join(mult, S.CUST, "left")
+        agg = agg.join(_credit_multiplicity(knkk), S.CUST, "left")
         k = F.coalesce(F.col("_areas"), F.lit(1))
     else:
         k = F.lit(1)
@@ -123,7 +122,7 @@ def ar_aging_by_customer(
     )
     attrs = nullsafe_join(pairs, knkk.select(S.CUST, S.LIMIT, S.AREA), [S.CUST], "left")
     attrs = nullsafe_join(
-        attrs, broadcast_if_small(t001.select(S.COMPANY, S.COMPANY_NAME, S.LOC_CUR)), [S.COMPANY], "left"
+        attrs, t001.select(S.COMPANY, S.COMPANY_NAME, S.LOC_CUR), [S.COMPANY], "left"
     ).select(S.CUST, S.COMPANY, S.COMPANY_NAME, S.LOC_CUR, S.LIMIT, S.AREA).distinct()
     return (
         by_cust.join(attrs, S.CUST, "left")

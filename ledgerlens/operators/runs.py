@@ -18,7 +18,8 @@ group over many partitions, and scanned in three distributed steps:
    broadcast;
 3. rows of each partition's leading group segment add their carry.
 
-The scanned rows are checkpointed so both uses read the same partitioning.
+The scanned rows are written once under the checkpoint folder, so both uses
+read the same rows and the lineage is cut.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ledgerlens.session import checkpoint
+from ledgerlens.session import materialize
 
 POSITION = "position"
 RUN_INDEX = "run_index"
@@ -170,7 +171,7 @@ def consecutive_runs(
             T.StructField(_LEAD, T.BooleanType(), False),
         ]
     )
-    scanned = checkpoint(ranged.mapInPandas(_local_scan(group_cols, value_col), out_schema))
+    scanned = materialize(ranged.mapInPandas(_local_scan(group_cols, value_col), out_schema), "runs")
 
     first = [F.min_by(F.col(c), F.col(_LOC)).alias(f"_f{i}") for i, c in enumerate(group_cols)]
     last = [F.max_by(F.col(c), F.col(_LOC)).alias(f"_l{i}") for i, c in enumerate(group_cols)]

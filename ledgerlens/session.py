@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -74,3 +75,17 @@ def checkpoint(df: DataFrame) -> DataFrame:
     """Reliable, eager checkpoint: survives executor loss and cuts lineage."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def materialize(df: DataFrame, label: str = "stage") -> DataFrame:
+    """Write ``df`` once as Parquet under the checkpoint folder and read it back.
+
+    Like a reliable checkpoint (the result survives executor loss and the
+    lineage is cut), but computed in a single job: an eager ``checkpoint()``
+    of an unpersisted plan computes it twice, once to count and once to save.
+    """
+    spark = df.sparkSession
+    base = ensure_checkpoint_dir(spark).rstrip("/")
+    path = f"{base}/ledgerlens/{label}-{uuid.uuid4().hex}"
+    df.write.mode("error").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -161,22 +161,43 @@ def _po_line_fields(li: DataFrame) -> list[Column]:
     return fields
 
 
-def po_lines_from_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
+def po_lines_from_lineitem(spark: SparkSession, sf_dir: str, partitions: int | None = None) -> DataFrame:
     """Raw extract lines derived from every line item, damaged the way the
     real extract is: by line number mod 4, 1 -> cells 5 and 6 merged (28
     fields), 2 -> cells 5-7 merged with an empty middle (27 fields), 3 ->
-    1-4 extra cells after cell 5 (30-33 fields), 0 -> intact."""
-    li = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
-    f = _po_line_fields(li)
-    kind = F.col("l_linenumber") % 4
+    1-4 extra cells after cell 5 (30-33 fields), 0 -> intact.
+
+    The lines are spread over ``partitions`` (default: the shuffle
+    partitions), as a large extract file is read in many splits.
+    """
+    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    li = (
+        spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+        .select(
+            "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_returnflag",
+            "l_linestatus", "l_shipdate", "l_extendedprice", "l_discount", "l_tax",
+        )
+        .repartition(n)
+    )
+    names = [f"f{i}" for i in range(S.EKPO_FIELD_COUNT)]
+    # Fields first, as columns: the damaged variants then reference columns
+    # instead of repeating 29 field expressions in every branch.
+    fl = li.select(
+        *[c.alias(n) for c, n in zip(_po_line_fields(li), names)],
+        (F.col("l_linenumber") % 4).alias("_kind"),
+        (F.col("l_orderkey") % 4 + 1).cast("int").alias("_extra"),
+    )
+    f = [F.col(n) for n in names]
+    kind = F.col("_kind")
     q = F.lit('"')
     merged2 = F.concat(q, f[5], F.lit('"",'), f[6], F.lit('"""'))
     merged3 = F.concat(q, f[5], F.lit('"",x,'), f[7], F.lit('"""'))
-    extra = F.array_join(F.array_repeat(F.lit("x"), (F.col("l_orderkey") % 4 + 1).cast("int")), ",")
-    line = (
-        F.when(kind == 1, F.concat_ws(",", *f[:5], merged2, *f[7:]))
-        .when(kind == 2, F.concat_ws(",", *f[:5], merged3, *f[8:]))
-        .when(kind == 3, F.concat_ws(",", *f[:6], extra, *f[6:]))
-        .otherwise(F.concat_ws(",", *f))
+    extra = F.array_join(F.array_repeat(F.lit("x"), F.col("_extra")), ",")
+    head = F.concat_ws(",", *f[:5])
+    cells = (
+        F.when(kind == 1, F.concat_ws(",", merged2, *f[7:]))
+        .when(kind == 2, F.concat_ws(",", merged3, *f[8:]))
+        .when(kind == 3, F.concat_ws(",", f[5], extra, *f[6:]))
+        .otherwise(F.concat_ws(",", *f[5:]))
     )
-    return li.select(line.alias("value"))
+    return fl.select(F.concat_ws(",", head, cells).alias("value"))
