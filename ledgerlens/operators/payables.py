@@ -111,7 +111,11 @@ def sundry_invoices(eligible: DataFrame, pairs: DataFrame) -> DataFrame:
 
 def vendors_paid_both_ways(eligible: DataFrame, pairs: DataFrame) -> DataFrame:
     """O7 (Task 1): every eligible line of vendors with both PO-paid and sundry lines."""
-    flagged = flag_po_paid(eligible, pairs)
+    return vendors_paid_both_ways_flagged(flag_po_paid(eligible, pairs))
+
+
+def vendors_paid_both_ways_flagged(flagged: DataFrame) -> DataFrame:
+    """O7 on lines already carrying ``is_po_paid``."""
     both = vendor_flags(flagged).where(F.col(HAS_PO) & F.col(HAS_SUNDRY)).select(S.VENDOR)
     return nullsafe_join(flagged, both, [S.VENDOR], "left_semi").select(S.TASK1_COLUMNS)
 
@@ -128,8 +132,12 @@ def invoice_payment_mix(eligible: DataFrame, pairs: DataFrame) -> DataFrame:
     PO-paid lines are deduplicated (they come from an inner merge followed by
     drop-duplicates in the original); sundry lines are not.
     """
-    cols = eligible.columns
-    flagged = flag_po_paid(eligible, pairs)
+    return invoice_payment_mix_flagged(flag_po_paid(eligible, pairs))
+
+
+def invoice_payment_mix_flagged(flagged: DataFrame) -> DataFrame:
+    """O8 on lines already carrying ``is_po_paid``."""
+    cols = [c for c in flagged.columns if c != IS_PO]
     labelled = nullsafe_join(flagged, vendor_flags(flagged), [S.VENDOR], "left").withColumn(
         "type", payment_type(F.col(IS_PO), F.col(HAS_PO), F.col(HAS_SUNDRY))
     )
@@ -319,6 +327,7 @@ __all__ = [
     "flag_po_paid",
     "invoice_frequency",
     "invoice_payment_mix",
+    "invoice_payment_mix_flagged",
     "one_time_vendor_invoices",
     "po_pairs",
     "po_paid_invoices",
@@ -330,4 +339,5 @@ __all__ = [
     "sundry_invoices",
     "vendor_flags",
     "vendors_paid_both_ways",
+    "vendors_paid_both_ways_flagged",
 ]
