@@ -18,8 +18,10 @@ group over many partitions, and scanned in three distributed steps:
    broadcast;
 3. rows of each partition's leading group segment add their carry.
 
-The scanned rows are written once under the checkpoint folder, so both uses
-read the same rows and the lineage is cut.
+The input and the scanned rows are each written once under the checkpoint
+folder: the range partitioner's sampling job and the scan read the written
+input instead of recomputing it, both uses of the scan read the same rows, and
+the lineage is cut.
 """
 
 from __future__ import annotations
@@ -156,8 +158,11 @@ def consecutive_runs(
     n_parts = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     order_exprs = [F.col(c) if isinstance(c, str) else c for c in order_cols]
     sort_keys = [F.col(c) for c in group_cols] + order_exprs
+    # Range partitioning samples its input in a separate job; writing the
+    # input once keeps the upstream plan from being computed twice.
+    src = materialize(df, "runs-input")
     ranged = (
-        df.repartitionByRange(n_parts, *sort_keys)
+        src.repartitionByRange(n_parts, *sort_keys)
         .sortWithinPartitions(*sort_keys)
         .withColumn(_PID, F.spark_partition_id())
     )
