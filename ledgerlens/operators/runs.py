@@ -14,8 +14,8 @@ group over many partitions, and scanned in three distributed steps:
    new group;
 2. one summary row per partition (first and last row) is folded in
    partition order into a carry (position / run offsets) per partition; this
-   table has at most ``spark.sql.shuffle.partitions`` rows, so it is
-   broadcast;
+   table has one row per partition (at most ``spark.sql.shuffle.partitions``),
+   so it is broadcast;
 3. rows of each partition's leading group segment add their carry.
 
 The input and the scanned rows are each written once under the checkpoint
@@ -154,15 +154,15 @@ def consecutive_runs(
     ``order_cols`` must give a total order inside each group (ties would make
     the result depend on the shuffle).  Column expressions are allowed.
     """
-    spark = df.sparkSession
-    n_parts = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     order_exprs = [F.col(c) if isinstance(c, str) else c for c in order_cols]
     sort_keys = [F.col(c) for c in group_cols] + order_exprs
     # Range partitioning samples its input in a separate job; writing the
     # input once keeps the upstream plan from being computed twice.
     src = materialize(df, "runs-input")
+    # Without an explicit count AQE may merge adjacent ranges (order kept).
+    parts = [num_partitions] if num_partitions else []
     ranged = (
-        src.repartitionByRange(n_parts, *sort_keys)
+        src.repartitionByRange(*parts, *sort_keys)
         .sortWithinPartitions(*sort_keys)
         .withColumn(_PID, F.spark_partition_id())
     )

@@ -74,3 +74,10 @@ def test_property_random_groups(spark):
         }
         got, _ = _lengths(spark, groups, rnd.randint(1, 9))
         assert got == {g: count_consec(ws) for g, ws in groups.items()}, trial
+
+
+def test_default_partitioning_with_adaptive_coalescing(spark):
+    rnd = random.Random(5)
+    groups = {f"k{i}": [rnd.randint(0, 5) for _ in range(rnd.randint(1, 40))] for i in range(60)}
+    got, _ = _lengths(spark, groups, None)
+    assert got == {g: count_consec(ws) for g, ws in groups.items()}
