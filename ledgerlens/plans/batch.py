@@ -72,3 +72,47 @@ def receivables_reports(inp: ReceivablesInputs, as_of: _dt.date | str, fan_out:
 def run_reports(reports: dict[str, DataFrame], out_dir: str, fmt: str = "csv") -> dict[str, str]:
     """Write every report under ``out_dir``; returns name -> path."""
     return {name: write_report(df, f"{out_dir.rstrip('/')}/{name}", fmt) for name, df in reports.items()}
+
+
+# File names of the ERP extracts in an extract folder.
+EXTRACT_FILES = {
+    "bsak": "BSAK_BKPF_AltColTitles.csv",
+    "t001": "T001_AltColTitles.csv",
+    "lfa1": "LFA1_AltColTitles.csv",
+    "ekpo": "EKPO_EKKO_AltColTitles.csv",
+    "rseg": "RSEG_RBKP_AltColTitles.csv",
+    "ekbe": "EKBE_AltColTitles.csv",
+    "bsid": "BSID_BKPF_AltColTitles.csv",
+    "knkk": "KNKK_AltColTitles.csv",
+}
+
+
+def run_from_extracts(spark, folder: str, out_dir: str, as_of, fmt: str = "csv", fan_out: bool = True) -> dict[str, str]:
+    """Read the ERP extracts of ``folder`` and write Tasks 1-5 and the
+    dashboard extracts under ``out_dir``.  Missing PO-line / receipt files
+    are allowed (they only add the (null, null) PO pair)."""
+    import os
+
+    from ledgerlens.sources import erp, ragged
+
+    def path(key):
+        return f"{folder.rstrip('/')}/{EXTRACT_FILES[key]}"
+
+    def exists(key):
+        p = path(key)
+        return "://" in p or os.path.exists(p)
+
+    ekpo = ragged.read_ragged_csv(spark, path("ekpo")) if exists("ekpo") else None
+    rseg = erp.read_rseg(spark, path("rseg")) if exists("rseg") else None
+    t001 = erp.read_t001(spark, path("t001"))
+    pin = PayablesInputs(
+        bsak=erp.read_bsak(spark, path("bsak")),
+        lfa1=erp.read_lfa1(spark, path("lfa1")),
+        t001=t001,
+        ekbe=erp.read_ekbe(spark, path("ekbe")),
+        rseg=rseg,
+        ekpo=ekpo,
+    )
+    rin = ReceivablesInputs(bsid=erp.read_bsid(spark, path("bsid")), knkk=erp.read_knkk(spark, path("knkk")), t001=t001)
+    reports = {**payables_reports(pin), **receivables_reports(rin, as_of, fan_out)}
+    return run_reports(reports, out_dir, fmt)

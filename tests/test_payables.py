@@ -140,3 +140,25 @@ def test_one_time_and_single_document_vendors(spark):
     assert single.columns == S.SINGLE_DOC_COLUMNS
     # the two TWOLINES lines differ only in the line number, which O15 does not report
     assert sorted(r[S.VENDOR] for r in single.collect()) == ["ONE", "TWOLINES"]
+
+
+def test_week_order_and_absolute_options(spark):
+    # documents out of week order, with a repeat and a year change
+    rows = [
+        inv("A", "1", doc="1", date=dt.date(2018, 1, 15), amt="2.00"),   # week 3
+        inv("A", "2", doc="2", date=dt.date(2018, 1, 8), amt="2.00"),    # week 2
+        inv("A", "3", doc="3", date=dt.date(2018, 1, 1), amt="2.00"),    # week 1
+        inv("A", "4", doc="4", date=dt.date(2018, 1, 2), amt="2.00"),    # week 1 again
+        inv("A", "5", doc="5", date=dt.date(2018, 12, 31), amt="2.00"),  # week 53
+        inv("A", "6", doc="6", date=dt.date(2019, 1, 7), amt="2.00"),    # week 1 of 2019
+    ]
+    sundry = invoices(spark, rows)
+    doc = [r.run_length for r in sorted(P.consecutive_run_lengths(sundry).collect(), key=lambda r: r.run_index)]
+    assert doc == [1, 1, 1, 1, 1, 1]
+    week = [r.run_length for r in sorted(P.consecutive_run_lengths(sundry, order="week").collect(), key=lambda r: r.run_index)]
+    assert week == [3, 1]                    # distinct weeks 1,2,3 then 53
+    absw = P.consecutive_run_lengths(sundry, order="week", absolute=True).collect()
+    # absolute weeks do not wrap: 2018-12-31 and 2019-01-07 are consecutive weeks
+    assert sorted(r.run_length for r in absw) == [2, 3]
+    prof = P.recurrence_profile(sundry, order="week").collect()
+    assert len(prof) == 6 and {r.times for r in prof} == {6}

@@ -46,3 +46,45 @@ def test_bsid_latin1(spark, tmp_dir):
     ), encoding="latin-1")
     r = erp.read_bsid(spark, p).first()
     assert (r[S.CUST], r["Text"], r[S.DOC_CUR]) == ("0000777", "Gebühr", "EUR")
+
+
+def test_run_from_extract_folder(spark, tmp_dir):
+    from ledgerlens.plans import batch
+
+    folder = os.path.join(tmp_dir, "extracts")
+    os.makedirs(folder)
+    files = {
+        "BSAK_BKPF_AltColTitles.csv": (
+            "Company_Code,Account_Number_of_Vendor_or_Creditor,Accounting_Document_Number,"
+            "Number_of_Line_Item_Within_Accounting_Document,Document_Type,Document_Date_in_Document,"
+            "Reference_Document_Number,Debit_Credit_Indicator,Amount_in_Local_Currency,"
+            "Amount_in_Document_Currency,Currency_Key\n"
+            "0100,V1,1,1,RE,2018-01-01,PO-REF,H,10.00,10.00,USD\n"
+            "0100,V1,2,1,RE,2018-01-08,X,H,5.00,5.00,USD\n"
+            "0100,V1,3,1,RE,2018-01-15,Y,H,5.00,5.00,USD\n"
+            "0100,V2,4,1,RE,2018-02-01,Z,H,7.00,7.00,USD\n"
+        ),
+        "T001_AltColTitles.csv": "Company_Code,Name_of_Company_Code_or_Company,Currency_Key\n0100,Acme,USD\n",
+        "LFA1_AltColTitles.csv": "Account_Number_of_Vendor_or_Creditor,Name_1\nV1,One\nV2,Two\n",
+        "EKBE_AltColTitles.csv": (
+            "Purchasing_Document_Number,Item_Number_of_Purchasing_Document,Vendor_Account_Number,Reference_Document_Number\n"
+            "4500,10,V1,PO-REF\n"
+        ),
+        "BSID_BKPF_AltColTitles.csv": (
+            "Company_Code,Customer_Number,Reference_Document_Number,Debit_Credit_Indicator,"
+            "Amount_in_Local_Currency,Document_Date_in_Document,Currency_Key\n"
+            "0100,C1,R1,S,100.00,2018-08-01,USD\n"
+        ),
+        "KNKK_AltColTitles.csv": "Customer_Number,Credit_Control_Area,Customer_s_credit_limit\nC1,US01,50.00\n",
+    }
+    for name, text in files.items():
+        _write(os.path.join(folder, name), text)
+    out = batch.run_from_extracts(spark, folder, os.path.join(tmp_dir, "out"), as_of="2018-12-01")
+    read = lambda k: spark.read.option("header", True).csv(out[k])
+    assert read("task1").count() == 3          # V1: one PO-paid and two sundry lines
+    assert read("task2").count() == 2
+    assert read("task3").count() == 2          # V1's two sundry documents of 5.00
+    assert [r[S.VENDOR] for r in read("task4").collect()] == ["V2"]
+    t5 = read("task5").collect()
+    assert len(t5) == 1 and t5[0]["Total_Amount_Local_Currency"] == "100.00"
+    assert read("balance_amount").first()["above_limit"] == "above limit"
