@@ -258,13 +258,15 @@ def recurrence_profile(sundry: DataFrame, order: str = "document", absolute: boo
     runs = _runs(seq, order)
     per_run = run_lengths(runs, keys, "week")
     per_group = per_run.groupBy(*keys).agg(
-        F.sum("run_length").alias("times"),
         F.count(F.lit(1)).alias("run_count"),
         F.max("run_length").cast("int").alias("max_consecutive_weeks"),
     )
-    # Distinct months per group, from the materialised scan when it has them.
-    month_src = runs if order == "document" else seq
-    months = month_src.groupBy(*keys).agg(F.countDistinct("month").alias("month_count"))
+    # Documents and distinct months per group, from the document rows (the
+    # materialised scan when it holds them).
+    doc_rows = runs if order == "document" else seq
+    months = doc_rows.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("times"), F.countDistinct("month").alias("month_count")
+    )
     stats = per_group.join(months, keys)
     if order == "document":
         rows = runs.select(
