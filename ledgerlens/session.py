@@ -57,17 +57,19 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the checkpoint folder, choosing a private one only when unset."""
-    sc = spark.sparkContext
-    current = sc.getCheckpointDir()
-    if current:
-        return current
-    conf_dir = spark.conf.get("spark.checkpoint.dir", None)
-    if conf_dir:
-        sc.setCheckpointDir(conf_dir)
+    try:
+        sc = spark.sparkContext
+    except Exception:  # Spark Connect: no SparkContext, only the setting
+        sc = None
+    if sc is not None and sc.getCheckpointDir():
         return sc.getCheckpointDir()
-    # Unset: only happens in local runs (tests, bench); a cluster names one.
-    path = tempfile.mkdtemp(prefix="ledgerlens-ckpt-")
-    sc.setCheckpointDir(path)
+    conf_dir = spark.conf.get("spark.checkpoint.dir", None)
+    if not conf_dir:
+        # Unset: only happens in local runs (tests, bench); a cluster names one.
+        conf_dir = tempfile.mkdtemp(prefix="ledgerlens-ckpt-")
+    if sc is None:
+        return conf_dir
+    sc.setCheckpointDir(conf_dir)
     return sc.getCheckpointDir()
 
 
