@@ -4,10 +4,12 @@
 a run continues while a value is the previous value + 1 (a repeat or a step
 down starts a new run).
 
-A window partitioned by the group would put a whole group in one task, so a
-group holding a third of all rows would be sorted and scanned by one core.
-Instead the rows are range-partitioned on (group, order), which splits a big
-group over many partitions, and scanned in three distributed steps:
+Groups up to a size bound are scanned by a window per group (native ``lag``
+and a running sum).  A window would put a whole group in one task, so a
+group holding a third of all rows would be sorted and scanned by one core;
+groups above the bound are therefore range-partitioned on (group, order),
+which splits a big group over many partitions, and scanned in three
+distributed steps:
 
 1. each partition is sorted and scanned locally (pandas on Arrow batches),
    computing position, run index and run starts as if the partition began a
@@ -28,10 +30,11 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ledgerlens.functions.joins import nullsafe_join
 from ledgerlens.session import materialize
 
 POSITION = "position"
@@ -141,24 +144,34 @@ def _fold(ngroup: int):
     return fold
 
 
-def consecutive_runs(
-    df: DataFrame,
+DEFAULT_HOT_GROUP_ROWS = 1_000_000
+
+
+def _window_runs(df: DataFrame, group_cols: list[str], order_exprs: list[Column], value_col: str) -> DataFrame:
+    """Runs by a window per group: for groups of bounded size only."""
+    w = Window.partitionBy(*group_cols).orderBy(*order_exprs)
+    v = F.col(value_col)
+    prev = F.lag(v).over(w)
+    start = ~F.coalesce(prev.isNotNull() & v.isNotNull() & (v == prev + 1), F.lit(False))
+    return (
+        df.withColumn(IS_RUN_START, start)
+        .withColumn(POSITION, F.row_number().over(w).cast("long"))
+        .withColumn(
+            RUN_INDEX,
+            F.sum(F.col(IS_RUN_START).cast("long")).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)),
+        )
+    )
+
+
+def _range_scan_runs(
+    src: DataFrame,
     group_cols: list[str],
-    order_cols: list[str | Column],
+    order_exprs: list[Column],
     value_col: str,
-    num_partitions: int | None = None,
+    num_partitions: int | None,
 ) -> DataFrame:
-    """Add ``position`` and ``run_index`` (both 1-based within the group) and
-    ``is_run_start`` to every row.
-
-    ``order_cols`` must give a total order inside each group (ties would make
-    the result depend on the shuffle).  Column expressions are allowed.
-    """
-    order_exprs = [F.col(c) if isinstance(c, str) else c for c in order_cols]
+    """Runs by a range-partitioned scan: a group may span many partitions."""
     sort_keys = [F.col(c) for c in group_cols] + order_exprs
-    # Range partitioning samples its input in a separate job; writing the
-    # input once keeps the upstream plan from being computed twice.
-    src = materialize(df, "runs-input")
     # Without an explicit count AQE may merge adjacent ranges (order kept).
     parts = [num_partitions] if num_partitions else []
     ranged = (
@@ -206,13 +219,52 @@ def consecutive_runs(
     lead = F.col(_LEAD)
     return (
         scanned.join(F.broadcast(carry), _PID, "inner")
+        .withColumn(IS_RUN_START, F.when(F.col(_LOC) == 0, F.col("_start0")).otherwise(F.col(_LSTART)))
         .withColumn(POSITION, F.when(lead, F.col(_LPOS) + F.col("_pos_carry")).otherwise(F.col(_LPOS)))
         .withColumn(RUN_INDEX, F.when(lead, F.col(_LRUN) + F.col("_run_carry")).otherwise(F.col(_LRUN)))
-        .withColumn(IS_RUN_START, F.when(F.col(_LOC) == 0, F.col("_start0")).otherwise(F.col(_LSTART)))
         .drop(_PID, _LOC, _LPOS, _LRUN, _LSTART, _LEAD, "_pos_carry", "_run_carry", "_start0")
     )
 
 
+def consecutive_runs(
+    df: DataFrame,
+    group_cols: list[str],
+    order_cols: list[str | Column],
+    value_col: str,
+    num_partitions: int | None = None,
+    hot_group_rows: int | None = None,
+) -> DataFrame:
+    """Add ``is_run_start``, ``position`` and ``run_index`` (both 1-based
+    within the group) to every row.
+
+    ``order_cols`` must give a total order inside each group (ties would make
+    the result depend on the shuffle).  Column expressions are allowed.
+
+    Groups of at most ``hot_group_rows`` rows (default 1,000,000, setting
+    ``ledgerlens.runs.hotGroupRows``) are scanned by a window per group, which
+    holds at most that many rows per task.  Larger groups -- at most
+    rows / ``hot_group_rows`` of them, so their keys are broadcast -- go
+    through the range-partitioned scan.
+    """
+    order_exprs = [F.col(c) if isinstance(c, str) else c for c in order_cols]
+    if hot_group_rows is None:
+        hot_group_rows = int(
+            df.sparkSession.conf.get("ledgerlens.runs.hotGroupRows", str(DEFAULT_HOT_GROUP_ROWS))
+        )
+    # The input is read several times (group sizes, the split, range
+    # sampling): write it once instead of recomputing its plan each time.
+    src = materialize(df, "runs-input")
+    hot = src.groupBy(*group_cols).count().where(F.col("count") > hot_group_rows).select(*group_cols)
+    if hot.limit(1).count() == 0:
+        return _window_runs(src, group_cols, order_exprs, value_col)
+    hot = F.broadcast(hot)  # at most rows / hot_group_rows keys
+    normal = nullsafe_join(src, hot, group_cols, "left_anti")
+    big = nullsafe_join(src, hot, group_cols, "left_semi")
+    return _window_runs(normal, group_cols, order_exprs, value_col).unionByName(
+        _range_scan_runs(big, group_cols, order_exprs, value_col, num_partitions)
+    )
+
+
 def run_lengths(runs: DataFrame, group_cols: list[str], value_col: str) -> DataFrame:
     """One row per run: its index, length and first value (partial aggregation)."""
     return runs.groupBy(*group_cols, RUN_INDEX).agg(

@@ -16,13 +16,13 @@ def count_consec(lst):
     return out
 
 
-def _lengths(spark, groups, partitions):
+def _lengths(spark, groups, partitions, hot=0):
     rows = [(g, i, w) for g, ws in groups.items() for i, w in enumerate(ws)]
     df = spark.createDataFrame(rows, "g string, pos int, w int")
-    runs = consecutive_runs(df, ["g"], ["pos"], "w", num_partitions=partitions)
+    runs = consecutive_runs(df, ["g"], ["pos"], "w", num_partitions=partitions, hot_group_rows=hot)
     per_run = run_lengths(runs, ["g"], "w").collect()
     got = {}
-    for r in sorted(per_run, key=lambda r: (r.g, r[RUN_INDEX])):
+    for r in sorted(per_run, key=lambda r: (r.g is None, r.g or "", r[RUN_INDEX])):
         got.setdefault(r.g, []).append(r.run_length)
     return got, runs
 
@@ -81,3 +81,19 @@ def test_default_partitioning_with_adaptive_coalescing(spark):
     groups = {f"k{i}": [rnd.randint(0, 5) for _ in range(rnd.randint(1, 40))] for i in range(60)}
     got, _ = _lengths(spark, groups, None)
     assert got == {g: count_consec(ws) for g, ws in groups.items()}
+
+
+def test_window_path_and_mixed_split(spark):
+    rnd = random.Random(3)
+    groups = {f"k{i}": [rnd.randint(0, 5) for _ in range(rnd.randint(1, 40))] for i in range(30)}
+    groups["big"] = [i % 9 for i in range(500)]
+    groups[None] = [1, 2, 4]
+    expected = {g: count_consec(ws) for g, ws in groups.items()}
+    # every group small: window path only
+    got, _ = _lengths(spark, groups, 4, hot=10_000)
+    assert got == expected
+    # only "big" is hot: windows for the rest, range scan for it
+    got, runs = _lengths(spark, groups, 4, hot=100)
+    assert got == expected
+    pos = runs.where("g = 'big'").agg({"position": "max"}).first()[0]
+    assert pos == 500
