@@ -290,7 +290,7 @@ runs_tagged AS (
                                   ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS run_index
   FROM brk b),
 runs AS (
-  SELECT {V}, {AMT_DOC}, CAST(run_index AS INTEGER) AS run_index,
+  SELECT {V}, {AMT_DOC}, CAST(run_index AS BIGINT) AS run_index,
          CAST(COUNT(*) AS INTEGER) AS run_length,
          CAST(MIN(position) AS INTEGER) AS first_position,
          arg_min(week, position) AS first_week
