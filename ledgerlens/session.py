@@ -1,7 +1,9 @@
 """Spark session settings and lineage cuts.
 
 On a cluster the session comes from the launcher; ``configure`` only sets
-what the analytics rely on (AQE with skew-join splitting, ANSI casts, UTC).
+what the analytics rely on (AQE with skew-join splitting, ANSI casts) and
+leaves everything else -- time zone, Arrow conversion for ``toPandas`` -- as
+the caller has it.
 ``checkpoint`` writes to the shared folder named by ``spark.checkpoint.dir``
 and never to a machine-local folder; a private folder is only chosen when the
 setting is absent, as in local tests.
@@ -15,19 +17,15 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-# Settings every job of the library assumes.  Skew joins: a partition is split
-# when it is 5x the median and above 256 MB, so one vendor / customer holding a
-# third of all rows is processed by many tasks instead of one.
+# Settings every job of the library assumes.  Skew joins: with Spark's default
+# thresholds a join partition is split when it is 5x the median and above
+# 256 MB, so one vendor / customer holding a third of all rows is processed by
+# many tasks instead of one.  Size thresholds are left to the cluster's tuning.
 SESSION_CONF = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
-    "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "5",
-    "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "256m",
-    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "128m",
     "spark.sql.ansi.enabled": "true",
-    "spark.sql.session.timeZone": "UTC",
-    "spark.sql.execution.arrow.pyspark.enabled": "true",
 }
 
 
@@ -47,6 +45,7 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.driver.memory", os.environ.get("LEDGERLENS_DRIVER_MEMORY", "8g"))
+        .config("spark.sql.session.timeZone", "UTC")
     )
     for k, v in SESSION_CONF.items():
         builder = builder.config(k, v)
