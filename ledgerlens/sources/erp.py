@@ -94,3 +94,20 @@ def read_bsid(spark: SparkSession, path: str, encoding: str = LATIN1) -> DataFra
 def read_knkk(spark: SparkSession, path: str, encoding: str = "UTF-8") -> DataFrame:
     """Customer credit limits per credit control area."""
     return typed(read_csv_text(spark, path, encoding), S.KNKK_FIELDS)
+
+
+def unparsed_values(raw: DataFrame, fields: dict[str, T.DataType], date_patterns=DATE_PATTERNS) -> DataFrame:
+    """Data-quality count: per typed column, the non-blank cells of ``raw``
+    (as read by ``read_csv_text``) that ``typed`` turns into null.  One row,
+    one partial aggregation over the file."""
+    aggs = []
+    for name, dtype in fields.items():
+        if name not in raw.columns or (isinstance(dtype, T.StringType) and name != S.DOC_DATE):
+            continue
+        c = F.col(f"`{name}`")
+        parsed = parse_date(c, date_patterns) if name == S.DOC_DATE else c.try_cast(dtype)
+        bad = c.isNotNull() & (F.trim(c) != "") & parsed.isNull()
+        aggs.append(F.sum(bad.cast("long")).alias(name))
+    if not aggs:
+        return raw.sparkSession.range(1).select()
+    return raw.agg(*aggs)

@@ -88,3 +88,16 @@ def test_run_from_extract_folder(spark, tmp_dir):
     t5 = read("task5").collect()
     assert len(t5) == 1 and t5[0]["Total_Amount_Local_Currency"] == "100.00"
     assert read("balance_amount").first()["above_limit"] == "above limit"
+
+
+def test_unparsed_values_counts_bad_cells(spark, tmp_dir):
+    p = os.path.join(tmp_dir, "bsak_bad.csv")
+    _write(p, (
+        "Company_Code,Account_Number_of_Vendor_or_Creditor,Number_of_Line_Item_Within_Accounting_Document,"
+        "Document_Date_in_Document,Amount_in_Local_Currency\n"
+        "0100,V1,1,2018-01-01,1.00\n"
+        "0100,V1,x,31/31/2018,oops\n"
+        "0100,V1,,,\n"
+    ))
+    row = erp.unparsed_values(erp.read_csv_text(spark, p), S.BSAK_FIELDS).first().asDict()
+    assert row == {S.LINE: 1, S.DOC_DATE: 1, S.AMT_LOC: 1}
