@@ -85,14 +85,22 @@ def _repair(fields: DataFrame, width: int) -> DataFrame:
     return fields.select(fixed.alias(FIELDS), bad.alias(REJECTED))
 
 
-def repair_ragged_lines(lines: DataFrame, column_names: list[str], col: str = "value") -> DataFrame:
+def repair_ragged_lines(
+    lines: DataFrame, column_names: list[str], col: str = "value", blank_as_null: bool = False
+) -> DataFrame:
     """Repaired rows, one string column per name; unrepairable lines are left out
-    (see ``rejected_ragged_lines``)."""
+    (see ``rejected_ragged_lines``).
+
+    Empty cells stay ``''`` (so a blank PO key does not match the null keys of
+    the other extracts, as in the original); ``blank_as_null=True`` turns them
+    into nulls instead.
+    """
     width = len(column_names)
     rep = _repair(split_csv_lines(lines, col), width).where(~F.col(REJECTED))
-    return rep.select(
-        [F.try_element_at(F.col(FIELDS), F.lit(i + 1)).alias(name) for i, name in enumerate(column_names)]
-    )
+    cells = [F.try_element_at(F.col(FIELDS), F.lit(i + 1)) for i in range(width)]
+    if blank_as_null:
+        cells = [F.when(c != "", c) for c in cells]
+    return rep.select([c.alias(name) for c, name in zip(cells, column_names)])
 
 
 def rejected_ragged_lines(lines: DataFrame, width: int = S.EKPO_FIELD_COUNT, col: str = "value") -> DataFrame:
@@ -132,10 +140,18 @@ def header_names(spark: SparkSession, path: str, width: int = S.EKPO_FIELD_COUNT
     return (names + [f"_c{i}" for i in range(len(names), width)])[:width]
 
 
-def read_ragged_csv(spark: SparkSession, path: str, width: int = S.EKPO_FIELD_COUNT, encoding: str = "ISO-8859-1") -> DataFrame:
+def read_ragged_csv(
+    spark: SparkSession,
+    path: str,
+    width: int = S.EKPO_FIELD_COUNT,
+    encoding: str = "ISO-8859-1",
+    blank_as_null: bool = False,
+) -> DataFrame:
     """Read and repair a ragged extract: header names, then repaired rows."""
     names = header_names(spark, path, width, encoding)
-    return repair_ragged_lines(read_lines(spark, path, encoding=encoding, header=True), names)
+    return repair_ragged_lines(
+        read_lines(spark, path, encoding=encoding, header=True), names, blank_as_null=blank_as_null
+    )
 
 
 # ------------------------------------------------------------ stand-in extract

@@ -61,3 +61,12 @@ def test_read_latin1_file_with_header(spark, tmp_dir):
     assert out.columns == header
     rows = sorted((list(r) for r in out.collect()), key=str)
     assert rows == sorted([row[:5] + ["Müller", "Straße"] + row[6:], f(29)], key=str)
+
+
+def test_blank_cells_kept_or_nulled(spark):
+    names = [f"c{i}" for i in range(29)]
+    fields = f(29)
+    fields[0] = ""
+    df = spark.createDataFrame([(_line(fields),)], "value string")
+    assert ragged.repair_ragged_lines(df, names).first()["c0"] == ""
+    assert ragged.repair_ragged_lines(df, names, blank_as_null=True).first()["c0"] is None
