@@ -9,6 +9,7 @@ threshold (AQE re-checks measured sizes); a large vendor master is shuffled.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ledgerlens import schemas as S
 from ledgerlens.functions.joins import full_outer_nullsafe, nullsafe_join
@@ -26,14 +27,30 @@ def lookup_left(left: DataFrame, lookup: DataFrame, keys: list[str], suffix: str
     return nullsafe_join(left, lookup, keys, "left")
 
 
-def invoice_file(bsak: DataFrame, lfa1: DataFrame, t001: DataFrame) -> DataFrame:
+def is_unique(df: DataFrame, keys: list[str]) -> bool:
+    """True when no key value (null counted as a value) occurs twice.
+
+    One aggregation over ``df``; it stops at the first duplicate found."""
+    return df.groupBy(*keys).count().where(F.col("count") > 1).limit(1).count() == 0
+
+
+def invoice_file(bsak: DataFrame, lfa1: DataFrame, t001: DataFrame, *, vendor_master: bool = True) -> DataFrame:
     """O1: vendor invoice lines with vendor master and company attributes.
 
     ``bsak`` carries ``Document_Currency_Key`` and ``t001`` carries
     ``Local_Currency_Key`` (the sources rename both currency columns), so the
     two currencies never collide.
+
+    With ``vendor_master=False`` (for analytics that report no vendor-master
+    column) the vendor-master join is left out when the vendor key is unique
+    there: a left join on a unique key neither adds nor drops lines, and
+    skipping it saves a shuffle of the invoice lines when the master is too
+    big to broadcast.  A master with repeated keys is still joined, since
+    the original fans lines out over the repeats.
     """
-    out = lookup_left(bsak, lfa1, [S.VENDOR], "_vendor_master")
+    out = bsak
+    if vendor_master or not is_unique(lfa1, [S.VENDOR]):
+        out = lookup_left(bsak, lfa1, [S.VENDOR], "_vendor_master")
     return lookup_left(out, t001, [S.COMPANY], "_company")
 
 

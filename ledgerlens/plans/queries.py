@@ -17,20 +17,25 @@ from ledgerlens.sources import testviews as tv
 Query = Callable[[SparkSession, str], DataFrame]
 
 
-def _invoice_file(spark: SparkSession, d: str, variant: str) -> DataFrame:
-    return enrich.invoice_file(tv.bsak(spark, d, variant), tv.lfa1(spark, d, variant), tv.t001(spark, d))
+def _invoice_file(spark: SparkSession, d: str, variant: str, vendor_master: bool = True) -> DataFrame:
+    return enrich.invoice_file(
+        tv.bsak(spark, d, variant), tv.lfa1(spark, d, variant), tv.t001(spark, d), vendor_master=vendor_master
+    )
 
 
-def _eligible(spark: SparkSession, d: str, variant: str) -> DataFrame:
-    return payables.eligible_invoices(_invoice_file(spark, d, variant))
+def _eligible(spark: SparkSession, d: str, variant: str, vendor_master: bool = True) -> DataFrame:
+    return payables.eligible_invoices(_invoice_file(spark, d, variant, vendor_master))
 
 
 def _pairs(spark: SparkSession, d: str, variant: str) -> DataFrame:
     return payables.po_pairs(tv.ekbe_pairs(spark, d, variant))
 
 
-def _sundry(spark: SparkSession, d: str, variant: str) -> DataFrame:
-    return payables.sundry_invoices(_eligible(spark, d, variant), _pairs(spark, d, variant))
+def _sundry(spark: SparkSession, d: str, variant: str, vendor_master: bool = True) -> DataFrame:
+    return payables.sundry_invoices(_eligible(spark, d, variant, vendor_master), _pairs(spark, d, variant))
+
+
+# Queries below that report no vendor-master column pass vendor_master=False.
 
 
 def q_invoice_file(spark, d):
@@ -58,7 +63,7 @@ def q_sundry_invoices(spark, d):
 
 
 def q_vendors_paid_both_ways(spark, d):
-    return payables.vendors_paid_both_ways(_eligible(spark, d, "part"), _pairs(spark, d, "part"))
+    return payables.vendors_paid_both_ways(_eligible(spark, d, "part", False), _pairs(spark, d, "part"))
 
 
 def q_invoice_payment_mix(spark, d):
@@ -66,31 +71,31 @@ def q_invoice_payment_mix(spark, d):
 
 
 def q_invoice_frequency(spark, d):
-    return payables.invoice_frequency(_eligible(spark, d, "part"))
+    return payables.invoice_frequency(_eligible(spark, d, "part", False))
 
 
 def q_sundry_document_totals(spark, d):
-    return payables.sundry_document_totals(_sundry(spark, d, "supp"))
+    return payables.sundry_document_totals(_sundry(spark, d, "supp", False))
 
 
 def q_recurring_sundry(spark, d):
-    return payables.recurring_sundry(_sundry(spark, d, "supp"))
+    return payables.recurring_sundry(_sundry(spark, d, "supp", False))
 
 
 def q_consecutive_run_lengths(spark, d):
-    return payables.consecutive_run_lengths(_sundry(spark, d, "supp"))
+    return payables.consecutive_run_lengths(_sundry(spark, d, "supp", False))
 
 
 def q_recurrence_profile(spark, d):
-    return payables.recurrence_profile(_sundry(spark, d, "supp"))
+    return payables.recurrence_profile(_sundry(spark, d, "supp", False))
 
 
 def q_one_time_vendor_invoices(spark, d):
-    return payables.one_time_vendor_invoices(_eligible(spark, d, "cust"))
+    return payables.one_time_vendor_invoices(_eligible(spark, d, "cust", False))
 
 
 def q_single_document_vendor_invoices(spark, d):
-    return payables.single_document_vendor_invoices(_eligible(spark, d, "cust"))
+    return payables.single_document_vendor_invoices(_eligible(spark, d, "cust", False))
 
 
 def q_ar_listing(spark, d):

@@ -101,3 +101,20 @@ def test_unparsed_values_counts_bad_cells(spark, tmp_dir):
     ))
     row = erp.unparsed_values(erp.read_csv_text(spark, p), S.BSAK_FIELDS).first().asDict()
     assert row == {S.LINE: 1, S.DOC_DATE: 1, S.AMT_LOC: 1}
+
+
+def test_vendor_master_skipped_only_when_unique(spark):
+    from pyspark.sql import types as T
+
+    from helpers import INVOICE_SCHEMA, inv
+
+    lines = spark.createDataFrame([inv("V1", "1"), inv("V2", "2")], INVOICE_SCHEMA).drop(S.COMPANY_NAME, S.LOC_CUR)
+    t001 = spark.createDataFrame([("1000", "ACME", "USD")], f"`{S.COMPANY}` string, `{S.COMPANY_NAME}` string, `{S.LOC_CUR}` string")
+    lfa_schema = T.StructType([T.StructField(S.VENDOR, T.StringType()), T.StructField("Name_1", T.StringType())])
+    unique = spark.createDataFrame([("V1", "a"), ("V2", "b")], lfa_schema)
+    repeated = spark.createDataFrame([("V1", "a"), ("V1", "a2"), ("V2", "b")], lfa_schema)
+    assert "Name_1" not in enrich.invoice_file(lines, unique, t001, vendor_master=False).columns
+    assert enrich.invoice_file(lines, unique, t001, vendor_master=False).count() == 2
+    # repeated keys: the join stays and fans the V1 line out, as the original does
+    assert enrich.invoice_file(lines, repeated, t001, vendor_master=False).count() == 3
+    assert enrich.invoice_file(lines, unique, t001).count() == 2
