@@ -120,12 +120,6 @@ def vendors_paid_both_ways_flagged(flagged: DataFrame) -> DataFrame:
     return nullsafe_join(flagged, both, [S.VENDOR], "left_semi").select(S.TASK1_COLUMNS)
 
 
-def payment_type(is_po: Column, has_po: Column, has_sundry: Column) -> Column:
-    return F.when(
-        is_po, F.when(has_sundry, F.lit(S.BOTH_PO)).otherwise(F.lit(S.ONLY_PO))
-    ).otherwise(F.when(has_po, F.lit(S.BOTH_SUNDRY)).otherwise(F.lit(S.ONLY_SUNDRY)))
-
-
 def invoice_payment_mix(eligible: DataFrame, pairs: DataFrame) -> DataFrame:
     """Every eligible line labelled both_sundry / only_sundry / both_po / only_po.
 
@@ -136,13 +130,20 @@ def invoice_payment_mix(eligible: DataFrame, pairs: DataFrame) -> DataFrame:
 
 
 def invoice_payment_mix_flagged(flagged: DataFrame) -> DataFrame:
-    """O8 on lines already carrying ``is_po_paid``."""
+    """O8 on lines already carrying ``is_po_paid``.
+
+    The per-vendor flags are aggregated once and joined onto each part; the
+    PO part is deduplicated before that join, and sundry lines flow through
+    without any shuffle of their own besides the flag join.
+    """
     cols = [c for c in flagged.columns if c != IS_PO]
-    labelled = nullsafe_join(flagged, vendor_flags(flagged), [S.VENDOR], "left").withColumn(
-        "type", payment_type(F.col(IS_PO), F.col(HAS_PO), F.col(HAS_SUNDRY))
+    flags = vendor_flags(flagged)
+    sundry = nullsafe_join(flagged.where(~F.col(IS_PO)).select(cols), flags, [S.VENDOR], "left").select(
+        *cols, F.when(F.col(HAS_PO), F.lit(S.BOTH_SUNDRY)).otherwise(F.lit(S.ONLY_SUNDRY)).alias("type")
+    )
+    po = nullsafe_join(flagged.where(F.col(IS_PO)).select(cols).distinct(), flags, [S.VENDOR], "left").select(
+        *cols, F.when(F.col(HAS_SUNDRY), F.lit(S.BOTH_PO)).otherwise(F.lit(S.ONLY_PO)).alias("type")
     )
-    sundry = labelled.where(~F.col(IS_PO)).select(*cols, "type")
-    po = labelled.where(F.col(IS_PO)).select(*cols, "type").distinct()
     return sundry.unionByName(po)
 
 

@@ -38,13 +38,19 @@ def t001(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _order_period(start: str, end: str) -> Column:
+    """Orders dated in [start, end).  Literals of the column's own type
+    (timestamp without zone), so the range reaches the Parquet reader as a
+    pushed filter instead of a cast of every value."""
+    d = F.col("o_orderdate")
+    return (d >= F.lit(f"{start} 00:00:00").cast("timestamp_ntz")) & (d < F.lit(f"{end} 00:00:00").cast("timestamp_ntz"))
+
+
 _AP = {
     "part": dict(
         vendor="l_partkey",
         ref="l_suppkey",
-        where=lambda: (F.col("l_linestatus") == "O")
-        & (F.col("o_orderdate") >= F.lit("1998-01-01").cast("date"))
-        & (F.col("o_orderdate") < F.lit("1999-07-01").cast("date")),
+        where=lambda: (F.col("l_linestatus") == "O") & _order_period("1998-01-01", "1999-07-01"),
         po_vendor="l_partkey",
         po_ref="l_suppkey",
     ),
@@ -58,9 +64,7 @@ _AP = {
     "cust": dict(
         vendor="o_custkey",
         ref="l_suppkey",
-        where=lambda: (F.col("l_returnflag") != "R")
-        & (F.col("o_orderdate") >= F.lit("1998-01-01").cast("date"))
-        & (F.col("o_orderdate") < F.lit("1998-07-01").cast("date")),
+        where=lambda: (F.col("l_returnflag") != "R") & _order_period("1998-01-01", "1998-07-01"),
         po_vendor="l_suppkey",
         po_ref="l_partkey",
     ),
