@@ -21,6 +21,8 @@ JOINS = ("BroadcastHashJoin", "SortMergeJoin", "ShuffledHashJoin", "BroadcastNes
 
 
 def summarize(plan: str) -> dict:
+    # An adaptive plan prints its final plan and then its initial plan.
+    plan = plan.split("== Initial Plan ==")[0]
     lines = plan.splitlines()
     c = Counter()
     joins = Counter()
