@@ -29,6 +29,7 @@ from ledgerlens.functions.joins import nullsafe_join
 from ledgerlens.functions.money import sum0
 from ledgerlens.functions.nullsafe import not_in_keep_null
 from ledgerlens.operators.runs import POSITION, RUN_INDEX, consecutive_runs, run_lengths
+from ledgerlens.session import materialize
 
 IS_PO = "is_po_paid"
 HAS_PO = "has_po_paid"
@@ -184,14 +185,33 @@ def recurring_sundry(sundry: DataFrame) -> DataFrame:
     """O11 (Task 3): recurring sundry document totals with document attributes.
 
     Attributes are matched on (vendor, document) without the date, as in the
-    original.  They are deduplicated before the join, which makes the joined
-    rows distinct already.
+    original.  The sundry lines are aggregated once to (document, date,
+    attributes) -- a table far smaller than the lines -- and written under the
+    checkpoint folder; document totals, the recurring test and the distinct
+    attributes are all read from it, so the lines are read and shuffled once
+    instead of once per branch.  The distinct attributes make the joined rows
+    distinct already.
     """
-    recur = recurring_totals(sundry_document_totals(sundry))
-    attrs = sundry.select(
-        S.COMPANY, S.COMPANY_NAME, S.VENDOR, S.DOC, S.DOC_TYPE, S.REF, S.DOC_CUR, S.LOC_CUR
-    ).distinct()
-    return nullsafe_join(recur, attrs, [S.VENDOR, S.DOC], "left").select(S.TASK3_COLUMNS)
+    attr_cols = [S.COMPANY, S.COMPANY_NAME, S.DOC_TYPE, S.REF, S.DOC_CUR, S.LOC_CUR]
+    parts = materialize(
+        sundry.groupBy(S.VENDOR, S.DOC, S.DOC_DATE, *attr_cols).agg(
+            F.sum(S.AMT_LOC).alias("_loc"), F.sum(S.AMT_DOC).alias("_doc")
+        ),
+        "sundry-parts",
+    )
+    totals = (
+        parts.where(F.col(S.VENDOR).isNotNull() & F.col(S.DOC).isNotNull() & F.col(S.DOC_DATE).isNotNull())
+        .groupBy(S.VENDOR, S.DOC, S.DOC_DATE)
+        .agg(sum0("_loc").alias(S.AMT_LOC), sum0("_doc").alias(S.AMT_DOC))
+    )
+    attrs = parts.select(S.VENDOR, S.DOC, *attr_cols).distinct()
+    return nullsafe_join(recurring_totals(totals), attrs, [S.VENDOR, S.DOC], "left").select(S.TASK3_COLUMNS)
+
+
+def _recurring_documents(sundry: DataFrame) -> DataFrame:
+    """Recurring document totals, from document totals written once (the
+    recurring test reads them twice: a count and a semi-join)."""
+    return recurring_totals(materialize(sundry_document_totals(sundry), "sundry-totals"))
 
 
 def document_order(doc: str = S.DOC, doc_date: str = S.DOC_DATE) -> list[Column]:
@@ -238,7 +258,7 @@ def consecutive_run_lengths(sundry: DataFrame, order: str = "document", absolute
     weeks in document order with repeats (as the original lists are built);
     ``order='week'`` scans the distinct weeks ascending.
     """
-    seq = _week_sequence(recurring_totals(sundry_document_totals(sundry)), absolute)
+    seq = _week_sequence(_recurring_documents(sundry), absolute)
     return run_lengths(_runs(seq, order), [S.VENDOR, S.AMT_DOC], "week")
 
 
@@ -255,7 +275,7 @@ def recurrence_profile(sundry: DataFrame, order: str = "document", absolute: boo
     ``consecutive_run_lengths``.
     """
     keys = [S.VENDOR, S.AMT_DOC]
-    seq = _week_sequence(recurring_totals(sundry_document_totals(sundry)), absolute)
+    seq = _week_sequence(_recurring_documents(sundry), absolute)
     runs = _runs(seq, order)
     per_run = run_lengths(runs, keys, "week")
     per_group = per_run.groupBy(*keys).agg(
