@@ -65,6 +65,9 @@ def main(sf_dir: str) -> None:
         "",
         f"Generated by `tests/plan_report.py` on `{sf_dir}` (Spark {spark.version}, local[8], AQE final plans).",
         "Shuffles count hash / range / round-robin exchanges; scans list table, columns read and pushed filters.",
+        "Queries that write an intermediate table while being built (recurring_sundry, recurrence_profile,",
+        "consecutive_run_lengths) show the plan that reads it (`scan ?`); the write is a job of its own that",
+        "reads the invoice lines once.",
         "",
     ]
     for name, fn in E.queries().items():
