@@ -41,3 +41,18 @@ def test_balances_single_aggregation_shuffle(spark):
     # one partial + one final aggregate on (customer, reference); the credit
     # multiplicity aggregates only the credit table
     assert sum("Reference_Document_Number" in a for a in aggs) == 2
+
+
+def test_runs_use_python_only_for_hot_groups(spark):
+    from pyspark.sql import functions as F
+
+    from ledgerlens.operators.runs import consecutive_runs
+
+    df = spark.range(200).select((F.col("id") % 5).cast("string").alias("g"), F.col("id").alias("pos"), (F.col("id") % 7).alias("w"))
+    normal = consecutive_runs(df, ["g"], ["pos"], "w")            # 40 rows per group: under the bound
+    normal.count()
+    assert "MapInPandas" not in _plan(normal)
+    hot = consecutive_runs(df, ["g"], ["pos"], "w", hot_group_rows=10)  # every group above the bound
+    hot.count()
+    assert "Window" in _plan(normal)
+    assert {r.g for r in hot.select("g").distinct().collect()} == {str(i) for i in range(5)}
