@@ -38,21 +38,41 @@ REJECTED = "_unrepairable"
 PO_LINE_COLUMNS = [S.PO_NUM, S.PO_ITEM] + [f"Field_{i:02d}" for i in range(2, S.EKPO_FIELD_COUNT)]
 
 
+# Fields travel back from Python as one string joined on this character: the
+# line reader splits records on it, so it never occurs inside a line.
+_SEP = "\u0001"
+
+
 def _split_lines(batches):
     for pdf in batches:
-        out = []
+        joined, counts = [], []
         for line in pdf["value"]:
             if line is None:
-                out.append(None)
+                joined.append(None)
+                counts.append(None)
             else:
-                out.append(next(csv.reader([line]), []))
-        yield pd.DataFrame({FIELDS: out})
+                fields = next(csv.reader([line]), [])
+                joined.append(_SEP.join(fields))
+                counts.append(len(fields))
+        yield pd.DataFrame({"_joined": joined, "_n": pd.array(counts, dtype="Int32")})
 
 
 def split_csv_lines(lines: DataFrame, col: str = "value") -> DataFrame:
-    """One ``array<string>`` of CSV fields per line (Python csv rules)."""
-    schema = T.StructType([T.StructField(FIELDS, T.ArrayType(T.StringType()), True)])
-    return lines.select(F.col(col).alias("value")).mapInPandas(_split_lines, schema)
+    """One ``array<string>`` of CSV fields per line (Python csv rules).
+
+    Python returns each line's fields joined into one string plus their
+    count (one string per line crosses back instead of one per field); the
+    split into the array is native.  Lines must not contain U+0001.
+    """
+    schema = T.StructType(
+        [T.StructField("_joined", T.StringType(), True), T.StructField("_n", T.IntegerType(), True)]
+    )
+    parsed = lines.select(F.col(col).alias("value")).mapInPandas(_split_lines, schema)
+    fields = (
+        F.when(F.col("_n") == 0, F.array().cast(T.ArrayType(T.StringType())))
+        .when(F.col("_n").isNotNull(), F.split(F.col("_joined"), _SEP, -1))
+    )
+    return parsed.select(fields.alias(FIELDS))
 
 
 def _drop_last_char(c: Column) -> Column:
