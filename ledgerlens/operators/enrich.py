@@ -30,8 +30,8 @@ def lookup_left(left: DataFrame, lookup: DataFrame, keys: list[str], suffix: str
 def is_unique(df: DataFrame, keys: list[str]) -> bool:
     """True when no key value (null counted as a value) occurs twice.
 
-    One aggregation over ``df``; it stops at the first duplicate found."""
-    return df.groupBy(*keys).count().where(F.col("count") > 1).limit(1).count() == 0
+    One aggregation over ``df``."""
+    return df.groupBy(*keys).count().where(F.col("count") > 1).isEmpty()
 
 
 def invoice_file(bsak: DataFrame, lfa1: DataFrame, t001: DataFrame, *, vendor_master: bool = True) -> DataFrame:

@@ -255,7 +255,7 @@ def consecutive_runs(
     # sampling): write it once instead of recomputing its plan each time.
     src = materialize(df, "runs-input")
     hot = src.groupBy(*group_cols).count().where(F.col("count") > hot_group_rows).select(*group_cols)
-    if hot.limit(1).count() == 0:
+    if hot.isEmpty():
         return _window_runs(src, group_cols, order_exprs, value_col)
     hot = F.broadcast(hot)  # at most rows / hot_group_rows keys
     normal = nullsafe_join(src, hot, group_cols, "left_anti")
