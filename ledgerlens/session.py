@@ -4,14 +4,15 @@ On a cluster the session comes from the launcher; ``configure`` only sets
 what the analytics rely on (AQE with skew-join splitting, ANSI casts) and
 leaves everything else -- time zone, Arrow conversion for ``toPandas`` -- as
 the caller has it.
-``checkpoint`` writes to the shared folder named by ``spark.checkpoint.dir``
+``materialize`` writes to the shared folder named by ``spark.checkpoint.dir``
 and never to a machine-local folder; a private folder is only chosen when the
-setting is absent, as in local tests.
+setting is absent and the master is local, as in tests.
 """
 
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -55,7 +56,12 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the checkpoint folder, choosing a private one only when unset."""
+    """The shared folder for intermediates: ``spark.checkpoint.dir``.
+
+    Where the setting is absent, a private folder is chosen only if driver and
+    executors are one process (a ``local`` master, as in tests); any other
+    master raises, because executors could not see a folder of the driver.
+    """
     try:
         sc = spark.sparkContext
     except Exception:  # Spark Connect: no SparkContext, only the setting
@@ -64,7 +70,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return sc.getCheckpointDir()
     conf_dir = spark.conf.get("spark.checkpoint.dir", None)
     if not conf_dir:
-        # Unset: only happens in local runs (tests, bench); a cluster names one.
+        master = sc.master if sc is not None else "(remote)"
+        if not re.fullmatch(r"local(\[[^\]]*\])?", master):
+            raise ValueError(f"set spark.checkpoint.dir to a folder shared by the cluster (master {master})")
         conf_dir = tempfile.mkdtemp(prefix="ledgerlens-ckpt-")
     if sc is None:
         return conf_dir
@@ -72,10 +80,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Reliable, eager checkpoint: survives executor loss and cuts lineage."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+# Folders written by materialize() and not yet released, per application.
+_written: dict[str, list[str]] = {}
 
 
 def materialize(df: DataFrame, label: str = "stage") -> DataFrame:
@@ -84,9 +90,34 @@ def materialize(df: DataFrame, label: str = "stage") -> DataFrame:
     Like a reliable checkpoint (the result survives executor loss and the
     lineage is cut), but computed in a single job: an eager ``checkpoint()``
     of an unpersisted plan computes it twice, once to count and once to save.
+    The folder stays until ``release`` is called or the driver process ends,
+    since plans built on it may run any time before that.
     """
     spark = df.sparkSession
     base = ensure_checkpoint_dir(spark).rstrip("/")
     path = f"{base}/ledgerlens/{label}-{uuid.uuid4().hex}"
     df.write.mode("error").parquet(path)
+    _written.setdefault(_app_id(spark), []).append(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def release(spark: SparkSession) -> int:
+    """Delete the intermediates written so far by this application.
+
+    Call it once the results built on them are written; returns the number of
+    folders removed.  Goes through Hadoop's file system layer, so any store
+    Spark can write to works.
+    """
+    paths = _written.pop(_app_id(spark), [])
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for p in paths:
+        path = jvm.org.apache.hadoop.fs.Path(p)
+        path.getFileSystem(conf).delete(path, True)
+    return len(paths)
+
+
+def _app_id(spark: SparkSession) -> str:
+    try:
+        return spark.sparkContext.applicationId
+    except Exception:  # Spark Connect
+        return "remote"
