@@ -9,9 +9,9 @@ associatively and only a few dozen different ones arise, so a table of
 compositions turns the run over the whole array into a blocked prefix scan of
 table lookups.  No regular expression is used.
 
-The slices between the starts go through a cache of merged pieces; a slice that
-is not in it is merged pair by pair, lowest rank first and leftmost of equal
-ones.  The byte offset of every token is kept, and decoding copies the bytes of
+The slices between the starts go through a cache of merged pieces.  Slices that
+are not in it are merged pair by pair, lowest rank first and leftmost of equal
+ones, all new slices of one length side by side.  The byte offset of every token is kept, and decoding copies the bytes of
 all tokens to their offsets at once.
 
 Scale: one narrow pass, no shuffle.  The ranks are broadcast as the bytes of
@@ -38,6 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlens.llm.common import pick, worker_cache
+from ledgerlens.llm.tables import IntTable
 
 #: Code points that are worked through at once, and slices that are cached.
 RUN_CHARS = 1_000_000
@@ -169,15 +170,6 @@ def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     if piece in ranks:
         return [ranks[piece]]
     n = len(piece)
-    if n <= 40:  # looking at all pairs again costs less than a heap
-        parts = [piece[i : i + 1] for i in range(n)]
-        while True:
-            found = [ranks.get(a + b, _NEVER) for a, b in zip(parts, parts[1:])]
-            lowest = min(found, default=_NEVER)
-            if lowest == _NEVER:
-                return [ranks[p] for p in parts]
-            i = found.index(lowest)
-            parts[i : i + 2] = [parts[i] + parts[i + 1]]
     right, left, alive = list(range(1, n + 1)), list(range(-1, n - 1)), [True] * n
     end = list(range(1, n + 1))  # where the part that starts here ends
 
@@ -205,19 +197,63 @@ def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     return [ranks[piece[i : end[i]]] for i in range(n) if alive[i]]
 
 
-class _Merged(dict):
-    """Ids of a slice as little-endian bytes."""
+class Merger:
+    """Ids of slices as little-endian bytes; slices of one length are merged together."""
 
     def __init__(self, ranks: dict[bytes, int]) -> None:
-        self.ranks = ranks
-
-    def __missing__(self, piece: str) -> bytes:
-        ids = np.array(merge(piece.encode(), self.ranks), "<u4").tobytes()
-        if len(piece) <= 64:
-            if len(self) >= CACHED:
-                self.clear()
-            self[piece] = ids
-        return ids
+        self.ranks, self.held = ranks, {}
+        self.width = max(ranks.values()) + 1
+        self.single = np.array([ranks[bytes([i])] for i in range(256)])
+        pairs = {
+            ranks[t[:k]] * self.width + ranks[t[k:]]: i
+            for t, i in ranks.items()
+            for k in range(1, len(t))
+            if t[:k] in ranks and t[k:] in ranks
+        }
+        self.pairs = IntTable(np.fromiter(pairs, np.int64, len(pairs)), np.fromiter(pairs.values(), np.int64, len(pairs)))
+
+    def _rank(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        found = self.pairs.get((a * self.width + b).ravel()).reshape(a.shape)
+        return np.where(found < 0, _NEVER, found)
+
+    def _together(self, pieces: list[bytes]) -> list[bytes]:
+        """Ids of pieces of one length."""
+        ids = self.single[np.frombuffer(b"".join(pieces), np.uint8).reshape(len(pieces), -1)]
+        out = [b""] * len(pieces)
+        rows, rank = np.arange(len(pieces)), self._rank(ids[:, :-1], ids[:, 1:])
+        while True:
+            at = rank.argmin(axis=1)
+            low = rank[np.arange(len(rank)), at]
+            goes_on = low < _NEVER
+            for r, final in zip(rows[~goes_on].tolist(), ids[~goes_on].astype("<u4")):
+                out[r] = final.tobytes()
+            if not goes_on.any():
+                return out
+            rows, ids, rank, at, low = rows[goes_on], ids[goes_on], rank[goes_on], at[goes_on], low[goes_on]
+            every = np.arange(len(rows))
+            keep = np.arange(ids.shape[1] - 1)[None, :]
+            ids = np.take_along_axis(ids, keep + (keep > at[:, None]), 1)
+            ids[every, at] = low
+            keep = keep[:, :-1]
+            rank = np.take_along_axis(rank, keep + (keep >= at[:, None]), 1)
+            for side in (at - 1, at):
+                some = np.flatnonzero((side >= 0) & (side < rank.shape[1]))
+                k = side[some]
+                rank[some, k] = self._rank(ids[some, k], ids[some, k + 1])
+
+    def learn(self, slices: set[str]) -> None:
+        """Hold the ids of these slices."""
+        if len(self.held) + len(slices) > CACHED:
+            self.held.clear()
+        by_length: dict[int, list[tuple[str, bytes]]] = {}
+        for s in slices:
+            piece = s.encode()
+            if piece in self.ranks or not 1 < len(piece) <= 40:
+                self.held[s] = np.array(merge(piece, self.ranks), "<u4").tobytes()
+            else:
+                by_length.setdefault(len(piece), []).append((s, piece))
+        for same in by_length.values():
+            self.held.update(zip([s for s, _ in same], self._together([p for _, p in same])))
 
 
 class ByteBpe:
@@ -227,7 +263,7 @@ class ByteBpe:
         pairs = [line.split() for line in rank_file.splitlines() if line.strip()]
         self.ranks = {base64.b64decode(a): int(b) for a, b in pairs}
         self.words = PreTokenizer()
-        self.merged = _Merged(self.ranks)
+        self.merger = Merger(self.ranks)
         tokens = [b""] * (max(self.ranks.values()) + 1)
         for token, i in self.ranks.items():
             tokens[i] = token
@@ -242,13 +278,17 @@ class ByteBpe:
         ends = np.cumsum([len(t) + 1 for t in texts]) - 1
         starts = np.flatnonzero(self.words.token_starts(points, ends))
         first = np.searchsorted(starts, np.append(0, ends[:-1] + 1))
-        out = []
+        slices: list[list[str]] = []
         for k, text in enumerate(texts):
             begin = int(ends[k]) - len(text)
             cuts = (starts[first[k] : first[k + 1] if k + 1 < len(texts) else len(starts)] - begin).tolist()
-            slices = map(text.__getitem__, map(slice, cuts, [*cuts[1:], len(text)]))
-            out.append(b"".join(map(self.merged.__getitem__, slices)))
-        return out
+            slices.append(list(map(text.__getitem__, map(slice, cuts, [*cuts[1:], len(text)]))))
+        held = self.merger.held
+        if new := set().union(*slices) - held.keys():
+            self.merger.learn(new)
+            if lost := set().union(*slices) - held.keys():  # the cache was full
+                self.merger.learn(lost)
+        return [b"".join(map(held.__getitem__, s)) for s in slices]
 
     def offsets(self, ids: np.ndarray) -> np.ndarray:
         """Where each token's bytes begin, and at the end their number."""

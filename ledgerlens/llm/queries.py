@@ -4,22 +4,41 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ledgerlens.llm.byte_bpe import encode_decode
 from ledgerlens.llm.common import documents
 from ledgerlens.llm.exact_dedup import exact_dedup
 from ledgerlens.llm.oracle import ORACLES
 from ledgerlens.llm.sharding import kd_shards
+from ledgerlens.llm.token_counts import token_counts
+
+
+def tokenizer(name: str) -> str:
+    """Where the public tokenizer files are; imported here since only these queries need them."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(documents(spark, sf_dir))
 
 
+def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_decode(documents(spark, sf_dir), tokenizer("byte_bpe_multi_50k.tiktoken"))
+
+
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts(documents(spark, sf_dir), tokenizer("piece_bpe_32k.model"), limit=4096)
+
+
 def op10_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kd_shards(documents(spark, sf_dir), n_shards=24)
 
 
 LLM_QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
+    "op4_byte_bpe": op4_byte_bpe,
+    "op5_token_counts": op5_token_counts,
     "op10_kd_shards": op10_kd_shards,
 }
 

@@ -5,11 +5,12 @@ from the counts of shorter prefixes: the encoding of a prefix is the encoding
 of a shorter one plus one last token.  Of the pieces that end the prefix,
 exactly one is right: the one that, behind the last token of what is left, is
 not merged differently (pairs of neighbouring tokens decide this alone, and
-their answers are cached).  The counts of all prefixes answer how many tokens a
+their answers are kept in a table).  The counts of all prefixes answer how many tokens a
 truncated text has, or how much of a text fits a budget, without encoding again.
 
 No piece goes on across a word start, so a text is a row of words whose counts
-add up; the counts of a word's prefixes are cached.  The vocabulary merges the
+add up; the counts of a word's prefixes are cached, and those of new words are
+found for all words of one length side by side, prefix by prefix.  The vocabulary merges the
 pair of highest score, leftmost of equal ones; a character without a piece
 counts as its bytes.
 
@@ -33,7 +34,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ledgerlens.llm.byte_bpe import runs
 from ledgerlens.llm.common import pick, worker_cache
+from ledgerlens.llm.tables import IntTable
 
 CACHED_WORDS = 250_000
 CACHED_PAIRS = 1_000_000
@@ -56,7 +59,7 @@ def read_pieces(model_path: str) -> list[tuple[str, float]]:
 class PrefixCounter:
     """Counts of all prefixes of words and texts."""
 
-    def __init__(self, pieces: list[tuple[str, float]]) -> None:
+    def __init__(self, pieces: list[tuple[str, float]], with_steps: bool = False) -> None:
         self.pieces = [p for p, _ in pieces]
         self.ids = {p: i for i, (p, _) in enumerate(pieces) if p}
         self.scores = {p: s for p, s in pieces if p}
@@ -65,11 +68,29 @@ class PrefixCounter:
         for p in self.ids:
             if MARK in p.lstrip(MARK) or not known.issuperset(p) or "\n" in p[1:] or p[:1] == "\n" != p:
                 raise ValueError(f"piece {p!r} crosses a word start or has a character without a piece")
-        self.pairs: dict[int, bool] = {}
+        self.with_steps = with_steps
+        self.pairs = IntTable()
         self.profiles: dict[int, tuple] = {}
-        self.words: dict[str, tuple[int, bytes]] = {}
+        self.words: dict = {}
+        self._make_trie()
         self.split = re.compile(f"{MARK}*[^{MARK}\n]+|{MARK}+|\n").findall
 
+    def _make_trie(self) -> None:
+        """Nodes for the beginnings of pieces; edges in a table by node and letter."""
+        self.alphabet = sorted({c for p in self.ids for c in p})
+        self.letters = np.full(0x110000, -1, np.int32)
+        self.letters[[ord(c) for c in self.alphabet]] = np.arange(len(self.alphabet))
+        number, edges = {c: i for i, c in enumerate(self.alphabet)}, {}
+        pieces = {0: -1}
+        for p, i in self.ids.items():
+            node = 0
+            for c in p:
+                node = edges.setdefault(node * len(number) + number[c], len(edges) + 1)
+                pieces.setdefault(node, -1)
+            pieces[node] = i
+        self.trie = IntTable(np.fromiter(edges, np.int64, len(edges)), np.fromiter(edges.values(), np.int64, len(edges)))
+        self.node_piece = np.fromiter((pieces[n] for n in range(len(pieces))), np.int64, len(pieces))
+
     def profile(self, piece: str) -> tuple[list[float], list[str], list[str]]:
         """How a piece merges by itself: the score of each merge in turn, and the first and the
         last part before each merge and at the end."""
@@ -115,8 +136,7 @@ class PrefixCounter:
 
     def counts(self, word: str) -> list[int]:
         """The number of tokens of each prefix, from the empty one on."""
-        ids, counts, last, width = self.ids, [0], [_UNKNOWN], len(self.pieces)
-        pairs = self.pairs
+        ids, counts, last = self.ids, [0], [_UNKNOWN]
         for end in range(1, len(word) + 1):
             if word[end - 1] not in ids:
                 counts.append(counts[-1] + len(word[end - 1].encode()))
@@ -124,42 +144,89 @@ class PrefixCounter:
                 continue
             for begin in range(max(0, end - self.longest), end):
                 piece = ids.get(word[begin:end])
-                if piece is not None:
-                    key = last[begin] * width + piece
-                    fits = pairs.get(key)
-                    if fits is None:
-                        if len(pairs) >= CACHED_PAIRS:
-                            pairs.clear()
-                        fits = pairs[key] = self.stays(last[begin], piece)
-                    if fits:
-                        counts.append(counts[begin] + 1)
-                        last.append(piece)
-                        break
+                if piece is not None and self._fits(np.array([last[begin]]), np.array([piece]))[0]:
+                    counts.append(counts[begin] + 1)
+                    last.append(piece)
+                    break
+        return counts
+
+    def _fits(self, before: np.ndarray, piece: np.ndarray) -> np.ndarray:
+        """``stays`` for many pairs, by a table of the answers so far."""
+        width = len(self.pieces)
+        keys = (before + 1) * width + piece
+        known = self.pairs.get(keys)
+        if (known < 0).any():
+            new = np.unique(keys[known < 0])
+            if self.pairs.size + len(new) > CACHED_PAIRS:
+                self.pairs, new = IntTable(), np.unique(keys)
+            self.pairs.add(new, np.array([self.stays(k // width - 1, k % width) for k in new.tolist()], np.int64))
+            known = self.pairs.get(keys)
+        return known == 1
+
+    def counts_together(self, words: list[str]) -> np.ndarray:
+        """``counts`` for words of one length, a row each: prefix by prefix for all words at once."""
+        n, length = len(words), len(words[0])
+        points = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32).reshape(n, length)
+        letters = self.letters[points]
+        unknown_cost = np.where(points < 0x80, 1, np.where(points < 0x800, 2, np.where(points < 0x10000, 3, 4)))
+        counts, last = np.zeros((n, length + 1), np.int32), np.full((n, length + 1), _UNKNOWN, np.int64)
+        # Places (word, begin) whose text up to ``end`` begins some piece, and its node in the trie.
+        word, begin, node = (np.zeros(0, np.int64) for _ in range(3))
+        every = np.arange(n)
+        for end in range(1, length + 1):
+            word, begin = np.append(word, every), np.append(begin, np.full(n, end - 1))
+            node = np.append(node, np.zeros(n, np.int64))
+            letter = letters[word, end - 1]
+            node = self.trie.get(node * len(self.alphabet) + np.maximum(letter, 0))
+            alive = (node >= 0) & (letter >= 0)
+            word, begin, node = word[alive], begin[alive], node[alive]
+            piece = self.node_piece[node]
+            some = np.flatnonzero(piece >= 0)
+            some = some[self._fits(last[word[some], begin[some]], piece[some])]
+            w = word[some]
+            counts[w, end] = counts[w, begin[some]] + 1
+            last[w, end] = piece[some]
+            odd = np.flatnonzero(letters[:, end - 1] < 0)
+            counts[odd, end] = counts[odd, end - 1] + unknown_cost[odd, end - 1]
         return counts
 
-    def word(self, word: str) -> tuple[int, bytes]:
-        """The word's count and the step of the count at each character, one signed byte each."""
-        found = self.words.get(word)
-        if found is None:
-            counts = self.counts(word)
-            found = counts[-1], np.diff(counts).astype(np.int8).tobytes()
-            if len(word) <= 48:
-                if len(self.words) >= CACHED_WORDS:
-                    self.words.clear()
-                self.words[word] = found
-        return found
-
-    def text(self, text: str, with_steps: bool) -> tuple[int, bytes]:
-        """The text's count and, if asked for, the steps of its prefixes' counts."""
-        if not text:
-            return 0, b""
-        found = list(map(self.word, self.split(MARK + text.replace(" ", MARK))))
-        total = sum(n for n, _ in found)
-        if not with_steps:
-            return total, b""
-        steps = np.frombuffer(b"".join(s for _, s in found), np.int8)
-        steps = np.append(steps[0] + steps[1], steps[2:]).astype(np.int8)  # the empty text has no leading space
-        return total, steps.tobytes()
+    def learn(self, words: set[str]) -> None:
+        """Hold, for these words, the count and the step of the count at each character (one signed byte each)."""
+        if len(self.words) + len(words) > CACHED_WORDS:
+            self.words.clear()
+        by_length: dict[int, list[str]] = {}
+        for w in words:
+            by_length.setdefault(len(w), []).append(w)
+        for length, same in by_length.items():
+            if length > 64:
+                counts = np.array([self.counts(w) for w in same], np.int32)
+            else:
+                counts = self.counts_together(same)
+            totals = counts[:, -1].tolist()
+            if self.with_steps:
+                steps = np.diff(counts, axis=1).astype(np.int8)
+                self.words.update(zip(same, zip(totals, map(np.ndarray.tobytes, steps))))
+            else:
+                self.words.update(zip(same, totals))
+
+    def texts(self, texts: list[str]) -> list[tuple[int, bytes]]:
+        """Each text's count and, where steps are held, the steps of the counts of its prefixes."""
+        split = [self.split(MARK + t.replace(" ", MARK)) if t else [] for t in texts]
+        if new := set().union(*split) - self.words.keys():
+            self.learn(new)
+            if lost := set().union(*split) - self.words.keys():  # the cache was full
+                self.learn(lost)
+        held = self.words
+        if not self.with_steps:
+            return [(sum(map(held.__getitem__, words)), b"") for words in split]
+        out = []
+        for words in split:
+            found = [held[w] for w in words]
+            steps = np.frombuffer(b"".join(s for _, s in found), np.int8)
+            if len(steps):  # the empty text has no leading space
+                steps = np.append(steps[0] + steps[1], steps[2:]).astype(np.int8)
+            out.append((sum(n for n, _ in found), steps.tobytes()))
+        return out
 
 
 def token_counts(docs: DataFrame, model_path: str, limit: int = 4096, with_steps: bool = False) -> DataFrame:
@@ -168,12 +235,13 @@ def token_counts(docs: DataFrame, model_path: str, limit: int = 4096, with_steps
     schema = "doc_id long, n_bytes long, n_tokens long, over_limit boolean" + (", steps binary" if with_steps else "")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache, key = worker_cache(), ("pieces", model_path)
+        cache, key = worker_cache(), ("pieces", model_path, with_steps)
         if key not in cache:
-            cache[key] = PrefixCounter(pieces.value)
+            cache[key] = PrefixCounter(pieces.value, with_steps)
         for batch in batches:
             raw = batch.column(1).to_pylist()
-            found = [cache[key].text((b or b"").decode("utf-8", "replace"), with_steps) for b in raw]
+            texts = [(b or b"").decode("utf-8", "replace") for b in raw]
+            found = [x for begin, end in runs(texts) for x in cache[key].texts(texts[begin:end])]
             counts = pa.array([n for n, _ in found], pa.int64())
             columns = [batch.column(0), pa.array([len(b or b"") for b in raw], pa.int64()), counts]
             columns.append(pa.array([n > limit for n, _ in found], pa.bool_()))
