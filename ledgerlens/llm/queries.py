@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ledgerlens.llm.byte_bpe import encode_decode
 from ledgerlens.llm.common import documents
+from ledgerlens.llm.decontaminate import contamination
 from ledgerlens.llm.exact_dedup import exact_dedup
 from ledgerlens.llm.oracle import ORACLES
 from ledgerlens.llm.sharding import kd_shards
@@ -31,6 +32,10 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(documents(spark, sf_dir), tokenizer("piece_bpe_32k.model"), limit=4096)
 
 
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contamination(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def op10_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kd_shards(documents(spark, sf_dir), n_shards=24)
 
@@ -39,6 +44,7 @@ LLM_QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
     "op4_byte_bpe": op4_byte_bpe,
     "op5_token_counts": op5_token_counts,
+    "op6_decontamination": op6_decontamination,
     "op10_kd_shards": op10_kd_shards,
 }
 
