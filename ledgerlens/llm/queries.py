@@ -8,6 +8,7 @@ from ledgerlens.llm.byte_bpe import encode_decode
 from ledgerlens.llm.common import documents
 from ledgerlens.llm.decontaminate import contamination
 from ledgerlens.llm.exact_dedup import exact_dedup
+from ledgerlens.llm.language_id import identify_language
 from ledgerlens.llm.oracle import ORACLES
 from ledgerlens.llm.sharding import kd_shards
 from ledgerlens.llm.token_counts import token_counts
@@ -36,6 +37,10 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify_language(documents(spark, sf_dir))
+
+
 def op10_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kd_shards(documents(spark, sf_dir), n_shards=24)
 
@@ -45,6 +50,7 @@ LLM_QUERIES = {
     "op4_byte_bpe": op4_byte_bpe,
     "op5_token_counts": op5_token_counts,
     "op6_decontamination": op6_decontamination,
+    "op7_language_id": op7_language_id,
     "op10_kd_shards": op10_kd_shards,
 }
 

@@ -75,7 +75,8 @@ def _units(rows: DataFrame, heaviest: float) -> tuple[DataFrame, DataFrame]:
     part = F.when(
         F.col("parts").isNotNull(), F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(0)), F.lit(7)), F.col("parts"))
     ).otherwise(F.lit(0))
-    placed = rows.join(parts, "group", "left").select(*rows.columns, part.cast("int").alias("part"))
+    # At most total / heaviest = shards / MAX_UNIT_SHARE groups are that heavy.
+    placed = rows.join(F.broadcast(parts), "group", "left").select(*rows.columns, part.cast("int").alias("part"))
     placed = materialize(placed, "shard-rows")
     units = placed.groupBy("group", "part").agg(
         F.sum("size").alias("bytes"),
