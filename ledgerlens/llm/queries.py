@@ -11,6 +11,7 @@ from ledgerlens.llm.exact_dedup import exact_dedup
 from ledgerlens.llm.language_id import identify_language
 from ledgerlens.llm.oracle import ORACLES
 from ledgerlens.llm.sharding import kd_shards
+from ledgerlens.llm.simhash import simhash_groups
 from ledgerlens.llm.token_counts import token_counts
 
 
@@ -25,6 +26,10 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(documents(spark, sf_dir))
 
 
+def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_groups(documents(spark, sf_dir), words=4, distance=4)
+
+
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_decode(documents(spark, sf_dir), tokenizer("byte_bpe_multi_50k.tiktoken"))
 
@@ -47,6 +52,7 @@ def op10_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 LLM_QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
+    "op3_simhash": op3_simhash,
     "op4_byte_bpe": op4_byte_bpe,
     "op5_token_counts": op5_token_counts,
     "op6_decontamination": op6_decontamination,
