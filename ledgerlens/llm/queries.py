@@ -12,6 +12,7 @@ from ledgerlens.llm.language_id import identify_language
 from ledgerlens.llm.oracle import ORACLES
 from ledgerlens.llm.sharding import kd_shards
 from ledgerlens.llm.simhash import simhash_groups
+from ledgerlens.llm.suffix_dedup import remove_repeats
 from ledgerlens.llm.token_counts import token_counts
 
 
@@ -26,6 +27,10 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(documents(spark, sf_dir))
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(documents(spark, sf_dir), depth=100)
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_groups(documents(spark, sf_dir), words=4, distance=4)
 
@@ -52,6 +57,7 @@ def op10_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 LLM_QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
+    "op2_suffix_dedup": op2_suffix_dedup,
     "op3_simhash": op3_simhash,
     "op4_byte_bpe": op4_byte_bpe,
     "op5_token_counts": op5_token_counts,
