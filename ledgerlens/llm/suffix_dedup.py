@@ -42,7 +42,7 @@ from pyspark.sql import functions as F
 
 from ledgerlens.functions.joins import nullsafe_join
 from ledgerlens.llm.common import pick
-from ledgerlens.llm.induced import Scratch, suffixes
+from ledgerlens.llm.induced import BUDGET, Scratch, suffixes
 from ledgerlens.session import materialize
 
 DEPTH = 100
@@ -218,89 +218,100 @@ def _cut_out(depth: int):
 _SPAN = "doc_id long, mark int, begin long, end long"
 
 
-def repeats_in_shard(pieces: list[bytes], order: np.ndarray, depth: int, scratch: Scratch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(piece, place in it) of strings of ``depth`` bytes that start earlier in another piece.
+class ShardText:
+    """The pieces of a shard as one text, in memory up to the budget and in a file beyond it."""
 
-    ``order``: for each piece a number that tells which starts earlier; the
-    string at place k of a piece has the number plus k.
+    def __init__(self, scratch: Scratch) -> None:
+        self.scratch, self.parts, self.file, self.held, self.sizes = scratch, [], None, 0, []
+
+    def add(self, pieces: pa.Array) -> None:
+        pieces = pieces.to_pylist()
+        self.sizes.append(np.array([len(p) for p in pieces], np.int64))
+        self.parts.append(b"".join(pieces))
+        self.held += len(self.parts[-1])
+        if self.held > self.scratch.budget // 4:
+            if self.file is None:
+                self.file = open(self.scratch.path(), "w+b")
+            self.file.write(b"".join(self.parts))
+            self.parts, self.held = [], 0
+
+    def text(self) -> np.ndarray:
+        if self.file is None:
+            return np.frombuffer(b"".join(self.parts), np.uint8)
+        self.file.write(b"".join(self.parts))
+        self.file.flush()
+        return np.memmap(self.file.name, np.uint8, "r")
+
+
+def repeats(text: np.ndarray, ends: np.ndarray, order: np.ndarray, depth: int, scratch: Scratch) -> np.ndarray:
+    """True at the places of ``text`` where a string of ``depth`` bytes starts that also starts earlier.
+
+    ``text`` is a row of pieces, which end before ``ends``; strings do not go
+    across them.  ``order``: for each piece a number that tells which starts
+    earlier; the string at place k of a piece has the number plus k.
     """
-    sizes = np.array([len(p) for p in pieces], np.int64)
-    ends = np.cumsum(sizes)
-    text = scratch.array(int(sizes.sum()), np.uint8)
-    at = 0
-    for p in pieces:
-        text[at : at + len(p)] = np.frombuffer(p, np.uint8)
-        at += len(p)
-    starts = ends - sizes
-    # Runs of suffixes with ``depth`` common bytes go out in blocks: the least number of a run is known at its end.
-    members: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-    least, open_run = scratch.array(len(text) // 2 + 2, np.int64), -1
+    starts = np.append(0, ends[:-1])
+    # Runs of suffixes with ``depth`` common bytes arrive in blocks; the earliest of a run is known at its end.
+    least, run = scratch.array(len(text) + 1, np.int64), -1
     least[:] = np.iinfo(np.int64).max
-    log = open(scratch.path(), "w+b") if len(text) * 24 > scratch.budget else None
-    for place, lcp in suffixes(text, depth, scratch):
-        joined = lcp >= depth
-        # Only suffixes with a neighbour in their run can repeat; the one before the block is kept back.
-        run = open_run + np.cumsum(~joined)
-        open_run = int(run[-1])
+    run_of, out = scratch.array(len(text), np.int64), scratch.array(len(text), bool)
+
+    def number(place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         piece = np.searchsorted(ends, place, "right")
-        number = order[piece] + place - starts[piece]
-        whole = place + depth <= ends[piece]
-        run, piece, place, number = run[whole], piece[whole], (place - starts[piece])[whole], number[whole]
-        rows = np.array([run, piece, place, number])
-        members.append(rows) if log is None else log.write(rows.T.tobytes())
-        if open_run >= len(least):
-            more = scratch.array(2 * open_run + 2, np.int64)
-            more[:] = np.iinfo(np.int64).max
-            more[: len(least)] = least
-            least = more
-        np.minimum.at(least, run, number)
-
-    def blocks() -> Iterator[np.ndarray]:
-        if log is None:
-            yield from members
-        else:
-            log.seek(0)
-            while chunk := log.read(32 << 16):
-                yield np.frombuffer(chunk, np.int64).reshape(-1, 4).T
-
-    for run, piece, place, number in blocks():
-        later = number > least[run]
-        yield piece[later], place[later]
-
-
-def _sort_shard(depth: int):
+        return order[piece] + place - starts[piece], place + depth <= ends[piece]
+
+    for place, lcp in suffixes(text, depth, scratch):
+        runs = run + np.cumsum(lcp < depth)
+        run = int(runs[-1])
+        run_of[place] = runs
+        numbers, whole = number(place)
+        np.minimum.at(least, runs[whole], numbers[whole])
+    for begin in range(0, len(text), 1 << 20):
+        place = np.arange(begin, min(len(text), begin + (1 << 20)))
+        numbers, whole = number(place)
+        out[place] = whole & (numbers > least[run_of[place]])
+    return out
+
+
+def _sort_shard(depth: int, budget: int):
     """Spans of bytes to remove from the documents of a shard's pieces."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        docs, places, pieces = [], [], []
-        for batch in batches:
-            docs.append(batch.column(1).to_numpy())
-            places.append(batch.column(2).to_numpy())
-            pieces.extend(batch.column(3).to_pylist())
-        if not pieces:
-            return
-        docs, places = np.concatenate(docs), np.concatenate(places)
-        _, rank = np.unique(docs, return_inverse=True)
-        scratch = Scratch()
+        scratch = Scratch(budget)
         try:
-            found = list(repeats_in_shard(pieces, (rank << 32) + (places >> 32), depth, scratch))
+            held, docs, places = ShardText(scratch), [], []
+            for batch in batches:
+                docs.append(batch.column(1).to_numpy())
+                places.append(batch.column(2).to_numpy())
+                held.add(batch.column(3))
+            if not docs or not sum(map(len, docs)):
+                return
+            docs, places, ends = np.concatenate(docs), np.concatenate(places), np.cumsum(np.concatenate(held.sizes))
+            _, rank = np.unique(docs, return_inverse=True)
+            gone = repeats(held.text(), ends, (rank << 32) + (places >> 32), depth, scratch)
+            starts = np.append(0, ends[:-1])
+            for begin in range(0, len(ends), 1 << 14):  # pieces
+                some = slice(begin, min(len(ends), begin + (1 << 14)))
+                base = int(starts[begin])
+                # A piece's last places never start a string, so no run goes across pieces.
+                change = np.diff(np.concatenate([[0], gone[base : int(ends[some][-1])].astype(np.int8), [0]]))
+                first, last = np.flatnonzero(change == 1) + base, np.flatnonzero(change == -1) + base
+                piece = np.searchsorted(ends, first, "right")
+                shift = (places[piece] >> 32) - starts[piece]
+                mark = (places[piece] & 0xFFFFFF).astype(np.int32)
+                columns = [docs[piece], mark, first + shift, last - 1 + depth + shift]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=_names(_SPAN))
         finally:
             scratch.close()
-        piece, place = (np.concatenate(c) for c in zip(*found)) if found else (np.zeros(0, np.int64),) * 2
-        order = np.argsort(piece << 9 | place)  # a piece has fewer than 512 places
-        piece, place = piece[order], place[order]
-        begin = np.append(True, (piece[1:] != piece[:-1]) | (place[1:] != place[:-1] + 1)) if len(piece) else place > 0
-        first = np.flatnonzero(begin)
-        last = np.append(first[1:], len(piece)) - 1 if len(first) else first
-        piece, start = piece[first], places[piece[first]] >> 32
-        columns = [docs[piece], (places[piece] & 0xFFFFFF).astype(np.int32), start + place[first], start + place[last] + depth]
-        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=_names(_SPAN))
 
     return work
 
 
-def removed_spans(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
-    """doc_id, mark, begin and end (bytes) of spans to remove; spans may overlap."""
+def removed_spans(docs: DataFrame, depth: int = DEPTH, budget: int = BUDGET) -> DataFrame:
+    """doc_id, mark, begin and end (bytes) of spans to remove; spans may overlap.
+
+    ``budget``: bytes that a shard's arrays and queues may take in memory before they go to disk.
+    """
     if not 2 * ANCHOR <= depth <= 255:
         raise ValueError(f"depth must be from {2 * ANCHOR} to 255 bytes")
     columns = "anchor", "content", "doc_id", "place"
@@ -318,7 +329,7 @@ def removed_spans(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
         "doc_id", "text", F.col("pieces.anchor").alias("anchors"), F.col("pieces.place").alias("places")
     )
     shipped = texts.mapInArrow(_cut_out(depth), "anchor long, doc_id long, place long, piece binary")
-    shards = shipped.repartition(max(1, -(-size // SHARD_BYTES)), "anchor").mapInArrow(_sort_shard(depth), _SPAN)
+    shards = shipped.repartition(max(1, -(-size // SHARD_BYTES)), "anchor").mapInArrow(_sort_shard(depth, budget), _SPAN)
     return materialize(whole.unionByName(shards), "spans")
 
 
