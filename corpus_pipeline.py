@@ -3,6 +3,9 @@
 ``STAGES`` lists (name, function); a function takes (spark, docs, sf_dir) and
 returns a DataFrame, which is written as Parquet and read back as the next
 one's ``docs``.  All stages but the last return the columns of documents.
+
+Ids name documents: the deduplication and decontamination stages decide by
+doc_id, and rows that repeat both id and text leave the exact dedup once.
 """
 
 from __future__ import annotations
@@ -10,22 +13,53 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlens.llm.common import documents, semi_join_ids
+from ledgerlens.llm.byte_bpe import encode_decode
+from ledgerlens.llm.common import documents, once, semi_join_ids
+from ledgerlens.llm.decontaminate import contamination
 from ledgerlens.llm.exact_dedup import exact_dedup
+from ledgerlens.llm.language_id import with_known_language
+from ledgerlens.llm.queries import tokenizer
+from ledgerlens.llm.simhash import simhash_groups
 from ledgerlens.session import materialize
 
 
-def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document with the largest id of each group of equal texts, once."""
+def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a letter, and null ones, go."""
+    return with_known_language(docs)
+
+
+def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts the document with the largest id stays."""
     kept = exact_dedup(docs).where("kept").select("doc_id")
-    return semi_join_ids(docs, kept)
+    return once(semi_join_ids(docs, kept), "doc_id", "text")
+
+
+def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of a group of near copies the document with the smallest id stays."""
+    groups = simhash_groups(docs, words=4, distance=4)
+    return semi_join_ids(docs, groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))))
+
+
+def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a window of a benchmark item go."""
+    found = contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return semi_join_ids(docs, found.where("not contaminated"))
+
+
+def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids (little-endian, 32 bits) and their byte offsets, with hashes of the ids and of what they decode to."""
+    return encode_decode(docs, tokenizer("byte_bpe_multi_50k.tiktoken"), keep_ids=True)
 
 
 STAGES = [
-    ("exact dedup", drop_exact_copies),
+    ("language ID", known_language),
+    ("exact dedup", without_copies),
+    ("SimHash near-dedup", without_near_copies),
+    ("benchmark decontamination", without_benchmark),
+    ("byte-level BPE", encoded),
 ]
 
-# Several stages (model training, tokenisation) have no SQL form.
+# Trained models and tokenisation have no SQL form; tests compare with a plain version.
 ORACLE_SQL = None
 
 

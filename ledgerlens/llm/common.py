@@ -27,6 +27,12 @@ def semi_join_ids(df: DataFrame, ids: DataFrame, column: str = "doc_id") -> Data
     return by_place.join(wanted, F.col(f"_in{at}").eqNullSafe(F.col("_wanted")), "left_semi").toDF(*df.columns)
 
 
+def once(df: DataFrame, *columns: str) -> DataFrame:
+    """One of the rows that agree in the named columns, all columns as they are."""
+    by_place = df.toDF(*[f"_in{i}" for i in range(len(df.columns))])
+    return by_place.dropDuplicates([f"_in{df.columns.index(c)}" for c in columns]).toDF(*df.columns)
+
+
 def ascii_lower(text: Column) -> Column:
     """``text`` with A-Z, and nothing else, in lower case."""
     return F.translate(text, string.ascii_uppercase, string.ascii_lowercase)

@@ -166,29 +166,39 @@ class CrossParser:
         ]
 
 
+def _worker_parser(shared, key: str) -> CrossParser:
+    cache = worker_cache()
+    if cache.get("parser_key") != key:
+        cache["parser_key"], cache["parser"] = key, CrossParser(shared.value)
+    return cache["parser"]
+
+
+def _share(docs: DataFrame, sample: dict[str, list[str]] | None):
+    sample = labelled_sample(docs) if sample is None else sample
+    key = hashlib.sha256(repr(sorted(sample.items())).encode()).hexdigest()
+    return docs.sparkSession.sparkContext.broadcast(sample), key
+
+
+def _predict(parser: CrossParser, column: pa.Array) -> list[tuple[str, float]]:
+    texts = [(b or b"").decode("utf-8", "replace") for b in column.cast(pa.binary()).to_pylist()]
+    return [found for begin, end in runs(texts, 8_000_000) for found in parser.predict(texts[begin:end])]
+
+
 def identify_language(docs: DataFrame, sample: dict[str, list[str]] | None = None) -> DataFrame:
     """doc_id, held_out, lang_pred and score (the share of the best language's likelihood per letter).
 
     Learns from the labelled rows of ``docs`` that are not held out, unless a
     sample (texts per language) is given.
     """
-    spark = docs.sparkSession
-    sample = labelled_sample(docs) if sample is None else sample
-    key = hashlib.sha256(repr(sorted(sample.items())).encode()).hexdigest()
-    shared = spark.sparkContext.broadcast(sample)
+    shared, key = _share(docs, sample)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = worker_cache()
-        if cache.get("parser_key") != key:
-            cache["parser_key"], cache["parser"] = key, CrossParser(shared.value)
+        parser = _worker_parser(shared, key)
         for batch in batches:
-            texts = [(b or b"").decode("utf-8", "replace") for b in batch.column(2).to_pylist()]
-            for begin, end in runs(texts, 8_000_000):
-                found = cache["parser"].predict(texts[begin:end])
-                part = batch.slice(begin, end - begin)
-                columns = [pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())]
-                names = ["doc_id", "held_out", "lang_pred", "score"]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *columns], names=names)
+            found = _predict(parser, batch.column(2))
+            columns = [pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())]
+            names = ["doc_id", "held_out", "lang_pred", "score"]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], names=names)
 
     rows = pick(docs, "doc_id", "text").select(
         F.col("doc_id").cast("long").alias("doc_id"),
@@ -196,3 +206,18 @@ def identify_language(docs: DataFrame, sample: dict[str, list[str]] | None = Non
         F.col("text").cast("binary").alias("text"),
     )
     return rows.mapInArrow(work, "doc_id long, held_out boolean, lang_pred string, score double")
+
+
+def with_known_language(docs: DataFrame, sample: dict[str, list[str]] | None = None) -> DataFrame:
+    """The rows of ``docs``, all columns as they are, whose language is not ``und``."""
+    shared, key = _share(docs, sample)
+    at = docs.columns.index("text")
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parser = _worker_parser(shared, key)
+        for batch in batches:
+            known = [lang != UNDETERMINED for lang, _ in _predict(parser, batch.column(at))]
+            yield batch.filter(pa.array(known, pa.bool_()))
+
+    by_place = docs.toDF(*[f"_in{i}" for i in range(len(docs.columns))])
+    return by_place.mapInArrow(work, by_place.schema).toDF(*docs.columns)

@@ -9,7 +9,9 @@ from ledgerlens.llm.common import documents
 from ledgerlens.llm.decontaminate import contamination
 from ledgerlens.llm.exact_dedup import exact_dedup
 from ledgerlens.llm.language_id import identify_language
+from ledgerlens.llm.licenses import scan_licenses
 from ledgerlens.llm.oracle import ORACLES
+from ledgerlens.llm.secrets import scan_secrets
 from ledgerlens.llm.sharding import kd_shards
 from ledgerlens.llm.simhash import simhash_groups
 from ledgerlens.llm.suffix_dedup import remove_repeats
@@ -51,6 +53,14 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify_language(documents(spark, sf_dir))
 
 
+def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_secrets(documents(spark, sf_dir))
+
+
+def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(documents(spark, sf_dir))
+
+
 def op10_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kd_shards(documents(spark, sf_dir), n_shards=24)
 
@@ -63,6 +73,8 @@ LLM_QUERIES = {
     "op5_token_counts": op5_token_counts,
     "op6_decontamination": op6_decontamination,
     "op7_language_id": op7_language_id,
+    "op8_secrets": op8_secrets,
+    "op9_licenses": op9_licenses,
     "op10_kd_shards": op10_kd_shards,
 }
 
