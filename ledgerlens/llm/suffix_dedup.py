@@ -144,6 +144,8 @@ def _cut(depth: int):
             texts = [t or b"" for t in batch.column(2).to_pylist()]
             for begin, end in _byte_runs(texts):
                 owner, start, strings, anchor, content = cutter.pieces(texts[begin:end])
+                if not len(owner):
+                    continue
                 doc, place = ids[begin:end][owner], _place(start, strings, marks[begin:end][owner])
                 order = np.lexsort((place, doc, content))
                 doc, place, anchor, content = doc[order], place[order], anchor[order], content[order]
