@@ -242,11 +242,13 @@ class Merger:
                 rank[some, k] = self._rank(ids[some, k], ids[some, k + 1])
 
     def learn(self, slices: set[str]) -> None:
-        """Hold the ids of these slices."""
-        if len(self.held) + len(slices) > CACHED:
+        """Hold the ids of these slices, and forget others if they would be too many."""
+        new = slices - self.held.keys()
+        if len(self.held) + len(new) > CACHED:
             self.held.clear()
+            new = slices
         by_length: dict[int, list[tuple[str, bytes]]] = {}
-        for s in slices:
+        for s in new:
             piece = s.encode()
             if piece in self.ranks or not 1 < len(piece) <= 40:
                 self.held[s] = np.array(merge(piece, self.ranks), "<u4").tobytes()
@@ -284,10 +286,7 @@ class ByteBpe:
             cuts = (starts[first[k] : first[k + 1] if k + 1 < len(texts) else len(starts)] - begin).tolist()
             slices.append(list(map(text.__getitem__, map(slice, cuts, [*cuts[1:], len(text)]))))
         held = self.merger.held
-        if new := set().union(*slices) - held.keys():
-            self.merger.learn(new)
-            if lost := set().union(*slices) - held.keys():  # the cache was full
-                self.merger.learn(lost)
+        self.merger.learn(set().union(*slices))
         return [b"".join(map(held.__getitem__, s)) for s in slices]
 
     def offsets(self, ids: np.ndarray) -> np.ndarray:

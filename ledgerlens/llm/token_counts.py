@@ -191,11 +191,14 @@ class PrefixCounter:
         return counts
 
     def learn(self, words: set[str]) -> None:
-        """Hold, for these words, the count and the step of the count at each character (one signed byte each)."""
-        if len(self.words) + len(words) > CACHED_WORDS:
+        """Hold, for these words, the count and the step of the count at each character (one signed
+        byte each); forget others if they would be too many."""
+        new = words - self.words.keys()
+        if len(self.words) + len(new) > CACHED_WORDS:
             self.words.clear()
+            new = words
         by_length: dict[int, list[str]] = {}
-        for w in words:
+        for w in new:
             by_length.setdefault(len(w), []).append(w)
         for length, same in by_length.items():
             if length > 64:
@@ -212,10 +215,7 @@ class PrefixCounter:
     def texts(self, texts: list[str]) -> list[tuple[int, bytes]]:
         """Each text's count and, where steps are held, the steps of the counts of its prefixes."""
         split = [self.split(MARK + t.replace(" ", MARK)) if t else [] for t in texts]
-        if new := set().union(*split) - self.words.keys():
-            self.learn(new)
-            if lost := set().union(*split) - self.words.keys():  # the cache was full
-                self.learn(lost)
+        self.learn(set().union(*split))
         held = self.words
         if not self.with_steps:
             return [(sum(map(held.__getitem__, words)), b"") for words in split]
