@@ -1,4 +1,4 @@
-"""Join helpers: null-safe equi-joins, checked broadcasts, splittable outer join.
+"""Join helpers: null-safe equi-joins and a splittable full outer join.
 
 Null-safe equality (``<=>``) is still an equi-join for Catalyst: it plans a
 hash / sort-merge join on ``coalesce(key) + isnull(key)``, never a nested
@@ -14,11 +14,6 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Largest lookup, in rows, that is ever broadcast.  Lookups are narrow
-# (a key and a few attributes), so this bounds the broadcast to tens of MB.
-DEFAULT_BROADCAST_MAX_ROWS = 1_000_000
-
-
 def nullsafe_join(
     left: DataFrame,
     right: DataFrame,
@@ -45,38 +40,22 @@ def nullsafe_join(
     return out
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int | None = None) -> DataFrame:
-    """Broadcast ``df`` only after checking it has at most ``max_rows`` rows.
-
-    The check is a job that reads at most ``max_rows + 1`` rows; a larger side
-    is returned unhinted and shuffled.  Lookup joins in the library do not
-    call this: they leave the choice to Spark, whose planner broadcasts only
-    sides whose estimated size is under ``spark.sql.autoBroadcastJoinThreshold``
-    and whose AQE re-plans from measured sizes.  Use it where an explicit
-    hint is wanted.
-    """
-    if max_rows is None:
-        max_rows = int(
-            df.sparkSession.conf.get("ledgerlens.broadcast.maxRows", str(DEFAULT_BROADCAST_MAX_ROWS))
-        )
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
-
-
 def full_outer_nullsafe(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
     """Full outer join on null-safe keys with the keys merged into one column.
 
-    One sort-merge (or shuffled hash) join: each side is shuffled once on the
-    keys.  AQE cannot split a hot key of a full outer join; a key with m rows
-    on one side and n on the other yields m x n rows by definition.
+    Written as a left outer join and a right anti join, whose hot keys
+    (the null key among them) AQE can split over many tasks; it cannot
+    for a full outer join.  A key with m rows on one side and n on the other
+    yields m x n rows by definition.
     """
     left_rest = [c for c in left.columns if c not in keys]
     right_rest = [c for c in right.columns if c not in keys]
     clash = set(left_rest) & set(right_rest)
     if clash:
         raise ValueError(f"non-key columns on both sides: {sorted(clash)}")
-    tmp = {k: f"__rk{i}_{k}" for i, k in enumerate(keys)}
-    r = right.withColumnsRenamed(tmp)
-    cond = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(tmp[k])) for k in keys])
-    merged = [F.coalesce(F.col(k), F.col(tmp[k])).alias(k) for k in keys]
-    return left.join(r, cond, "full").select(*merged, *left_rest, *right_rest)
+    matched = nullsafe_join(left, right, keys, "left").select(*keys, *left_rest, *right_rest)
+    unmatched = nullsafe_join(right, left.select(*keys), keys, "left_anti")
+    types = {f.name: f.dataType for f in left.schema.fields}
+    return matched.unionByName(
+        unmatched.select(*keys, *[F.lit(None).cast(types[c]).alias(c) for c in left_rest], *right_rest)
+    )

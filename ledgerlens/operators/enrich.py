@@ -9,7 +9,6 @@ threshold (AQE re-checks measured sizes); a large vendor master is shuffled.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from ledgerlens import schemas as S
 from ledgerlens.functions.joins import full_outer_nullsafe, nullsafe_join
@@ -27,13 +26,6 @@ def lookup_left(left: DataFrame, lookup: DataFrame, keys: list[str], suffix: str
     return nullsafe_join(left, lookup, keys, "left")
 
 
-def is_unique(df: DataFrame, keys: list[str]) -> bool:
-    """True when no key value (null counted as a value) occurs twice.
-
-    One aggregation over ``df``."""
-    return df.groupBy(*keys).count().where(F.col("count") > 1).isEmpty()
-
-
 def invoice_file(bsak: DataFrame, lfa1: DataFrame, t001: DataFrame, *, vendor_master: bool = True) -> DataFrame:
     """O1: vendor invoice lines with vendor master and company attributes.
 
@@ -42,25 +34,20 @@ def invoice_file(bsak: DataFrame, lfa1: DataFrame, t001: DataFrame, *, vendor_ma
     two currencies never collide.
 
     With ``vendor_master=False`` (for analytics that report no vendor-master
-    column) the vendor-master join is left out when the vendor key is unique
-    there: a left join on a unique key neither adds nor drops lines, and
-    skipping it saves a shuffle of the invoice lines when the master is too
-    big to broadcast.  A master with repeated keys is still joined, since
-    the original fans lines out over the repeats.
+    column) only the master's key is joined: a master with repeated keys fans
+    lines out just the same, and the columns never depend on the data.
     """
-    out = bsak
-    if vendor_master or not is_unique(lfa1, [S.VENDOR]):
-        out = lookup_left(bsak, lfa1, [S.VENDOR], "_vendor_master")
-    return lookup_left(out, t001, [S.COMPANY], "_company")
+    master = lfa1 if vendor_master else lfa1.select(S.VENDOR)
+    return lookup_left(lookup_left(bsak, master, [S.VENDOR], "_vendor_master"), t001, [S.COMPANY], "_company")
 
 
 def po_file(rseg: DataFrame, ekpo: DataFrame, ekbe: DataFrame) -> DataFrame:
     """O3: PO lines with invoice receipts and PO history, full outer on (PO, item).
 
     A PO item with m receipts and n history rows gives m x n rows, as the
-    original merge does, so a hot PO item is inherently expensive here.  The
-    analytics never build this table: they read the distinct (vendor,
-    reference) pairs of the history alone (see ``payables.po_pairs``).
+    original merge does; the joins are of kinds whose hot keys AQE splits.
+    Missing keys match missing keys.  The analytics never build this table:
+    they read its distinct (vendor, reference) pairs (see ``payables.po_pairs``).
     """
     keys = [S.PO_NUM, S.PO_ITEM]
     return full_outer_nullsafe(full_outer_nullsafe(rseg, ekpo, keys), ekbe, keys)

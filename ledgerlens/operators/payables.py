@@ -85,6 +85,12 @@ def flag_po_paid(eligible: DataFrame, pairs: DataFrame) -> DataFrame:
     )
 
 
+def flagged_once(eligible: DataFrame, pairs: DataFrame) -> DataFrame:
+    """``flag_po_paid``, written once: the lines and the per-vendor facts both
+    read it, so invoice lines and PO history are scanned and joined once."""
+    return materialize(flag_po_paid(eligible, pairs), "flagged-invoices")
+
+
 def vendor_flags(flagged: DataFrame) -> DataFrame:
     """One row per vendor (the null vendor is a vendor too): has PO / sundry lines."""
     return flagged.groupBy(S.VENDOR).agg(
@@ -112,7 +118,7 @@ def sundry_invoices(eligible: DataFrame, pairs: DataFrame) -> DataFrame:
 
 def vendors_paid_both_ways(eligible: DataFrame, pairs: DataFrame) -> DataFrame:
     """O7 (Task 1): every eligible line of vendors with both PO-paid and sundry lines."""
-    return vendors_paid_both_ways_flagged(flag_po_paid(eligible, pairs))
+    return vendors_paid_both_ways_flagged(flagged_once(eligible, pairs))
 
 
 def vendors_paid_both_ways_flagged(flagged: DataFrame) -> DataFrame:
@@ -127,7 +133,7 @@ def invoice_payment_mix(eligible: DataFrame, pairs: DataFrame) -> DataFrame:
     PO-paid lines are deduplicated (they come from an inner merge followed by
     drop-duplicates in the original); sundry lines are not.
     """
-    return invoice_payment_mix_flagged(flag_po_paid(eligible, pairs))
+    return invoice_payment_mix_flagged(flagged_once(eligible, pairs))
 
 
 def invoice_payment_mix_flagged(flagged: DataFrame) -> DataFrame:
@@ -348,6 +354,7 @@ __all__ = [
     "document_order",
     "eligible_invoices",
     "flag_po_paid",
+    "flagged_once",
     "invoice_frequency",
     "invoice_payment_mix",
     "invoice_payment_mix_flagged",

@@ -24,6 +24,7 @@ from ledgerlens.functions.dates import age_bucket, outstanding_days
 from ledgerlens.functions.joins import nullsafe_join
 from ledgerlens.functions.money import money, sum0
 from ledgerlens.functions.nullsafe import ne_keep_null
+from ledgerlens.session import materialize
 
 BALANCE_COLUMNS = [
     S.CUST,
@@ -41,6 +42,35 @@ def _credit_multiplicity(knkk: DataFrame) -> DataFrame:
     return knkk.where(F.col(S.CUST).isNotNull()).groupBy(S.CUST).agg(F.count(F.lit(1)).alias("_areas"))
 
 
+def _item_sums(bsid: DataFrame, *more: str) -> DataFrame:
+    """Debit and credit sums, whether there is an S or H item, and the earliest date, per (customer, reference, more)."""
+    ind, amt = F.col(S.IND), F.col(S.AMT_LOC)
+    return bsid.groupBy(S.CUST, S.REF, *more).agg(
+        F.sum(F.when(ind == S.DEBIT, amt)).alias("_s"),
+        F.sum(F.when(ind == S.CREDIT, amt)).alias("_h"),
+        F.max((ind == S.DEBIT) | (ind == S.CREDIT)).alias("_sh"),
+        F.min(S.DOC_DATE).alias(S.DOC_DATE),
+    )
+
+
+def _balances(sums: DataFrame, knkk: DataFrame | None, as_of: _dt.date | str, fan_out: bool) -> DataFrame:
+    """O17 from sums per (customer, reference)."""
+    agg = sums.where(F.col(S.CUST).isNotNull() & F.col(S.REF).isNotNull() & F.col("_sh"))
+    if fan_out and knkk is not None:
+        agg = agg.join(_credit_multiplicity(knkk), S.CUST, "left")
+        k = F.coalesce(F.col("_areas"), F.lit(1))
+    else:
+        k = F.lit(1)
+    out = (
+        agg.withColumn("Amount_S", money(F.coalesce(F.col("_s"), F.lit(0)) * k))
+        .withColumn("Amount_H", money(F.coalesce(F.col("_h"), F.lit(0)) * k))
+        .withColumn("Balance", money(F.col("Amount_S") - F.col("Amount_H")))
+        .withColumn("outstanding_days", outstanding_days("Balance", S.DOC_DATE, as_of))
+        .withColumn("type", age_bucket("outstanding_days"))
+    )
+    return out.select(BALANCE_COLUMNS)
+
+
 def document_balances(
     bsid: DataFrame,
     knkk: DataFrame | None = None,
@@ -55,34 +85,7 @@ def document_balances(
     is the earliest over all its items.  ``as_of`` is the aging date (a
     parameter, so results are reproducible).
     """
-    ind = F.col(S.IND)
-    amt = F.col(S.AMT_LOC)
-    agg = (
-        bsid.where(F.col(S.CUST).isNotNull() & F.col(S.REF).isNotNull())
-        .groupBy(S.CUST, S.REF)
-        .agg(
-            F.sum(F.when(ind == S.DEBIT, amt)).alias("_s"),
-            F.sum(F.when(ind == S.CREDIT, amt)).alias("_h"),
-            F.max((ind == S.DEBIT) | (ind == S.CREDIT)).alias("_sh"),
-            F.min(S.DOC_DATE).alias(S.DOC_DATE),
-        )
-        .where(F.col("_sh"))
-    )
-    if fan_out and knkk is not None:
-        agg = agg.join(_credit_multiplicity(knkk), S.CUST, "left")
-        k = F.coalesce(F.col("_areas"), F.lit(1))
-    else:
-        k = F.lit(1)
-    amount_s = money(F.coalesce(F.col("_s"), F.lit(0)) * k)
-    amount_h = money(F.coalesce(F.col("_h"), F.lit(0)) * k)
-    out = (
-        agg.withColumn("Amount_S", amount_s)
-        .withColumn("Amount_H", amount_h)
-        .withColumn("Balance", money(F.col("Amount_S") - F.col("Amount_H")))
-        .withColumn("outstanding_days", outstanding_days("Balance", S.DOC_DATE, as_of))
-        .withColumn("type", age_bucket("outstanding_days"))
-    )
-    return out.select(BALANCE_COLUMNS)
+    return _balances(_item_sums(bsid), knkk, as_of, fan_out)
 
 
 def ar_aging_by_customer(
@@ -98,7 +101,13 @@ def ar_aging_by_customer(
     their total, repeated for each of the customer's (company, credit limit,
     area) combinations; area ``CAN`` removed, a missing area kept.
     """
-    bal = document_balances(bsid, knkk, as_of=as_of, fan_out=fan_out)
+    # The items are read once: their sums per (customer, reference, company) are written, and give both
+    # the balances and the companies of a customer.
+    parts = materialize(_item_sums(bsid.where(F.col(S.CUST).isNotNull()), S.COMPANY), "item-sums")
+    sums = parts.groupBy(S.CUST, S.REF).agg(
+        F.sum("_s").alias("_s"), F.sum("_h").alias("_h"), F.max("_sh").alias("_sh"), F.min(S.DOC_DATE).alias(S.DOC_DATE)
+    )
+    bal = _balances(sums, knkk, as_of, fan_out)
     t = F.col("type")
     bal_col = F.col("Balance")
     by_cust = (
@@ -111,15 +120,7 @@ def ar_aging_by_customer(
             sum0(bal_col).alias("Total_Amount_Local_Currency"),
         )
     )
-    # Distinct customer attributes of the AR listing, built from distinct
-    # (customer, company) pairs of the open items (partial aggregation) and
-    # only for customers that have an overdue balance.
-    pairs = (
-        bsid.where(F.col(S.CUST).isNotNull())
-        .select(S.CUST, S.COMPANY)
-        .distinct()
-        .join(by_cust.select(S.CUST), S.CUST, "left_semi")
-    )
+    pairs = parts.select(S.CUST, S.COMPANY).distinct()
     attrs = nullsafe_join(pairs, knkk.select(S.CUST, S.LIMIT, S.AREA), [S.CUST], "left")
     attrs = nullsafe_join(
         attrs, t001.select(S.COMPANY, S.COMPANY_NAME, S.LOC_CUR), [S.COMPANY], "left"

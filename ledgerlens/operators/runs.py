@@ -1,229 +1,39 @@
 """Runs of consecutive values in an ordered sequence, per group.
 
-``[1, 4, 5, 6, 7, 9, 19, 21, 22, 23, 24] -> runs of length [1, 4, 1, 1, 4]``:
-a run continues while a value is the previous value + 1 (a repeat or a step
-down starts a new run).
-
-Groups up to a size bound are scanned by a window per group (native ``lag``
-and a running sum).  A window would put a whole group in one task, so a
-group holding a third of all rows would be sorted and scanned by one core;
-groups above the bound are therefore range-partitioned on (group, order),
-which splits a big group over many partitions, and scanned in three
-distributed steps:
-
-1. each partition is sorted and scanned locally (pandas on Arrow batches),
-   computing position, run index and run starts as if the partition began a
-   new group;
-2. one summary row per partition (first and last row) is folded in
-   partition order into a carry (position / run offsets) per partition; this
-   table has one row per partition (at most ``spark.sql.shuffle.partitions``),
-   so it is broadcast;
-3. rows of each partition's leading group segment add their carry.
-
-The input and the scanned rows are each written once under the checkpoint
-folder: the range partitioner's sampling job and the scan read the written
-input instead of recomputing it, both uses of the scan read the same rows, and
-the lineage is cut.
+Fixed values, the worked example: ``[1, 4, 5, 6, 7, 9, 19, 21, 22, 23, 24]``
+has runs of length ``[1, 4, 1, 1, 4]``; a run goes on while a value is the
+previous value + 1 (a repeat or a step down starts a new run).
+
+One path for groups of any size, in Spark's own window and aggregate
+operators, so values keep their exact type:
+
+1. the rows are range partitioned on (group, order), which spreads a big group
+   over many partitions, and written once with their partition number
+   (``functions.ordered``);
+2. a window over (partition, group) -- never more than one partition's rows --
+   numbers the rows and marks starts, except for a group's first row in a
+   partition;
+3. one summary row per (partition, group) tells how many rows and starts lie
+   before a partition and which value came last, and decides that first row;
+4. the summaries are joined back.
 """
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ledgerlens.functions.joins import nullsafe_join
-from ledgerlens.session import materialize
+from ledgerlens.functions.ordered import PARTITION, range_tagged
 
 POSITION = "position"
 RUN_INDEX = "run_index"
 IS_RUN_START = "is_run_start"
 
-_PID, _LOC, _LPOS, _LRUN, _LSTART, _LEAD = "_pid", "_loc", "_lpos", "_lrun", "_lstart", "_lead"
-
-
-def _eq_nullsafe(a: pd.Series, b: pd.Series) -> np.ndarray:
-    return ((a == b) | (a.isna() & b.isna())).to_numpy(dtype=bool)
-
-
-def _same_key(a: tuple, b: tuple) -> bool:
-    for x, y in zip(a, b):
-        xn, yn = pd.isna(x), pd.isna(y)
-        if xn or yn:
-            if not (xn and yn):
-                return False
-        elif x != y:
-            return False
-    return True
-
-
-def _local_scan(group_cols: list[str], value_col: str):
-    """Per-partition scan over batches in sorted order, carrying state across batches."""
-
-    def scan(batches):
-        prev_key = None  # group key of the previous row in this partition
-        prev_val = np.nan
-        carry_pos = 0
-        carry_run = 0
-        loc0 = 0
-        lead_open = True  # still in the partition's first group segment
-        for pdf in batches:
-            n = len(pdf)
-            if n == 0:
-                continue
-            g = pdf[group_cols]
-            val = pd.to_numeric(pdf[value_col], errors="coerce").to_numpy(dtype="float64", na_value=np.nan)
-            same = np.ones(n, dtype=bool)
-            for c in group_cols:
-                same &= _eq_nullsafe(g[c], g[c].shift(1))
-            prev_vals = np.empty(n)
-            prev_vals[1:] = val[:-1]
-            first_key = tuple(g.iloc[0])
-            if prev_key is None:
-                # Partition head: provisionally a new run of a continuing group;
-                # the carry fixes it up.
-                same[0] = True
-                prev_vals[0] = np.nan
-            else:
-                same[0] = _same_key(first_key, prev_key)
-                prev_vals[0] = prev_val
-            cont = same & (val == prev_vals + 1)
-            start = ~cont
-            new_grp = ~same
-            idx = np.arange(n)
-            seg_start = np.maximum.accumulate(np.where(new_grp, idx, -1))
-            lpos = np.where(seg_start >= 0, idx - seg_start + 1, carry_pos + idx + 1)
-            starts_cum = np.cumsum(start)
-            base = np.where(seg_start >= 0, starts_cum[np.maximum(seg_start, 0)] - 1, -carry_run)
-            lrun = starts_cum - base
-            lead = np.where(seg_start >= 0, False, lead_open)
-            out = pdf.copy()
-            out[_LOC] = np.arange(loc0, loc0 + n, dtype="int64")
-            out[_LPOS] = lpos.astype("int64")
-            out[_LRUN] = lrun.astype("int64")
-            out[_LSTART] = start
-            out[_LEAD] = lead
-            yield out
-            prev_key = tuple(g.iloc[-1])
-            prev_val = val[-1]
-            carry_pos = int(lpos[-1])
-            carry_run = int(lrun[-1])
-            lead_open = bool(lead[-1])
-            loc0 += n
 
-    return scan
-
-
-def _fold(ngroup: int):
-    """Fold partition summaries, in partition order, into per-partition carries."""
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(_PID)
-        prev = None  # (key, value, position, run) of the last row seen so far
-        rows = []
-        for r in pdf.to_dict("records"):
-            first_key = tuple(r[f"_f{i}"] for i in range(ngroup))
-            first_val = r["_fv"]
-            pos_carry, run_carry, start0 = 0, 0, True
-            if prev is not None and _same_key(first_key, prev[0]):
-                cont = not pd.isna(first_val) and not pd.isna(prev[1]) and first_val == prev[1] + 1
-                pos_carry = prev[2]
-                run_carry = prev[3] - (1 if cont else 0)
-                start0 = not cont
-            rows.append((r[_PID], pos_carry, run_carry, start0))
-            last_key = tuple(r[f"_l{i}"] for i in range(ngroup))
-            if r["_llead"]:
-                last_pos, last_run = r["_lpos"] + pos_carry, r["_lrun"] + run_carry
-            else:
-                last_pos, last_run = r["_lpos"], r["_lrun"]
-            prev = (last_key, r["_lv"], int(last_pos), int(last_run))
-        return pd.DataFrame(rows, columns=[_PID, "_pos_carry", "_run_carry", "_start0"])
-
-    return fold
-
-
-DEFAULT_HOT_GROUP_ROWS = 1_000_000
-
-
-def _window_runs(df: DataFrame, group_cols: list[str], order_exprs: list[Column], value_col: str) -> DataFrame:
-    """Runs by a window per group: for groups of bounded size only."""
-    w = Window.partitionBy(*group_cols).orderBy(*order_exprs)
-    v = F.col(value_col)
-    prev = F.lag(v).over(w)
-    start = ~F.coalesce(prev.isNotNull() & v.isNotNull() & (v == prev + 1), F.lit(False))
-    return (
-        df.withColumn(IS_RUN_START, start)
-        .withColumn(POSITION, F.row_number().over(w).cast("long"))
-        .withColumn(
-            RUN_INDEX,
-            F.sum(F.col(IS_RUN_START).cast("long")).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)),
-        )
-    )
-
-
-def _range_scan_runs(
-    src: DataFrame,
-    group_cols: list[str],
-    order_exprs: list[Column],
-    value_col: str,
-    num_partitions: int | None,
-) -> DataFrame:
-    """Runs by a range-partitioned scan: a group may span many partitions."""
-    sort_keys = [F.col(c) for c in group_cols] + order_exprs
-    # Without an explicit count AQE may merge adjacent ranges (order kept).
-    parts = [num_partitions] if num_partitions else []
-    ranged = (
-        src.repartitionByRange(*parts, *sort_keys)
-        .sortWithinPartitions(*sort_keys)
-        .withColumn(_PID, F.spark_partition_id())
-    )
-    out_schema = T.StructType(
-        ranged.schema.fields
-        + [
-            T.StructField(_LOC, T.LongType(), False),
-            T.StructField(_LPOS, T.LongType(), False),
-            T.StructField(_LRUN, T.LongType(), False),
-            T.StructField(_LSTART, T.BooleanType(), False),
-            T.StructField(_LEAD, T.BooleanType(), False),
-        ]
-    )
-    scanned = materialize(ranged.mapInPandas(_local_scan(group_cols, value_col), out_schema), "runs")
-
-    first = [F.min_by(F.col(c), F.col(_LOC)).alias(f"_f{i}") for i, c in enumerate(group_cols)]
-    last = [F.max_by(F.col(c), F.col(_LOC)).alias(f"_l{i}") for i, c in enumerate(group_cols)]
-    summary = scanned.groupBy(_PID).agg(
-        *first,
-        F.min_by(F.col(value_col), F.col(_LOC)).alias("_fv"),
-        *last,
-        F.max_by(F.col(value_col), F.col(_LOC)).alias("_lv"),
-        F.max_by(F.col(_LPOS), F.col(_LOC)).alias("_lpos"),
-        F.max_by(F.col(_LRUN), F.col(_LOC)).alias("_lrun"),
-        F.max_by(F.col(_LEAD), F.col(_LOC)).alias("_llead"),
-    )
-    carry_schema = T.StructType(
-        [
-            T.StructField(_PID, T.IntegerType(), False),
-            T.StructField("_pos_carry", T.LongType(), False),
-            T.StructField("_run_carry", T.LongType(), False),
-            T.StructField("_start0", T.BooleanType(), False),
-        ]
-    )
-    # One row per non-empty partition: bounded by the partition count.
-    carry = (
-        summary.withColumn("_one", F.lit(1))
-        .groupBy("_one")
-        .applyInPandas(_fold(len(group_cols)), carry_schema)
-    )
-    lead = F.col(_LEAD)
-    return (
-        scanned.join(F.broadcast(carry), _PID, "inner")
-        .withColumn(IS_RUN_START, F.when(F.col(_LOC) == 0, F.col("_start0")).otherwise(F.col(_LSTART)))
-        .withColumn(POSITION, F.when(lead, F.col(_LPOS) + F.col("_pos_carry")).otherwise(F.col(_LPOS)))
-        .withColumn(RUN_INDEX, F.when(lead, F.col(_LRUN) + F.col("_run_carry")).otherwise(F.col(_LRUN)))
-        .drop(_PID, _LOC, _LPOS, _LRUN, _LSTART, _LEAD, "_pos_carry", "_run_carry", "_start0")
-    )
+def _follows(value: Column, previous: Column) -> Column:
+    """Whether a value continues the run of the one before (false where one is missing)."""
+    return F.coalesce(value == F.try_add(previous, F.lit(1)), F.lit(False))
 
 
 def consecutive_runs(
@@ -231,37 +41,47 @@ def consecutive_runs(
     group_cols: list[str],
     order_cols: list[str | Column],
     value_col: str,
-    num_partitions: int | None = None,
-    hot_group_rows: int | None = None,
 ) -> DataFrame:
     """Add ``is_run_start``, ``position`` and ``run_index`` (both 1-based
     within the group) to every row.
 
     ``order_cols`` must give a total order inside each group (ties would make
     the result depend on the shuffle).  Column expressions are allowed.
-
-    Groups of at most ``hot_group_rows`` rows (default 1,000,000, setting
-    ``ledgerlens.runs.hotGroupRows``) are scanned by a window per group, which
-    holds at most that many rows per task.  Larger groups -- at most
-    rows / ``hot_group_rows`` of them, so their keys are broadcast -- go
-    through the range-partitioned scan.
     """
-    order_exprs = [F.col(c) if isinstance(c, str) else c for c in order_cols]
-    if hot_group_rows is None:
-        hot_group_rows = int(
-            df.sparkSession.conf.get("ledgerlens.runs.hotGroupRows", str(DEFAULT_HOT_GROUP_ROWS))
-        )
-    # The input is read several times (group sizes, the split, range
-    # sampling): write it once instead of recomputing its plan each time.
-    src = materialize(df, "runs-input")
-    hot = src.groupBy(*group_cols).count().where(F.col("count") > hot_group_rows).select(*group_cols)
-    if hot.isEmpty():
-        return _window_runs(src, group_cols, order_exprs, value_col)
-    hot = F.broadcast(hot)  # at most rows / hot_group_rows keys
-    normal = nullsafe_join(src, hot, group_cols, "left_anti")
-    big = nullsafe_join(src, hot, group_cols, "left_semi")
-    return _window_runs(normal, group_cols, order_exprs, value_col).unionByName(
-        _range_scan_runs(big, group_cols, order_exprs, value_col, num_partitions)
+    order = [F.col(c) if isinstance(c, str) else c for c in order_cols]
+    tagged = range_tagged(df, [F.col(c) for c in group_cols] + order, "runs")
+    here = [PARTITION, *group_cols]
+    local = Window.partitionBy(*here).orderBy(*order)
+    value = F.col(value_col)
+    rows = (
+        tagged.withColumn("_n", F.row_number().over(local))
+        .withColumn("_start", ~_follows(value, F.lag(value).over(local)))
+        .withColumn("_starts", F.sum((F.col("_start") & (F.col("_n") > 1)).cast("long")).over(local.rowsBetween(Window.unboundedPreceding, 0)))
+    )
+    # One row per partition and group it holds: their number is bounded by partitions + groups.
+    summary = rows.groupBy(*here).agg(
+        F.max("_n").cast("long").alias("_rows"),
+        F.max("_starts").alias("_starts_here"),
+        F.min_by(value_col, "_n").alias("_first"),
+        F.max_by(value_col, "_n").alias("_last"),
+    )
+    in_order = Window.partitionBy(*group_cols).orderBy(PARTITION)
+    before = in_order.rowsBetween(Window.unboundedPreceding, -1)
+    carried = summary.withColumn("_opens", ~_follows(F.col("_first"), F.lag("_last").over(in_order))).withColumn(
+        "_total", F.col("_starts_here") + F.col("_opens").cast("long")
+    )
+    carried = carried.select(
+        *here,
+        "_opens",
+        F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_rows_before"),
+        F.coalesce(F.sum("_total").over(before), F.lit(0)).alias("_runs_before"),
+    )
+    return (
+        nullsafe_join(rows, carried, here)
+        .withColumn(IS_RUN_START, F.when(F.col("_n") == 1, F.col("_opens")).otherwise(F.col("_start")))
+        .withColumn(POSITION, F.col("_rows_before") + F.col("_n"))
+        .withColumn(RUN_INDEX, F.col("_runs_before") + F.col("_opens").cast("long") + F.col("_starts"))
+        .drop(PARTITION, "_n", "_start", "_starts", "_opens", "_rows_before", "_runs_before")
     )
 
 

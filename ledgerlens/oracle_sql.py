@@ -14,7 +14,7 @@ from __future__ import annotations
 
 AS_OF = "DATE '1998-07-01'"
 
-# Column order of the enriched invoice file (O1).
+# Column order of the enriched invoice file (O1).
 INVOICE_COLUMNS = [
     "Company_Code",
     "Account_Number_of_Vendor_or_Creditor",
@@ -32,6 +32,7 @@ INVOICE_COLUMNS = [
     "Local_Currency_Key",
 ]
 
+# Column order of the Task 1 report.
 TASK1_COLUMNS = [
     "Company_Code",
     "Name_of_Company_Code_or_Company",
@@ -94,35 +95,32 @@ def _bsak(name: str, vendor: str, ref: str, where: str) -> str:
   WHERE {where})"""
 
 
+_PART_YEAR = "CAST(l_partkey AS VARCHAR) || '-' || CAST(year(o_orderdate) AS VARCHAR)"
+_CUSTOMER_MONTH = "CAST(o_custkey AS VARCHAR) || '-' || strftime(o_orderdate, '%Y%m')"
+
 _VARIANTS = {
-    # vendor = part, ref = supplier, open lines, orders 1998-01-01 .. 1999-07-01
+    # vendor = part in an order year, ref = supplier, open lines
     "part": dict(
-        vendor="l_partkey",
+        vendor=_PART_YEAR,
         ref="l_suppkey",
-        where="l_linestatus = 'O' AND o_orderdate >= DATE '1998-01-01' "
-        "AND o_orderdate < DATE '1999-07-01'",
-        lfa1="SELECT CAST(p_partkey AS VARCHAR) AS {V}, p_name AS Vendor_Name FROM part",
-        po_vendor="l_partkey",
-        po_ref="l_suppkey",
+        where="l_linestatus = 'O'",
+        lfa1="SELECT CAST(p_partkey AS VARCHAR) || '-' || CAST(y AS VARCHAR) AS {V}, p_name AS Vendor_Name "
+        "FROM part, range(1992, 2006) AS years(y)",
     ),
-    # vendor = supplier, ref = part, open lines, all dates
+    # vendor = supplier, ref = part, open lines
     "supp": dict(
         vendor="l_suppkey",
         ref="l_partkey",
         where="l_linestatus = 'O'",
         lfa1="SELECT CAST(s_suppkey AS VARCHAR) AS {V}, s_name AS Vendor_Name FROM supplier",
-        po_vendor="l_suppkey",
-        po_ref="l_partkey",
     ),
-    # vendor = customer, no returns, orders 1998-01-01 .. 1998-07-01
+    # vendor = customer in an order month, ref = supplier, all lines
     "cust": dict(
-        vendor="o_custkey",
+        vendor=_CUSTOMER_MONTH,
         ref="l_suppkey",
-        where="l_returnflag <> 'R' AND o_orderdate >= DATE '1998-01-01' "
-        "AND o_orderdate < DATE '1998-07-01'",
-        lfa1="SELECT CAST(c_custkey AS VARCHAR) AS {V}, c_name AS Vendor_Name FROM customer",
-        po_vendor="l_suppkey",
-        po_ref="l_partkey",
+        where="true",
+        lfa1=f"SELECT DISTINCT {_CUSTOMER_MONTH} AS {{V}}, c_name AS Vendor_Name "
+        "FROM orders JOIN customer ON o_custkey = c_custkey",
     ),
 }
 
@@ -143,9 +141,9 @@ eligible AS (
   SELECT * FROM invoice_file
   WHERE Document_Type IS DISTINCT FROM 'ZP' AND Document_Type IS DISTINCT FROM 'KZ'),
 ekbe AS (
-  SELECT CAST({v['po_vendor']} AS VARCHAR) AS Vendor_Account_Number,
-         CAST({v['po_ref']} AS VARCHAR) AS {REF}
-  FROM lineitem WHERE l_linestatus = 'F'),
+  SELECT CAST({v['vendor']} AS VARCHAR) AS Vendor_Account_Number,
+         CAST({v['ref']} AS VARCHAR) AS {REF}
+  FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_linestatus = 'F'),
 po_paid AS (
   SELECT DISTINCT {_cols('e', INVOICE_COLUMNS)}
   FROM eligible e JOIN ekbe p
@@ -384,17 +382,27 @@ PO_ITEM = "Item_Number_of_Purchasing_Document"
 
 
 def _q_po_file() -> str:
+    return _po_file("re.Invoice_Document_Number, h.Material_Document_Number")
+
+
+def _q_po_reference_pairs() -> str:
+    # Vendor and reference of every row of the PO file; missing where a receipt or line has no history.
+    return f"""SELECT DISTINCT Vendor_Account_Number, {REF} FROM (
+{_po_file(f"h.{PO_ITEM} AS Vendor_Account_Number, h.{PO_NUM} AS {REF}")})"""
+
+
+def _po_file(columns: str) -> str:
     return f"""WITH rseg AS (
   SELECT CAST(l_partkey AS VARCHAR) AS {PO_NUM}, CAST(l_suppkey AS VARCHAR) AS {PO_ITEM},
          CAST(l_orderkey AS VARCHAR) AS Invoice_Document_Number
-  FROM lineitem WHERE l_linestatus = 'O' AND l_returnflag = 'A'),
+  FROM lineitem WHERE l_linestatus = 'O' AND l_returnflag <> 'N'),
 ekpo AS (
   SELECT DISTINCT CAST(l_partkey AS VARCHAR) AS {PO_NUM}, CAST(l_suppkey AS VARCHAR) AS {PO_ITEM}
   FROM lineitem WHERE l_returnflag = 'N'),
 ekbe AS (
   SELECT CAST(l_partkey AS VARCHAR) AS {PO_NUM}, CAST(l_suppkey AS VARCHAR) AS {PO_ITEM},
          CAST(l_orderkey AS VARCHAR) AS Material_Document_Number
-  FROM lineitem WHERE l_linestatus = 'F' AND l_returnflag = 'R'),
+  FROM lineitem WHERE l_linestatus = 'F' AND l_returnflag <> 'N'),
 re AS (
   SELECT COALESCE(r.{PO_NUM}, e.{PO_NUM}) AS {PO_NUM},
          COALESCE(r.{PO_ITEM}, e.{PO_ITEM}) AS {PO_ITEM},
@@ -403,7 +411,7 @@ re AS (
     ON r.{PO_NUM} IS NOT DISTINCT FROM e.{PO_NUM} AND r.{PO_ITEM} IS NOT DISTINCT FROM e.{PO_ITEM})
 SELECT COALESCE(re.{PO_NUM}, h.{PO_NUM}) AS {PO_NUM},
        COALESCE(re.{PO_ITEM}, h.{PO_ITEM}) AS {PO_ITEM},
-       re.Invoice_Document_Number, h.Material_Document_Number
+       {columns}
 FROM re FULL OUTER JOIN ekbe h
   ON re.{PO_NUM} IS NOT DISTINCT FROM h.{PO_NUM} AND re.{PO_ITEM} IS NOT DISTINCT FROM h.{PO_ITEM}"""
 
@@ -549,6 +557,7 @@ def oracle_sql() -> dict[str, str]:
         "invoice_file": _q_invoice_file(),
         "repair_ragged_po_lines": _q_repair_ragged_po_lines(),
         "po_file": _q_po_file(),
+        "po_reference_pairs": _q_po_reference_pairs(),
         "eligible_invoices": _q_eligible(),
         "po_paid_invoices": _q_po_paid(),
         "sundry_invoices": _q_sundry(),

@@ -17,7 +17,6 @@ from pyspark.sql import functions as F
 
 from ledgerlens.operators import enrich, payables, receivables
 from ledgerlens.plans.sinks import write_report
-from ledgerlens.session import materialize
 
 
 @dataclass
@@ -41,7 +40,7 @@ def flagged_invoices(inp: PayablesInputs) -> DataFrame:
     """Eligible invoice lines with ``is_po_paid``, written once."""
     eligible = payables.eligible_invoices(enrich.invoice_file(inp.bsak, inp.lfa1, inp.t001))
     pairs = payables.po_pairs(inp.ekbe, inp.rseg, inp.ekpo)
-    return materialize(payables.flag_po_paid(eligible, pairs), "flagged-invoices")
+    return payables.flagged_once(eligible, pairs)
 
 
 def payables_reports(inp: PayablesInputs) -> dict[str, DataFrame]:

@@ -46,6 +46,10 @@ def q_po_file(spark, d):
     return enrich.po_file(tv.rseg(spark, d), tv.ekpo(spark, d), tv.ekbe(spark, d))
 
 
+def q_po_reference_pairs(spark, d):
+    return payables.po_pairs(tv.ekbe_with_vendors(spark, d), tv.rseg(spark, d), tv.ekpo(spark, d))
+
+
 def q_repair_ragged_po_lines(spark, d):
     return ragged.repair_ragged_lines(ragged.po_lines_from_lineitem(spark, d), ragged.PO_LINE_COLUMNS)
 
@@ -120,6 +124,7 @@ QUERIES: dict[str, Query] = {
     "invoice_file": q_invoice_file,
     "repair_ragged_po_lines": q_repair_ragged_po_lines,
     "po_file": q_po_file,
+    "po_reference_pairs": q_po_reference_pairs,
     "eligible_invoices": q_eligible_invoices,
     "po_paid_invoices": q_po_paid_invoices,
     "sundry_invoices": q_sundry_invoices,

@@ -38,36 +38,25 @@ def t001(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _order_period(start: str, end: str) -> Column:
-    """Orders dated in [start, end).  Literals of the column's own type
-    (timestamp without zone), so the range reaches the Parquet reader as a
-    pushed filter instead of a cast of every value."""
-    d = F.col("o_orderdate")
-    return (d >= F.lit(f"{start} 00:00:00").cast("timestamp_ntz")) & (d < F.lit(f"{end} 00:00:00").cast("timestamp_ntz"))
+# Vendor keys.  A vendor is a part in an order year, a supplier, or a customer in an order month; the
+# year and month keep vendors small enough for all four payment labels and for one-time vendors to occur
+# while every line is read.
+FIRST_YEAR, LAST_YEAR = 1992, 2005
 
 
+def _part_year() -> Column:
+    return F.concat_ws("-", _str("l_partkey"), F.year("o_orderdate").cast("string"))
+
+
+def _customer_month() -> Column:
+    return F.concat_ws("-", _str("o_custkey"), F.date_format("o_orderdate", "yyyyMM"))
+
+
+# Which lines are invoices and which PO history, and the vendor and reference of both sides.
 _AP = {
-    "part": dict(
-        vendor="l_partkey",
-        ref="l_suppkey",
-        where=lambda: (F.col("l_linestatus") == "O") & _order_period("1998-01-01", "1999-07-01"),
-        po_vendor="l_partkey",
-        po_ref="l_suppkey",
-    ),
-    "supp": dict(
-        vendor="l_suppkey",
-        ref="l_partkey",
-        where=lambda: F.col("l_linestatus") == "O",
-        po_vendor="l_suppkey",
-        po_ref="l_partkey",
-    ),
-    "cust": dict(
-        vendor="o_custkey",
-        ref="l_suppkey",
-        where=lambda: (F.col("l_returnflag") != "R") & _order_period("1998-01-01", "1998-07-01"),
-        po_vendor="l_suppkey",
-        po_ref="l_partkey",
-    ),
+    "part": dict(vendor=_part_year, ref="l_suppkey", where=lambda: F.col("l_linestatus") == "O"),
+    "supp": dict(vendor=lambda: _str("l_suppkey"), ref="l_partkey", where=lambda: F.col("l_linestatus") == "O"),
+    "cust": dict(vendor=_customer_month, ref="l_suppkey", where=lambda: F.lit(True)),
 }
 
 
@@ -85,7 +74,7 @@ def bsak(spark: SparkSession, sf_dir: str, variant: str = "part") -> DataFrame:
     flag = F.col("l_returnflag")
     return rows.select(
         _str("s_nationkey").alias(S.COMPANY),
-        _str(v["vendor"]).alias(S.VENDOR),
+        v["vendor"]().alias(S.VENDOR),
         _str("l_orderkey").alias(S.DOC),
         F.col("l_linenumber").alias(S.LINE),
         F.when(flag == "R", F.lit("ZP")).otherwise(flag).alias(S.DOC_TYPE),
@@ -101,55 +90,57 @@ def bsak(spark: SparkSession, sf_dir: str, variant: str = "part") -> DataFrame:
 def lfa1(spark: SparkSession, sf_dir: str, variant: str = "part") -> DataFrame:
     """Vendor master matching ``bsak(variant)``."""
     if variant == "part":
-        return table(spark, sf_dir, "part").select(_str("p_partkey").alias(S.VENDOR), F.col("p_name").alias(S.VENDOR_NAME))
+        years = F.explode(F.sequence(F.lit(FIRST_YEAR), F.lit(LAST_YEAR)))
+        parts = table(spark, sf_dir, "part").select("p_partkey", "p_name", years.alias("_year"))
+        key = F.concat_ws("-", _str("p_partkey"), _str("_year"))
+        return parts.select(key.alias(S.VENDOR), F.col("p_name").alias(S.VENDOR_NAME))
     if variant == "supp":
         return table(spark, sf_dir, "supplier").select(_str("s_suppkey").alias(S.VENDOR), F.col("s_name").alias(S.VENDOR_NAME))
-    return table(spark, sf_dir, "customer").select(_str("c_custkey").alias(S.VENDOR), F.col("c_name").alias(S.VENDOR_NAME))
+    months = table(spark, sf_dir, "orders").select("o_custkey", _customer_month().alias(S.VENDOR)).distinct()
+    names = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("o_custkey"), F.col("c_name").alias(S.VENDOR_NAME))
+    return months.join(names, "o_custkey").select(S.VENDOR, S.VENDOR_NAME)
 
 
 def ekbe_pairs(spark: SparkSession, sf_dir: str, variant: str = "part") -> DataFrame:
     """PO history (vendor, reference) of finished line items."""
     v = _AP[variant]
-    return (
-        table(spark, sf_dir, "lineitem")
-        .where(F.col("l_linestatus") == "F")
-        .select(_str(v["po_vendor"]).alias(S.PO_VENDOR), _str(v["po_ref"]).alias(S.REF))
-    )
+    lines = table(spark, sf_dir, "lineitem").where(F.col("l_linestatus") == "F")
+    if variant != "supp":  # their vendor key needs the order
+        orders = table(spark, sf_dir, "orders")
+        lines = lines.join(orders, lines.l_orderkey == orders.o_orderkey)
+    return lines.select(v["vendor"]().alias(S.PO_VENDOR), _str(v["ref"]).alias(S.REF))
+
+
+# The PO item of a line is (part, supplier).  Every line is in one of the three PO tables: returned and
+# accepted lines are receipts while open and history when finished; the others are PO lines.
+
+
+def _po_items(spark: SparkSession, sf_dir: str, where: Column, *more: Column) -> DataFrame:
+    lines = table(spark, sf_dir, "lineitem").where(where)
+    return lines.select(_str("l_partkey").alias(S.PO_NUM), _str("l_suppkey").alias(S.PO_ITEM), *more)
 
 
 def rseg(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Invoice receipts per PO item (open, accepted line items)."""
-    return (
-        table(spark, sf_dir, "lineitem")
-        .where((F.col("l_linestatus") == "O") & (F.col("l_returnflag") == "A"))
-        .select(
-            _str("l_partkey").alias(S.PO_NUM),
-            _str("l_suppkey").alias(S.PO_ITEM),
-            _str("l_orderkey").alias("Invoice_Document_Number"),
-        )
-    )
+    """Invoice receipts per PO item (open lines that were accepted or returned)."""
+    where = (F.col("l_linestatus") == "O") & (F.col("l_returnflag") != "N")
+    return _po_items(spark, sf_dir, where, _str("l_orderkey").alias("Invoice_Document_Number"))
 
 
 def ekpo(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """PO lines: distinct PO items of non-returned line items."""
-    return (
-        table(spark, sf_dir, "lineitem")
-        .where(F.col("l_returnflag") == "N")
-        .select(_str("l_partkey").alias(S.PO_NUM), _str("l_suppkey").alias(S.PO_ITEM))
-        .distinct()
-    )
+    """PO lines: distinct PO items of the other lines."""
+    return _po_items(spark, sf_dir, F.col("l_returnflag") == "N").distinct()
 
 
 def ekbe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """PO history rows (finished, returned line items)."""
-    return (
-        table(spark, sf_dir, "lineitem")
-        .where((F.col("l_linestatus") == "F") & (F.col("l_returnflag") == "R"))
-        .select(
-            _str("l_partkey").alias(S.PO_NUM),
-            _str("l_suppkey").alias(S.PO_ITEM),
-            _str("l_orderkey").alias("Material_Document_Number"),
-        )
+    """PO history rows (finished lines that were accepted or returned)."""
+    where = (F.col("l_linestatus") == "F") & (F.col("l_returnflag") != "N")
+    return _po_items(spark, sf_dir, where, _str("l_orderkey").alias("Material_Document_Number"))
+
+
+def ekbe_with_vendors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """PO history rows with the vendor (supplier) and reference (part) they were posted under."""
+    return ekbe(spark, sf_dir).select(
+        S.PO_NUM, S.PO_ITEM, F.col(S.PO_ITEM).alias(S.PO_VENDOR), F.col(S.PO_NUM).alias(S.REF)
     )
 
 
