@@ -31,7 +31,7 @@ import numpy as np
 
 BLOCK = 1 << 16
 #: Bytes that arrays and queues may hold in memory before they go to disk.
-BUDGET = 96 << 20
+BUDGET = 256 << 20
 
 
 class Scratch:

@@ -49,7 +49,7 @@ DEPTH = 100
 ANCHOR = 32
 #: Bytes of text that are cut into pieces at once, and of a shard.
 RUN_BYTES = 4 << 20
-SHARD_BYTES = 8 << 20
+SHARD_BYTES = 4 << 20
 
 _PLACE_BITS = 24  # a place in a run, below the hash that orders anchors
 _MIX = np.uint64(0xD6E8FEB86659FD93)
