@@ -256,7 +256,20 @@ def _runs(seq: DataFrame, order: str) -> DataFrame:
     raise ValueError(f"order must be 'document' or 'week', not {order!r}")
 
 
-def consecutive_run_lengths(sundry: DataFrame, order: str = "document", absolute: bool = False) -> DataFrame:
+def recurrence_runs(
+    sundry: DataFrame, order: str = "document", absolute: bool = False
+) -> tuple[DataFrame, DataFrame]:
+    """The recurring documents with their months and weeks, and the same with their runs, written once.
+
+    Both O12 and O13 can be built on them, see their ``shared`` parameter.
+    """
+    seq = _week_sequence(_recurring_documents(sundry), absolute)
+    return seq, materialize(_runs(seq, order), "recurrence-runs")
+
+
+def consecutive_run_lengths(
+    sundry: DataFrame, order: str = "document", absolute: bool = False, shared: tuple[DataFrame, DataFrame] | None = None
+) -> DataFrame:
     """Runs of consecutive weeks per recurring (vendor, amount).
 
     One row per run: ``run_index`` (1-based, in sequence order),
@@ -264,11 +277,13 @@ def consecutive_run_lengths(sundry: DataFrame, order: str = "document", absolute
     weeks in document order with repeats (as the original lists are built);
     ``order='week'`` scans the distinct weeks ascending.
     """
-    seq = _week_sequence(_recurring_documents(sundry), absolute)
-    return run_lengths(_runs(seq, order), [S.VENDOR, S.AMT_DOC], "week")
+    _, runs = shared or recurrence_runs(sundry, order, absolute)
+    return run_lengths(runs, [S.VENDOR, S.AMT_DOC], "week")
 
 
-def recurrence_profile(sundry: DataFrame, order: str = "document", absolute: bool = False) -> DataFrame:
+def recurrence_profile(
+    sundry: DataFrame, order: str = "document", absolute: bool = False, shared: tuple[DataFrame, DataFrame] | None = None
+) -> DataFrame:
     """Each recurring sundry document with its (vendor, amount) pattern.
 
     Per document: date, month, %W week and its ``position`` in the group's
@@ -281,8 +296,7 @@ def recurrence_profile(sundry: DataFrame, order: str = "document", absolute: boo
     ``consecutive_run_lengths``.
     """
     keys = [S.VENDOR, S.AMT_DOC]
-    seq = _week_sequence(_recurring_documents(sundry), absolute)
-    runs = _runs(seq, order)
+    seq, runs = shared or recurrence_runs(sundry, order, absolute)
     per_run = run_lengths(runs, keys, "week")
     per_group = per_run.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("run_count"),
@@ -362,6 +376,7 @@ __all__ = [
     "po_pairs",
     "po_paid_invoices",
     "recurrence_profile",
+    "recurrence_runs",
     "recurring_sundry",
     "recurring_totals",
     "single_document_vendor_invoices",

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from ledgerlens import schemas as S
 from ledgerlens.functions.dates import age_bucket, outstanding_days
 from ledgerlens.functions.joins import nullsafe_join
-from ledgerlens.functions.money import money, sum0
+from ledgerlens.functions.money import sum0, total
 from ledgerlens.functions.nullsafe import ne_keep_null
 from ledgerlens.session import materialize
 
@@ -62,9 +62,9 @@ def _balances(sums: DataFrame, knkk: DataFrame | None, as_of: _dt.date | str, fa
     else:
         k = F.lit(1)
     out = (
-        agg.withColumn("Amount_S", money(F.coalesce(F.col("_s"), F.lit(0)) * k))
-        .withColumn("Amount_H", money(F.coalesce(F.col("_h"), F.lit(0)) * k))
-        .withColumn("Balance", money(F.col("Amount_S") - F.col("Amount_H")))
+        agg.withColumn("Amount_S", total(F.coalesce(F.col("_s"), F.lit(0)) * k))
+        .withColumn("Amount_H", total(F.coalesce(F.col("_h"), F.lit(0)) * k))
+        .withColumn("Balance", total(F.col("Amount_S") - F.col("Amount_H")))
         .withColumn("outstanding_days", outstanding_days("Balance", S.DOC_DATE, as_of))
         .withColumn("type", age_bucket("outstanding_days"))
     )

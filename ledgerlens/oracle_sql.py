@@ -233,8 +233,8 @@ def _doc_totals() -> str:
     return f""",
 doc_totals AS (
   SELECT {V}, {DOC}, {DDATE},
-         CAST(COALESCE(SUM({AMT_LOC}), 0) AS DECIMAL(18,2)) AS {AMT_LOC},
-         CAST(COALESCE(SUM({AMT_DOC}), 0) AS DECIMAL(18,2)) AS {AMT_DOC}
+         CAST(COALESCE(SUM({AMT_LOC}), 0) AS DECIMAL(28,2)) AS {AMT_LOC},
+         CAST(COALESCE(SUM({AMT_DOC}), 0) AS DECIMAL(28,2)) AS {AMT_DOC}
   FROM sundry
   WHERE {V} IS NOT NULL AND {DOC} IS NOT NULL AND {DDATE} IS NOT NULL
   GROUP BY {V}, {DOC}, {DDATE}),
@@ -328,6 +328,7 @@ JOIN runmax m ON s.{V} = m.{V} AND s.{AMT_DOC} = m.{AMT_DOC}"""
     )
 
 
+# Column order of the Task 4 report.
 _TASK4_COLUMNS = [
     "Company_Code",
     "Name_of_Company_Code_or_Company",
@@ -460,12 +461,12 @@ h_amt AS (
   GROUP BY {CUST}, {REF}),
 totals AS (
   SELECT COALESCE(s.{CUST}, h.{CUST}) AS {CUST}, COALESCE(s.{REF}, h.{REF}) AS {REF},
-         CAST(COALESCE(s.Amount_S, 0) AS DECIMAL(18,2)) AS Amount_S,
-         CAST(COALESCE(h.Amount_H, 0) AS DECIMAL(18,2)) AS Amount_H
+         CAST(COALESCE(s.Amount_S, 0) AS DECIMAL(28,2)) AS Amount_S,
+         CAST(COALESCE(h.Amount_H, 0) AS DECIMAL(28,2)) AS Amount_H
   FROM s_amt s FULL OUTER JOIN h_amt h ON s.{CUST} = h.{CUST} AND s.{REF} = h.{REF}),
 with_dates AS (
   SELECT DISTINCT t.{CUST}, t.{REF}, t.Amount_S, t.Amount_H,
-         CAST(t.Amount_S - t.Amount_H AS DECIMAL(18,2)) AS Balance, l.{DDATE}
+         CAST(t.Amount_S - t.Amount_H AS DECIMAL(28,2)) AS Balance, l.{DDATE}
   FROM totals t LEFT JOIN listing l ON t.{CUST} = l.{CUST} AND t.{REF} = l.{REF}),
 min_date AS (
   SELECT {CUST}, {REF}, MIN({DDATE}) AS {DDATE} FROM with_dates GROUP BY {CUST}, {REF}),
@@ -502,10 +503,10 @@ def _q_ar_aging_by_customer() -> str:
 over60 AS (SELECT * FROM aged WHERE type IN ('60-90', '90-120', '> 120')),
 by_cust AS (
   SELECT {CUST},
-         CAST(SUM(CASE WHEN type = '60-90' THEN Balance ELSE 0 END) AS DECIMAL(18,2)) AS b1,
-         CAST(SUM(CASE WHEN type = '90-120' THEN Balance ELSE 0 END) AS DECIMAL(18,2)) AS b2,
-         CAST(SUM(CASE WHEN type = '> 120' THEN Balance ELSE 0 END) AS DECIMAL(18,2)) AS b3,
-         CAST(SUM(Balance) AS DECIMAL(18,2)) AS total
+         CAST(SUM(CASE WHEN type = '60-90' THEN Balance ELSE 0 END) AS DECIMAL(28,2)) AS b1,
+         CAST(SUM(CASE WHEN type = '90-120' THEN Balance ELSE 0 END) AS DECIMAL(28,2)) AS b2,
+         CAST(SUM(CASE WHEN type = '> 120' THEN Balance ELSE 0 END) AS DECIMAL(28,2)) AS b3,
+         CAST(SUM(Balance) AS DECIMAL(28,2)) AS total
   FROM over60 GROUP BY {CUST}),
 x AS (
   SELECT DISTINCT {CUST}, Company_Code, Name_of_Company_Code_or_Company, Local_Currency_Key,

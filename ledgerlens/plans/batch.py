@@ -11,12 +11,15 @@ from __future__ import annotations
 
 import datetime as _dt
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlens.operators import enrich, payables, receivables
 from ledgerlens.plans.sinks import write_report
+from ledgerlens.session import materialize, release
+from ledgerlens.sources import erp, ragged
 
 
 @dataclass
@@ -49,14 +52,15 @@ def payables_reports(inp: PayablesInputs) -> dict[str, DataFrame]:
     cols = [c for c in flagged.columns if c != payables.IS_PO]
     eligible = flagged.select(cols)
     sundry = flagged.where(~F.col(payables.IS_PO)).select(cols)
+    shared = payables.recurrence_runs(sundry)
     return {
         "task1": payables.vendors_paid_both_ways_flagged(flagged),
         "task2": payables.invoice_frequency(eligible),
         "task3": payables.recurring_sundry(sundry),
         "task4": payables.one_time_vendor_invoices(eligible),
         "invoice_file_type": payables.invoice_payment_mix_flagged(flagged),
-        "recur_invoice": payables.recurrence_profile(sundry),
-        "recur_weeks": payables.consecutive_run_lengths(sundry),
+        "recur_invoice": payables.recurrence_profile(sundry, shared=shared),
+        "recur_weeks": payables.consecutive_run_lengths(sundry, shared=shared),
         "one_time_vendors_invoices": payables.single_document_vendor_invoices(eligible),
     }
 
@@ -86,32 +90,62 @@ EXTRACT_FILES = {
 }
 
 
-def run_from_extracts(spark, folder: str, out_dir: str, as_of, fmt: str = "csv", fan_out: bool = True) -> dict[str, str]:
-    """Read the ERP extracts of ``folder`` and write Tasks 1-5 and the
-    dashboard extracts under ``out_dir``.  Missing PO-line / receipt files
-    are allowed (they only add the (null, null) PO pair)."""
-    import os
-
-    from ledgerlens.sources import erp, ragged
+# Inputs that may be left out on purpose: without them the (null, null) PO pair does not arise.
+OPTIONAL = ("rseg", "ekpo")
+
+
+def run_from_extracts(
+    spark,
+    folder: str,
+    out_dir: str,
+    as_of,
+    fmt: str = "csv",
+    fan_out: bool = True,
+    without: tuple[str, ...] = (),
+    multi_line: tuple[str, ...] = (),
+    fail_on_rejects: bool = False,
+) -> dict[str, str]:
+    """Read the ERP extracts of ``folder`` and write Tasks 1-5, the dashboard
+    extracts and a report of rejects under ``out_dir``.
+
+    Every extract must be there and have its columns; ``without`` names
+    optional ones (``rseg``, ``ekpo``) that are left out on purpose.
+    ``multi_line`` names extracts whose quoted cells hold line breaks.  The
+    rejects report lists cells that could not be read, records that do not
+    fit the header and PO lines that the rules cannot repair;
+    ``fail_on_rejects`` stops instead where there are any.
+    """
+    unknown = set(without) - set(OPTIONAL)
+    if unknown:
+        raise ValueError(f"only {OPTIONAL} may be left out, not {sorted(unknown)}")
 
     def path(key):
         return f"{folder.rstrip('/')}/{EXTRACT_FILES[key]}"
 
-    def exists(key):
-        p = path(key)
-        return "://" in p or os.path.exists(p)
-
-    ekpo = ragged.read_ragged_csv(spark, path("ekpo")) if exists("ekpo") else None
-    rseg = erp.read_rseg(spark, path("rseg")) if exists("rseg") else None
-    t001 = erp.read_t001(spark, path("t001"))
-    pin = PayablesInputs(
-        bsak=erp.read_bsak(spark, path("bsak")),
-        lfa1=erp.read_lfa1(spark, path("lfa1")),
-        t001=t001,
-        ekbe=erp.read_ekbe(spark, path("ekbe")),
-        rseg=rseg,
-        ekpo=ekpo,
-    )
-    rin = ReceivablesInputs(bsid=erp.read_bsid(spark, path("bsid")), knkk=erp.read_knkk(spark, path("knkk")), t001=t001)
-    reports = {**payables_reports(pin), **receivables_reports(rin, as_of, fan_out)}
-    return run_reports(reports, out_dir, fmt)
+    tables, rejected = {}, []
+    for key, (fields, rename, encoding) in erp.EXTRACTS.items():
+        if key not in without:
+            raw = erp.read_csv_text(spark, path(key), encoding, key in multi_line)
+            tables[key] = erp.typed(raw, fields, rename)
+            rejected.append(erp.rejects(raw, fields, EXTRACT_FILES[key]))
+    if "ekpo" not in without:
+        whole = "ekpo" in multi_line
+        tables["ekpo"] = ragged.read_ragged_csv(spark, path("ekpo"), whole_file=whole)
+        lost = ragged.rejected_ragged_lines(ragged.read_lines(spark, path("ekpo"), whole_file=whole))
+        rejected.append(
+            lost.select(
+                F.lit(EXTRACT_FILES["ekpo"]).alias("file"),
+                F.lit("po_line").alias("kind"),
+                F.lit(None).cast("string").alias("column"),
+                F.array_join(ragged.FIELDS, ",").alias("value"),
+            )
+        )
+    rejects = materialize(reduce(DataFrame.unionByName, rejected), "rejects")
+    if fail_on_rejects and not rejects.isEmpty():
+        raise ValueError(f"extracts with rejects, the first: {rejects.first()}")
+    pin = PayablesInputs(**{k: tables.get(k) for k in ("bsak", "lfa1", "t001", "ekbe", "rseg", "ekpo")})
+    rin = ReceivablesInputs(bsid=tables["bsid"], knkk=tables["knkk"], t001=tables["t001"])
+    reports = {**payables_reports(pin), **receivables_reports(rin, as_of, fan_out), "rejects": rejects}
+    written = run_reports(reports, out_dir, fmt)
+    release(spark)
+    return written

@@ -54,8 +54,11 @@ BELOW_LIMIT = "below limit"
 NO_LIMIT = "no limit"
 
 MONEY = T.DecimalType(18, 2)
+# Sums of amounts: the type Spark gives them.
+TOTAL = T.DecimalType(28, 2)
 
 # Output column lists of the audit reports.
+# Column order of the report.
 TASK1_COLUMNS = [
     COMPANY,
     COMPANY_NAME,
@@ -70,6 +73,7 @@ TASK1_COLUMNS = [
     REF,
 ]
 TASK3_COLUMNS = TASK1_COLUMNS
+# Column order of the report.
 TASK4_COLUMNS = [
     COMPANY,
     COMPANY_NAME,
@@ -83,7 +87,9 @@ TASK4_COLUMNS = [
     DOC_DATE,
     REF,
 ]
+# Column order of the report.
 SINGLE_DOC_COLUMNS = [c for c in TASK4_COLUMNS if c != COMPANY_NAME]
+# Column order of the report.
 TASK5_COLUMNS = [
     CUST,
     COMPANY,
@@ -97,10 +103,6 @@ TASK5_COLUMNS = [
 ]
 
 
-def _s(name: str) -> T.StructField:
-    return T.StructField(name, T.StringType(), True)
-
-
 # Raw CSV schemas: the columns the analytics name.  Real extracts carry more
 # columns; readers select by header name, so extra columns are ignored.
 BSAK_FIELDS = {

@@ -14,20 +14,15 @@ A 28 / 27-field line whose field 5 has too few commas cannot be repaired (the
 original script stops there); such lines are flagged and routed to
 ``rejected_ragged_lines`` instead of being dropped silently.
 
-Lines are split into fields by Python's ``csv`` module inside
-``mapInPandas`` (Spark's CSV parser reads empty cells and text after a
-closing quote differently, and the field count is what the rules key on);
-the rules themselves are native array expressions.
+Lines are split into cells by native expressions that follow the rules of
+Python's ``csv`` module (Spark's CSV parser reads empty cells and text after a
+closing quote differently, and the field count is what the rules key on).
 """
 
 from __future__ import annotations
 
-import csv
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ledgerlens import schemas as S
 
@@ -37,42 +32,33 @@ REJECTED = "_unrepairable"
 # Column names of the stand-in PO-line extract (29 fields).
 PO_LINE_COLUMNS = [S.PO_NUM, S.PO_ITEM] + [f"Field_{i:02d}" for i in range(2, S.EKPO_FIELD_COUNT)]
 
-
-# Fields travel back from Python as one string joined on this character: the
-# line reader splits records on it, so it never occurs inside a line.
-_SEP = "\u0001"
+# A cell and the comma behind it, in a line with a comma put behind it: quoted with text after the closing
+# quote, plain, or empty; or quoted and never closed, up to the end.
+_CELL = r'(?s)(?:"[^"]*+(?:""[^"]*+)*+"[^,]*+|[^",][^,]*+|),|"[^"]*+(?:""[^"]*+)*+\z'
+# The quoted part of a cell, and what follows the closing quote.
+_QUOTED = r'(?s)\A"([^"]*+(?:""[^"]*+)*+)"?(.*)\z'
+# A record and the line break behind it, in a whole file; line breaks in quotes belong to the record.
+_RECORD = r'(?s)((?:"[^"]*+(?:""[^"]*+)*+"|[^"\n]|"(?=[^"]*+\z))*+)\n'
 
 
-def _split_lines(batches):
-    for pdf in batches:
-        joined, counts = [], []
-        for line in pdf["value"]:
-            if line is None:
-                joined.append(None)
-                counts.append(None)
-            else:
-                fields = next(csv.reader([line]), [])
-                joined.append(_SEP.join(fields))
-                counts.append(len(fields))
-        yield pd.DataFrame({"_joined": joined, "_n": pd.array(counts, dtype="Int32")})
+def _cell(match: Column) -> Column:
+    """The content of a cell as matched, with its comma."""
+    raw = match.substr(F.lit(1), F.length(match) - 1)
+    inside = F.replace(F.regexp_extract(raw, _QUOTED, 1), F.lit('""'), F.lit('"'))
+    return F.when(raw.startswith('"'), F.concat(inside, F.regexp_extract(raw, _QUOTED, 2))).otherwise(raw)
 
 
 def split_csv_lines(lines: DataFrame, col: str = "value") -> DataFrame:
-    """One ``array<string>`` of CSV fields per line (Python csv rules).
-
-    Python returns each line's fields joined into one string plus their
-    count (one string per line crosses back instead of one per field); the
-    split into the array is native.  Lines must not contain U+0001.
-    """
-    schema = T.StructType(
-        [T.StructField("_joined", T.StringType(), True), T.StructField("_n", T.IntegerType(), True)]
-    )
-    parsed = lines.select(F.col(col).alias("value")).mapInPandas(_split_lines, schema)
+    """One ``array<string>`` of CSV fields per line (the rules of Python's csv module); a blank line
+    has none, a null line gives null.  Lines without a quote are simply split."""
+    line = F.col(col)
+    cells = F.transform(F.regexp_extract_all(F.concat(line, F.lit(",")), F.lit(_CELL), F.lit(0)), _cell)
     fields = (
-        F.when(F.col("_n") == 0, F.array().cast(T.ArrayType(T.StringType())))
-        .when(F.col("_n").isNotNull(), F.split(F.col("_joined"), _SEP, -1))
+        F.when(line == "", F.array().cast("array<string>"))
+        .when(line.contains('"'), cells)
+        .when(line.isNotNull(), F.split(line, ",", -1))
     )
-    return parsed.select(fields.alias(FIELDS))
+    return lines.select(fields.alias(FIELDS))
 
 
 def _drop_last_char(c: Column) -> Column:
@@ -129,33 +115,48 @@ def rejected_ragged_lines(lines: DataFrame, width: int = S.EKPO_FIELD_COUNT, col
     return rep.where(F.col(REJECTED)).select(FIELDS)
 
 
-def read_lines(spark: SparkSession, path: str, encoding: str = "ISO-8859-1", header: bool = True) -> DataFrame:
+def read_lines(
+    spark: SparkSession, path: str, encoding: str = "ISO-8859-1", header: bool = True, whole_file: bool = False
+) -> DataFrame:
     """Raw lines of CSV files as one ``value`` column, decoded with ``encoding``.
 
-    The CSV source with an unused separator and no quoting yields whole lines
-    and, unlike the text source, honours the encoding.  With ``header`` the
-    first line of every file is skipped.  Blank lines are skipped, and a
-    line break inside a quoted cell splits the record (the files are read
-    line-parallel; such files need a whole-file reader).
+    Files are split at line ends and read in parallel; blank lines are kept.
+    With ``header`` the lines at the beginning of files that equal the first
+    line of the first file are left out.  ``whole_file`` is for files whose
+    quoted cells hold line breaks: each file is read by one task and cut into
+    records instead of lines.
     """
-    return (
-        spark.read.option("sep", "\u0001")
-        .option("quote", "")
-        .option("escape", "")
-        .option("comment", "")
-        .option("encoding", encoding)
-        .option("header", header)
-        .option("inferSchema", False)
-        .schema(T.StructType([T.StructField("value", T.StringType(), True)]))
-        .csv(path)
+    if whole_file:
+        text = F.decode(F.col("value").cast("binary"), encoding)
+        # A line break at the very end ends the last record; otherwise one is put there.
+        text = F.regexp_replace(text, "\r\n", "\n")
+        text = F.when(text.endswith("\n"), text).otherwise(F.concat(text, F.lit("\n")))
+        records = F.regexp_extract_all(text, F.lit(_RECORD), F.lit(1))
+        if header:
+            records = F.slice(records, 2, F.greatest(F.size(records) - 1, F.lit(0)))
+        return spark.read.text(path, wholetext=True).select(F.explode(records).alias("value"))
+    # The text source hands bytes on as they are, so they can be decoded here.
+    lines = spark.read.text(path).select(
+        F.decode(F.col("value").cast("binary"), encoding).alias("value"), F.col("_metadata.file_block_start").alias("_start")
     )
+    if header:
+        first = lines.first()
+        if first is not None:
+            lines = lines.where((F.col("_start") > 0) | (F.col("value") != first["value"]))
+    return lines.select("value")
 
 
-def header_names(spark: SparkSession, path: str, width: int = S.EKPO_FIELD_COUNT, encoding: str = "ISO-8859-1") -> list[str]:
-    """Column names from the first line of the first file, repaired by the same rules."""
-    first = read_lines(spark, path, encoding=encoding, header=False).first()
-    line = spark.createDataFrame([(first["value"],)], "value string")
-    row = _repair(split_csv_lines(line), width).first()
+def header_names(
+    spark: SparkSession, path: str, width: int = S.EKPO_FIELD_COUNT, encoding: str = "ISO-8859-1", whole_file: bool = False
+) -> list[str]:
+    """Column names from the first line of the first file, repaired by the same rules.
+
+    A header that is missing or cannot be repaired raises ``ValueError``.
+    """
+    first = read_lines(spark, path, encoding=encoding, header=False, whole_file=whole_file).limit(1)
+    row = _repair(split_csv_lines(first), width).first()
+    if row is None or row[REJECTED] or not row[FIELDS]:
+        raise ValueError(f"no usable header line in {path}: {row and row[FIELDS]}")
     names = list(row[FIELDS])
     return (names + [f"_c{i}" for i in range(len(names), width)])[:width]
 
@@ -166,12 +167,12 @@ def read_ragged_csv(
     width: int = S.EKPO_FIELD_COUNT,
     encoding: str = "ISO-8859-1",
     blank_as_null: bool = False,
+    whole_file: bool = False,
 ) -> DataFrame:
-    """Read and repair a ragged extract: header names, then repaired rows."""
-    names = header_names(spark, path, width, encoding)
-    return repair_ragged_lines(
-        read_lines(spark, path, encoding=encoding, header=True), names, blank_as_null=blank_as_null
-    )
+    """Read and repair a ragged extract: header names, then repaired rows (blank lines as rows of nulls)."""
+    names = header_names(spark, path, width, encoding, whole_file)
+    lines = read_lines(spark, path, encoding=encoding, header=True, whole_file=whole_file)
+    return repair_ragged_lines(lines, names, blank_as_null=blank_as_null)
 
 
 # ------------------------------------------------------------ stand-in extract
@@ -197,24 +198,13 @@ def _po_line_fields(li: DataFrame) -> list[Column]:
     return fields
 
 
-def po_lines_from_lineitem(spark: SparkSession, sf_dir: str, partitions: int | None = None) -> DataFrame:
+def po_lines_from_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw extract lines derived from every line item, damaged the way the
     real extract is: by line number mod 4, 1 -> cells 5 and 6 merged (28
     fields), 2 -> cells 5-7 merged with an empty middle (27 fields), 3 ->
     1-4 extra cells after cell 5 (30-33 fields), 0 -> intact.
-
-    The lines are spread over ``partitions`` (default: the shuffle
-    partitions), as a large extract file is read in many splits.
     """
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    li = (
-        spark.read.parquet(f"{sf_dir}/lineitem.parquet")
-        .select(
-            "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_returnflag",
-            "l_linestatus", "l_shipdate", "l_extendedprice", "l_discount", "l_tax",
-        )
-        .repartition(n)
-    )
+    li = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
     names = [f"f{i}" for i in range(S.EKPO_FIELD_COUNT)]
     # Fields first, as columns: the damaged variants then reference columns
     # instead of repeating 29 field expressions in every branch.

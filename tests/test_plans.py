@@ -1,6 +1,8 @@
 """Plan shape: equi-joins (no nested loops), filters reach the scan, one
 aggregation exchange for balances."""
 
+import re
+
 import __spark_entry__ as E
 
 from conftest import SF_SMALL
@@ -17,8 +19,12 @@ def test_entry_runs(spark):
 
 
 def test_every_query_and_oracle_registered():
-    assert set(E.oracle_sql()) == set(E.queries())
-    assert len(E.queries()) == 19
+    from ledgerlens.oracle_sql import oracle_sql
+    from ledgerlens.plans.queries import QUERIES
+
+    assert set(oracle_sql()) == set(QUERIES) <= set(E.queries())
+    assert set(E.oracle_sql()) <= set(E.queries())
+    assert len(QUERIES) == 20
 
 
 def test_po_matching_is_an_equi_join(spark):
@@ -43,16 +49,50 @@ def test_balances_single_aggregation_shuffle(spark):
     assert sum("Reference_Document_Number" in a for a in aggs) == 2
 
 
-def test_runs_use_python_only_for_hot_groups(spark):
-    from pyspark.sql import functions as F
-
-    from ledgerlens.operators.runs import consecutive_runs
-
-    df = spark.range(200).select((F.col("id") % 5).cast("string").alias("g"), F.col("id").alias("pos"), (F.col("id") % 7).alias("w"))
-    normal = consecutive_runs(df, ["g"], ["pos"], "w")            # 40 rows per group: under the bound
-    normal.count()
-    assert "MapInPandas" not in _plan(normal)
-    hot = consecutive_runs(df, ["g"], ["pos"], "w", hot_group_rows=10)  # every group above the bound
-    hot.count()
-    assert "Window" in _plan(normal)
-    assert {r.g for r in hot.select("g").distinct().collect()} == {str(i) for i in range(5)}
+def test_runs_have_no_python(spark):
+    for name in ("recurrence_profile", "consecutive_run_lengths", "repair_ragged_po_lines"):
+        plan = _plan(E.queries()[name](spark, SF_SMALL))
+        assert not re.search("Python|Pandas|Arrow", plan), name
+
+
+def _scans(spark, monkeypatch, name, table):
+    """Scans of a test table in all plans a query runs, those of its written intermediates included."""
+    from ledgerlens import session
+    from ledgerlens.operators import payables, receivables
+
+    plans = []
+    original = session.materialize
+
+    def noted(df, label="stage"):
+        plans.append(_plan(df))
+        return original(df, label)
+
+    monkeypatch.setattr(payables, "materialize", noted)
+    monkeypatch.setattr(receivables, "materialize", noted)
+    plans.append(_plan(E.queries()[name](spark, SF_SMALL)))
+    return [line for p in plans for line in p.splitlines() if "FileScan parquet" in line and f"/{table}.parquet" in line]
+
+
+def test_big_tables_are_scanned_once(spark, monkeypatch):
+    for name in ("vendors_paid_both_ways", "invoice_payment_mix"):
+        lines = _scans(spark, monkeypatch, name, "lineitem")
+        assert len(lines) == 2, name  # invoice lines and PO history
+    assert len(_scans(spark, monkeypatch, "ar_aging_by_customer", "lineitem")) == 1
+
+
+def test_no_date_predicate_and_whole_views(spark, monkeypatch):
+    from ledgerlens.sources import testviews as tv
+
+    lines = spark.read.parquet(f"{SF_SMALL}/lineitem.parquet")
+    assert tv.bsak(spark, SF_SMALL, "part").count() == tv.bsak(spark, SF_SMALL, "supp").count() == lines.where("l_linestatus = 'O'").count()
+    assert tv.bsak(spark, SF_SMALL, "cust").count() == lines.count()
+    parts = tv.rseg(spark, SF_SMALL).count() + tv.ekbe(spark, SF_SMALL).count() + lines.where("l_returnflag = 'N'").count()
+    assert parts == lines.count()
+    for variant in ("part", "supp", "cust"):
+        plan = _plan(tv.bsak(spark, SF_SMALL, variant))
+        filters = " ".join(re.findall(r"(?:DataFilters|PushedFilters): \[[^\]]*\]", plan))
+        assert "date" not in filters
+    types = {r[0] for r in tv.bsak(spark, SF_SMALL, "part").select("Document_Type").distinct().collect()}
+    assert "ZP" in types
+    labels = {r["type"] for r in E.queries()["invoice_payment_mix"](spark, SF_SMALL).select("type").distinct().collect()}
+    assert len(labels) == 4

@@ -1,5 +1,5 @@
-"""Property tests: the single-pass Spark forms equal the step-by-step
-recipes (restated in plain Python) on random frames with missing values."""
+"""Property tests: the Spark forms equal the definitions of their results on
+random frames with missing values."""
 
 import datetime as dt
 import random
@@ -33,45 +33,34 @@ def _rand_rows(rnd, n):
     return rows
 
 
-def _recipe(rows, hist):
-    """Task 1 and the payment mix, step by step (merge = null matches null)."""
-    cols = list(range(len(rows[0])))
-    v, ref, typ = 2, 7, 5
-    eligible = [r for r in rows if r[typ] not in ("ZP", "KZ")]
-    hist = set(hist)
-    po_paid = list(dict.fromkeys(r for r in eligible if (r[v], r[ref]) in hist))  # inner merge + drop dups
-    po_set = set(po_paid)
-    po_vendors = {r[v] for r in po_paid}
-    avi = [r for r in eligible if r[v] in po_vendors]
-    notin = [r for r in avi if r not in po_set]
-    notin_vendors = {r[v] for r in notin}
-    task1 = [r for r in avi if r[v] in notin_vendors]
-    avi_set = set(avi)
-    mix = (
-        [(r, "both_sundry") for r in notin]
-        + [(r, "only_sundry") for r in eligible if r not in avi_set]
-        + [(r, "both_po") for r in po_paid if r[v] in notin_vendors]
-        + [(r, "only_po") for r in po_paid if r[v] not in notin_vendors]
-    )
-    return task1, mix
-
-
-def test_both_ways_and_mix_equal_recipe(spark):
+def _by_definition(rows, history):
+    """Task 1 and the payment mix from what they mean: a vendor has PO-backed lines, others, or both."""
+    vendor, ref, kind = 2, 7, 5
+    lines = [r for r in rows if r[kind] not in S.PAYMENT_DOC_TYPES]
+    backed = {r: (r[vendor], r[ref]) in set(history) for r in lines}
+    with_po = {r[vendor] for r in lines if backed[r]}
+    without_po = {r[vendor] for r in lines if not backed[r]}
+    both = with_po & without_po
+    mix = Counter((r, "both_sundry" if r[vendor] in both else "only_sundry") for r in lines if not backed[r])
+    mix += Counter((r, "both_po" if r[vendor] in both else "only_po") for r in set(lines) if backed[r])
+    return [r for r in lines if r[vendor] in both], mix
+
+
+def test_both_ways_and_mix_equal_their_definition(spark):
     rnd = random.Random(2024)
     for trial in range(TRIALS):
         rows = _rand_rows(rnd, rnd.randint(5, 40))
         hist = [(rnd.choice(["A", "B", "C", None]), rnd.choice(["1", "2", "3", None])) for _ in range(rnd.randint(0, 5))]
-        task1, mix = _recipe(rows, hist)
+        hist = hist or [("none", "none")]
+        task1, mix = _by_definition(rows, hist)
         elig = P.eligible_invoices(invoices(spark, rows))
-        h = pairs(spark, hist) if hist else pairs(spark, [("none", "none")])
-        if not hist:
-            task1, mix = _recipe(rows, [("none", "none")])
+        h = pairs(spark, hist)
         got1 = Counter(tuple(r) for r in P.vendors_paid_both_ways(elig, h).collect())
         idx = [0, 1, 2, 9, 12, 10, 11, 3, 6, 5, 7]  # TASK1_COLUMNS positions in the input tuple
         exp1 = Counter(tuple(r[i] for i in idx) for r in task1)
         assert got1 == exp1, trial
         got_mix = Counter((tuple(r[:-1]), r[-1]) for r in P.invoice_payment_mix(elig, h).collect())
-        assert got_mix == Counter(mix), trial
+        assert got_mix == mix, trial
 
 
 BSID = T.StructType(
@@ -86,33 +75,22 @@ BSID = T.StructType(
 )
 
 
-def _balance_recipe(items, knkk, as_of):
-    """Listing (fan-out) -> S sums, H sums, outer merge, fill 0, earliest date."""
-    listing = []
-    for it in items:
-        matches = [k for k in knkk if k == it[1]]
-        listing += [it] * max(1, len(matches))
-    s, h, dates = {}, {}, {}
-    for c, k, ref, ind, amt, d in listing:
-        if k is None or ref is None:
-            continue
-        dates.setdefault((k, ref), []).append(d)
-        if ind == "S":
-            s[(k, ref)] = s.get((k, ref), Decimal(0)) + (amt or 0)
-        elif ind == "H":
-            h[(k, ref)] = h.get((k, ref), Decimal(0)) + (amt or 0)
+def _balances_by_definition(items, knkk, as_of):
+    """Per key: signed sums times the customer's credit areas, the earliest date of all items, days open."""
     out = {}
-    for key in set(s) | set(h):
-        a, b = s.get(key, Decimal(0)), h.get(key, Decimal(0))
-        bal = a - b
-        ds = [d for d in dates[key] if d is not None]
-        d = min(ds) if ds else None
-        days = 0 if bal <= 0 else ((as_of - d).days if d else None)
-        out[key] = (a, b, bal, d, days)
+    for key in {(i[1], i[2]) for i in items if i[1] is not None and i[2] is not None}:
+        own = [i for i in items if (i[1], i[2]) == key]
+        if not any(i[3] in ("S", "H") for i in own):
+            continue
+        areas = max(1, knkk.count(key[0]))
+        debit, credit = (areas * sum((i[4] or Decimal(0) for i in own if i[3] == k), Decimal(0)) for k in "SH")
+        date = min((i[5] for i in own if i[5] is not None), default=None)
+        days = 0 if debit <= credit else (as_of - date).days if date else None
+        out[key] = (debit, credit, debit - credit, date, days)
     return out
 
 
-def test_balances_equal_recipe(spark):
+def test_balances_equal_their_definition(spark):
     rnd = random.Random(99)
     as_of = dt.date(2018, 12, 1)
     for trial in range(TRIALS):
@@ -125,7 +103,7 @@ def test_balances_equal_recipe(spark):
             for _ in range(rnd.randint(1, 30))
         ]
         knkk = [rnd.choice(["C1", "C2"]) for _ in range(rnd.randint(0, 4))]
-        exp = _balance_recipe(items, knkk, as_of)
+        exp = _balances_by_definition(items, knkk, as_of)
         kdf = spark.createDataFrame([(k, "US01", Decimal("1.00")) for k in knkk] or [("none", None, None)],
                                     f"`{S.CUST}` string, `{S.AREA}` string, `{S.LIMIT}` decimal(18,2)")
         got = R.document_balances(spark.createDataFrame(items, BSID), kdf, as_of=as_of).collect()

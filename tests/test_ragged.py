@@ -1,6 +1,9 @@
 import csv
 import io
 import os
+import random
+
+import pytest
 
 from ledgerlens.sources import ragged
 
@@ -70,3 +73,42 @@ def test_blank_cells_kept_or_nulled(spark):
     df = spark.createDataFrame([(_line(fields),)], "value string")
     assert ragged.repair_ragged_lines(df, names).first()["c0"] == ""
     assert ragged.repair_ragged_lines(df, names, blank_as_null=True).first()["c0"] is None
+
+
+def test_split_equals_csv_module(spark):
+    """Unclosed quotes, text behind a closing quote, doubled quotes, control characters."""
+    rnd = random.Random(3)
+    parts = ["a", "b", '"', ",", '""', " ", "é", "'", "\\", "\x01"]
+    lines = ["".join(rnd.choice(parts) for _ in range(rnd.randrange(14))) for _ in range(3000)]
+    df = spark.createDataFrame([(x,) for x in lines], "value string").coalesce(1)
+    assert [r[0] for r in ragged.split_csv_lines(df).collect()] == [next(csv.reader([x]), []) for x in lines]
+
+
+def _write(path, text):
+    with open(path, "w", encoding="latin-1", newline="") as fh:
+        fh.write(text)
+
+
+def test_file_keeps_blank_lines_and_control_characters(spark, tmp_dir):
+    row = f(29)
+    row[3] = "a\x01b"
+    path = os.path.join(tmp_dir, "lines.csv")
+    _write(path, "\n".join([_line(f(29)), _line(row), "", _line(["x"] * 29)]) + "\n")
+    got = sorted((list(r) for r in ragged.read_ragged_csv(spark, path).collect()), key=str)
+    assert got == sorted([row, [None] * 29, ["x"] * 29], key=str)
+
+
+def test_quoted_line_breaks_in_whole_file_mode(spark, tmp_dir):
+    row = f(29)
+    row[2] = "x\ny, z"
+    path = os.path.join(tmp_dir, "breaks.csv")
+    _write(path, "\r\n".join([_line(f(29)), _line(row), "", _line(["x"] * 29)]))
+    got = sorted((list(r) for r in ragged.read_ragged_csv(spark, path, whole_file=True).collect()), key=str)
+    assert got == sorted([row, [None] * 29, ["x"] * 29], key=str)
+
+
+def test_unusable_header_is_refused(spark, tmp_dir):
+    path = os.path.join(tmp_dir, "bad.csv")
+    _write(path, _line(f(28)) + "\n" + _line(f(29)) + "\n")
+    with pytest.raises(ValueError, match="header"):
+        ragged.read_ragged_csv(spark, path)

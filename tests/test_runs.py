@@ -1,26 +1,31 @@
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from ledgerlens.operators.runs import POSITION, RUN_INDEX, consecutive_runs, run_lengths
 
 
-def count_consec(lst):
-    """Brute force: lengths of +1 runs, in order."""
-    out = []
-    for i, x in enumerate(lst):
-        if i > 0 and lst[i - 1] is not None and x is not None and x == lst[i - 1] + 1:
-            out[-1] += 1
-        else:
-            out.append(1)
-    return out
+def stretches(values):
+    """Lengths of the maximal stretches with step +1: the differences of the places where one begins."""
+    steps = [a is not None and b is not None and b - a == 1 for a, b in zip(values, values[1:])]
+    begins = [0, *[k for k, goes_on in enumerate(steps, 1) if not goes_on], len(values)]
+    return [b - a for a, b in zip(begins, begins[1:])]
 
 
-def _lengths(spark, groups, partitions, hot=0):
+def _lengths(spark, groups, partitions=4):
     rows = [(g, i, w) for g, ws in groups.items() for i, w in enumerate(ws)]
-    df = spark.createDataFrame(rows, "g string, pos int, w int")
-    runs = consecutive_runs(df, ["g"], ["pos"], "w", num_partitions=partitions, hot_group_rows=hot)
-    per_run = run_lengths(runs, ["g"], "w").collect()
+    df = spark.createDataFrame(rows, "g string, pos int, w bigint")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    adaptive = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.shuffle.partitions", str(partitions))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        runs = consecutive_runs(df, ["g"], ["pos"], "w")
+        per_run = run_lengths(runs, ["g"], "w").collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", adaptive)
     got = {}
     for r in sorted(per_run, key=lambda r: (r.g is None, r.g or "", r[RUN_INDEX])):
         got.setdefault(r.g, []).append(r.run_length)
@@ -28,6 +33,7 @@ def _lengths(spark, groups, partitions, hot=0):
 
 
 def test_golden_examples(spark):
+    # The worked example and its run lengths come first.
     groups = {
         "doc": [1, 4, 5, 6, 7, 9, 19, 21, 22, 23, 24],
         "repeat": [4, 4, 5],
@@ -46,54 +52,41 @@ def test_golden_examples(spark):
 
 
 def test_positions_and_run_index_across_many_partitions(spark):
-    # One hot group spread over many range partitions, plus small groups.
+    # One group spread over many range partitions, plus small groups and missing values and keys.
     rnd = random.Random(7)
-    groups = {"hot": [rnd.choice([0, 1, 1, 1, 2]) for _ in range(3000)]}
-    acc = 0
-    for i, step in enumerate(groups["hot"]):
-        acc = acc + 1 if step == 1 else rnd.randint(0, 60)
-        groups["hot"][i] = acc % 54
+    hot, value = [], 0
+    for _ in range(3000):
+        value = value + 1 if rnd.random() < 0.6 else rnd.randint(0, 60)
+        hot.append(value % 54)
+    groups = {"hot": hot, "nulls": [1, None, 2, 3, None], None: [1, 2, 4]}
     for g in range(40):
         groups[f"g{g:02d}"] = [rnd.randint(0, 8) for _ in range(rnd.randint(1, 30))]
-    groups["nulls"] = [1, None, 2, 3, None]
     got, runs = _lengths(spark, groups, 16)
-    assert got == {g: count_consec(ws) for g, ws in groups.items()}
+    assert got == {g: stretches(ws) for g, ws in groups.items()}
     pos = runs.groupBy("g").agg(F.min(POSITION).alias("lo"), F.max(POSITION).alias("hi"), F.count("*").alias("n"))
     for r in pos.collect():
         assert (r.lo, r.hi) == (1, r.n)
-    # the hot group really was split over several partitions
-    assert runs.where(F.col("g") == "hot").count() == 3000
+    starts = runs.where("is_run_start").groupBy("g").count().collect()
+    assert {r["g"]: r["count"] for r in starts} == {g: len(stretches(ws)) for g, ws in groups.items()}
 
 
-def test_property_random_groups(spark):
-    rnd = random.Random(11)
-    for trial in range(3):
-        groups = {
-            f"k{i}": [rnd.randint(0, 6) for _ in range(rnd.randint(1, 25))]
-            for i in range(rnd.randint(1, 30))
-        }
-        got, _ = _lengths(spark, groups, rnd.randint(1, 9))
-        assert got == {g: count_consec(ws) for g, ws in groups.items()}, trial
-
-
-def test_default_partitioning_with_adaptive_coalescing(spark):
-    rnd = random.Random(5)
-    groups = {f"k{i}": [rnd.randint(0, 5) for _ in range(rnd.randint(1, 40))] for i in range(60)}
-    got, _ = _lengths(spark, groups, None)
-    assert got == {g: count_consec(ws) for g, ws in groups.items()}
-
-
-def test_window_path_and_mixed_split(spark):
-    rnd = random.Random(3)
-    groups = {f"k{i}": [rnd.randint(0, 5) for _ in range(rnd.randint(1, 40))] for i in range(30)}
-    groups["big"] = [i % 9 for i in range(500)]
-    groups[None] = [1, 2, 4]
-    expected = {g: count_consec(ws) for g, ws in groups.items()}
-    # every group small: window path only
-    got, _ = _lengths(spark, groups, 4, hot=10_000)
-    assert got == expected
-    # only "big" is hot: windows for the rest, range scan for it
-    got, runs = _lengths(spark, groups, 4, hot=100)
-    assert got == expected
-    pos = runs.where("g = 'big'").agg({"position": "max"}).first()[0]
-    assert pos == 500
+def test_large_values_are_exact(spark):
+    """Whole numbers beyond 2^53, also at the end of their type, in one group over many partitions."""
+    base = [0, 1, 2, 3, 4, 6]
+    groups = {
+        "big": [(1 << 53) + k for k in base],
+        "end": [(1 << 63) - 1 - k for k in (2, 1, 0, 0)],
+        "many": [(1 << 53) + k + (k // 7) for k in range(500)],
+    }
+    for partitions in (1, 9):
+        got, _ = _lengths(spark, groups, partitions)
+        assert got == {g: stretches(ws) for g, ws in groups.items()}
+    assert got["big"] == [5, 1]
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_property_random_groups(spark, seed):
+    rnd = random.Random(seed)
+    groups = {f"k{i}": [rnd.randint(0, 6) for _ in range(rnd.randint(1, 25))] for i in range(rnd.randint(1, 30))}
+    got, _ = _lengths(spark, groups, rnd.randint(1, 9))
+    assert got == {g: stretches(ws) for g, ws in groups.items()}
