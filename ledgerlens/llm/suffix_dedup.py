@@ -11,6 +11,11 @@ equal strings have equal anchors.  Only anchors that occur in pieces of
 different content need comparing; equal pieces are told by a 128-bit hash of
 their content, and only the first of them goes on.
 
+An anchor in very many different pieces (the edge of a passage that a third of
+all documents share) would fill a shard alone.  Beyond ``HOT_PIECES`` its
+strings are grouped one by one by a 128-bit hash instead, which any number of
+tasks can share.
+
 The pieces of a shard are put together to one text.  Its suffixes are sorted by
 external induced sorting, which carries common prefixes along (``induced``);
 runs of suffixes that share ``depth`` bytes are the repeats, and the earliest of
@@ -19,9 +24,9 @@ a run stays.
 Scale: one shuffle of pieces (four numbers each, equal ones of a batch combined
 first), one of texts to cut out the pieces to compare, one of these pieces by
 anchor, one of texts to take the repeats out.  A copy of a hot passage costs a
-number, not its bytes.  A shard's text is bounded by the number of shards,
-except where one anchor stands in very many different pieces; such a shard is
-sorted on disk.
+number, not its bytes, and most are told before the shuffle.  A shard's text
+has about ``SHARD_BYTES`` and, with the bound for hot anchors, not much more;
+what does not fit the memory budget is sorted on disk.
 
 Defined results: a null text counts as empty; texts of fewer bytes than
 ``depth`` keep all; a string may overlap its earlier occurrence; rows that
@@ -43,6 +48,7 @@ from pyspark.sql import functions as F
 from ledgerlens.functions.joins import nullsafe_join
 from ledgerlens.llm.common import pick
 from ledgerlens.llm.induced import BUDGET, Scratch, suffixes
+from ledgerlens.llm.tables import IntTable
 from ledgerlens.session import materialize
 
 DEPTH = 100
@@ -50,6 +56,10 @@ ANCHOR = 32
 #: Bytes of text that are cut into pieces at once, and of a shard.
 RUN_BYTES = 4 << 20
 SHARD_BYTES = 4 << 20
+#: Contents that a task remembers while it cuts, to tell repeats before the shuffle.
+REMEMBERED = 200_000
+#: Different pieces an anchor may have in one shard; those of hotter anchors are told apart string by string.
+HOT_PIECES = 20_000
 
 _PLACE_BITS = 24  # a place in a run, below the hash that orders anchors
 _MIX = np.uint64(0xD6E8FEB86659FD93)
@@ -131,14 +141,41 @@ def _byte_runs(texts: list[bytes]) -> Iterator[tuple[int, int]]:
         yield begin, len(texts)
 
 
+class Remembered:
+    """The earliest places of the contents a task has seen, as far as they fit."""
+
+    def __init__(self) -> None:
+        self.table, self.rows = IntTable(), np.zeros((4, 0), np.int64)
+
+    def repeats(self, anchor: np.ndarray, content: np.ndarray, doc: np.ndarray, place: np.ndarray) -> np.ndarray:
+        """Which of these pieces, of different content, have a remembered one that starts earlier."""
+        now = np.array([anchor.view(np.int64), content.view(np.int64), doc, place])
+        keys = ((content ^ (anchor * np.uint64(_ODD))) >> np.uint64(1)).astype(np.int64)
+        _, alone = np.unique(keys, return_index=True)
+        at = self.table.get(keys)
+        known = np.flatnonzero(at >= 0)
+        known = known[(self.rows[:2, at[known]] == now[:2, known]).all(axis=0)]
+        before = self.rows[2:, at[known]]
+        later = (now[2, known] > before[0]) | ((now[2, known] == before[0]) & (now[3, known] > before[1]))
+        out = np.zeros(len(keys), bool)
+        out[known[later]] = True
+        sooner = known[~later]
+        self.rows[2:, at[sooner]] = now[2:, sooner]
+        new = alone[at[alone] < 0][: REMEMBERED - self.rows.shape[1]]
+        self.table.add(keys[new], self.rows.shape[1] + np.arange(len(new)))
+        self.rows = np.concatenate([self.rows, now[:, new]], axis=1)
+        return out
+
+
 _PIECE = "anchor long, content long, doc_id long, place long, first boolean"
 
 
 def _cut(depth: int):
-    """Pieces of documents (doc_id, mark, text); of equal ones in a run of documents only the first is marked so."""
+    """Pieces of documents (doc_id, mark, text); those with an equal one that a task saw to start earlier are
+    not marked as first."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cutter = Cutter(depth)
+        cutter, remembered = Cutter(depth), Remembered()
         for batch in batches:
             ids, marks = (batch.column(c).to_numpy() for c in (0, 1))
             texts = [t or b"" for t in batch.column(2).to_pylist()]
@@ -152,6 +189,8 @@ def _cut(depth: int):
                 same = np.append(False, (content[1:] == content[:-1]) & (anchor[1:] == anchor[:-1]))
                 head = np.maximum.accumulate(np.where(same, 0, np.arange(len(same))))
                 repeat = same & ((doc != doc[head]) | (place != place[head]))
+                heads = np.flatnonzero(~same)
+                repeat[heads] = remembered.repeats(anchor[heads], content[heads], doc[heads], place[heads])
                 columns = [anchor.view(np.int64), content.view(np.int64), doc, place, ~repeat]
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=_names(_PIECE))
 
@@ -309,7 +348,9 @@ def _sort_shard(depth: int, budget: int):
     return work
 
 
-def removed_spans(docs: DataFrame, depth: int = DEPTH, budget: int = BUDGET) -> DataFrame:
+def removed_spans(
+    docs: DataFrame, depth: int = DEPTH, budget: int = BUDGET, hot_pieces: int = HOT_PIECES
+) -> DataFrame:
     """doc_id, mark, begin and end (bytes) of spans to remove; spans may overlap.
 
     ``budget``: bytes that a shard's arrays and queues may take in memory before they go to disk.
@@ -325,14 +366,64 @@ def removed_spans(docs: DataFrame, depth: int = DEPTH, budget: int = BUDGET) ->
         "doc_id", mark.alias("mark"), begin.alias("begin"), (begin + strings + depth - 1).alias("end")
     )
     compare = found.where("compare")
-    size = compare.agg(F.sum(strings + depth - 1)).first()[0] or 0
-    wanted = compare.groupBy("doc_id", mark.alias("mark")).agg(F.collect_list(F.struct("anchor", "place")).alias("pieces"))
+    # At most one anchor per HOT_PIECES pieces.
+    hot = compare.groupBy("anchor").count().where(F.col("count") > hot_pieces).select("anchor")
+    hot = materialize(hot, "hot-anchors")
+    cool = compare.join(hot, "anchor", "left_anti")
+    size = cool.agg(F.sum(strings + depth - 1)).first()[0] or 0
+    shards = _shipped(docs, cool, depth).repartition(max(1, -(-size // SHARD_BYTES)), "anchor")
+    spans = whole.unionByName(shards.mapInArrow(_sort_shard(depth, budget), _SPAN))
+    if not hot.isEmpty():
+        spans = spans.unionByName(_hot_spans(_shipped(docs, compare.join(hot, "anchor", "left_semi"), depth), depth))
+    return materialize(spans, "spans")
+
+
+def _shipped(docs: DataFrame, pieces: DataFrame, depth: int) -> DataFrame:
+    """The pieces with their bytes."""
+    mark = F.col("place").bitwiseAND(0xFFFFFF).cast("int")
+    wanted = pieces.groupBy("doc_id", mark.alias("mark")).agg(F.collect_list(F.struct("anchor", "place")).alias("pieces"))
     texts = nullsafe_join(docs, wanted, ["doc_id", "mark"]).select(
         "doc_id", "text", F.col("pieces.anchor").alias("anchors"), F.col("pieces.place").alias("places")
     )
-    shipped = texts.mapInArrow(_cut_out(depth), "anchor long, doc_id long, place long, piece binary")
-    shards = shipped.repartition(max(1, -(-size // SHARD_BYTES)), "anchor").mapInArrow(_sort_shard(depth, budget), _SPAN)
-    return materialize(whole.unionByName(shards), "spans")
+    return texts.mapInArrow(_cut_out(depth), "anchor long, doc_id long, place long, piece binary")
+
+
+def _strings(depth: int):
+    """Each string of ``depth`` bytes of the pieces: a 128-bit hash, document, mark and start."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        values = _byte_values()
+        powers = [np.array([pow(b, k, 1 << 64) for k in range(depth)], np.uint64) for b in (_ODD, 0xC2B2AE3D27D4EB4F)]
+        for batch in batches:
+            for begin in range(0, batch.num_rows, 256):
+                some = batch.slice(begin, 256)
+                pieces = some.column(3).to_pylist()
+                docs, places = some.column(1).to_numpy(), some.column(2).to_numpy()
+                counts = np.array([len(p) - depth + 1 for p in pieces])
+                text = values[np.frombuffer(b"".join(pieces), np.uint8)]
+                starts = np.cumsum(counts + depth - 1) - (counts + depth - 1)
+                owner = np.repeat(np.arange(len(pieces)), counts)
+                inside = np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts, counts)
+                windows = np.lib.stride_tricks.sliding_window_view(text, depth)[starts[owner] + inside]
+                hashes = [(windows * p).sum(axis=1).view(np.int64) for p in powers]
+                start = (places[owner] >> 32) + inside
+                columns = [*hashes, docs[owner], (places[owner] & 0xFFFFFF).astype(np.int32), start]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=_names(_STRING))
+
+    return work
+
+
+_STRING = "one long, two long, doc_id long, mark int, begin long"
+
+
+def _hot_spans(pieces: DataFrame, depth: int) -> DataFrame:
+    """Spans to remove in pieces of hot anchors: strings are grouped by their hash, with partial
+    aggregation, and joined to the first of their group, so no task holds an anchor's pieces."""
+    strings = materialize(pieces.mapInArrow(_strings(depth), _STRING), "hot-strings")
+    place = F.struct("doc_id", "begin")
+    first = strings.groupBy("one", "two").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    later = strings.join(first, ["one", "two"]).where(place != F.col("first"))
+    return later.select("doc_id", "mark", "begin", (F.col("begin") + depth).alias("end"))
 
 
 _RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"

@@ -129,7 +129,7 @@ def test_remove_repeats(table, request):
     assert got == Counter(removed_plainly(texts_of(docs), 100))
 
 
-def test_remove_repeats_on_disk(spark, monkeypatch):
+def test_remove_repeats_on_disk_and_with_hot_anchors(spark, monkeypatch):
     """A budget of nothing sends texts, queues and results to disk; hot passages, overlaps and long runs."""
     from ledgerlens.llm import suffix_dedup
 
@@ -139,10 +139,14 @@ def test_remove_repeats_on_disk(spark, monkeypatch):
     rows = [(i, " ".join(word() for _ in range(rnd.randrange(30))) + hot + word() * 2) for i in range(60)]
     rows += [(100, "a" * 700), (101, "b" + "a" * 350), (102, ("xyz" * 90) + hot[:150])]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
+    expected = Counter(removed_plainly(rows, 100))
     original = suffix_dedup._sort_shard
     monkeypatch.setattr(suffix_dedup, "_sort_shard", lambda depth, budget: original(depth, 0))
-    got = Counter(tuple(r) for r in remove_repeats(docs, 100).collect())
-    assert got == Counter(removed_plainly(rows, 100))
+    assert Counter(tuple(r) for r in remove_repeats(docs, 100).collect()) == expected
+    # The same with anchors that count as hot from three pieces on.
+    hot_from = suffix_dedup.removed_spans
+    monkeypatch.setattr(suffix_dedup, "removed_spans", lambda docs, depth: hot_from(docs, depth, hot_pieces=2))
+    assert Counter(tuple(r) for r in remove_repeats(docs, 100).collect()) == expected
 
 
 def test_kept_text(spark):
