@@ -42,7 +42,7 @@ from ledgerlens.llm.tables import IntTable
 
 #: Code points that are worked through at once, and slices that are cached.
 RUN_CHARS = 1_000_000
-CACHED = 400_000
+CACHED = 200_000
 _NEVER = 1 << 62
 
 # The code points that are white space in Unicode.

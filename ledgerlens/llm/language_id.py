@@ -181,7 +181,7 @@ def _share(docs: DataFrame, sample: dict[str, list[str]] | None):
 
 def _predict(parser: CrossParser, column: pa.Array) -> list[tuple[str, float]]:
     texts = [(b or b"").decode("utf-8", "replace") for b in column.cast(pa.binary()).to_pylist()]
-    return [found for begin, end in runs(texts, 8_000_000) for found in parser.predict(texts[begin:end])]
+    return [found for begin, end in runs(texts, 4_000_000) for found in parser.predict(texts[begin:end])]
 
 
 def identify_language(docs: DataFrame, sample: dict[str, list[str]] | None = None) -> DataFrame:

@@ -52,7 +52,7 @@ _LEAST_VALUE, _LEAST_HEX = 6, 24
 SAMPLE_DOCS = 3000
 SAMPLE_DOC_CHARS = 20_000
 WINDOW = 12
-EPOCHS = 150
+EPOCHS = 100
 OUTSIDE, BEGIN, INSIDE = range(3)
 
 # Character classes for tokens and their shapes.
@@ -277,17 +277,22 @@ def _log_sum(x: np.ndarray) -> np.ndarray:
 
 def train(texts: list[str]) -> LinearChain:
     """A field trained on the windows around the pattern spans of the texts, and on as many others."""
-    model, tokens = LinearChain(), Tokens(texts)
-    labels = tokens.labels([pattern_spans(t) for t in texts])
-    n = len(labels)
-    if n < 2 * WINDOW or not labels.any():
-        return model
-    centres = np.flatnonzero(labels == BEGIN)[:2000]
-    others = np.linspace(WINDOW, n - WINDOW - 1, max(200, len(centres))).astype(int)
-    first = np.clip(np.repeat(np.concatenate([centres, others]), 2) - WINDOW // 2, 0, n - WINDOW)
-    windows = first[:, None] + np.arange(WINDOW)
-    inside = labels[windows[:, 0]] != INSIDE  # a window does not begin in the middle of a secret
-    model.train(tokens.features[windows[inside]], labels[windows[inside]])
+    model, found, labelled = LinearChain(), [], []
+    for begin, end in runs(texts):
+        tokens = Tokens(texts[begin:end])
+        labels = tokens.labels([pattern_spans(t) for t in texts[begin:end]])
+        n = len(labels)
+        if n < 2 * WINDOW:
+            continue
+        centres = np.flatnonzero(labels == BEGIN)
+        others = np.linspace(WINDOW, n - WINDOW - 1, max(100, len(centres))).astype(int)
+        first = np.clip(np.repeat(np.concatenate([centres, others]), 2) - WINDOW // 2, 0, n - WINDOW)
+        windows = first[:, None] + np.arange(WINDOW)
+        windows = windows[labels[windows[:, 0]] != INSIDE]  # a window does not begin in the middle of a secret
+        found.append(tokens.features[windows])
+        labelled.append(labels[windows])
+    if any(labels.any() for labels in labelled):
+        model.train(np.concatenate(found), np.concatenate(labelled))
     return model
 
 
