@@ -319,10 +319,10 @@ def _read(column: pa.Array) -> list[str]:
 
 
 def _worker_bpe(rank_file) -> ByteBpe:
-    cache, key = worker_cache(), ("byte_bpe", rank_file.id if hasattr(rank_file, "id") else 0)
-    if key not in cache:
-        cache[key] = ByteBpe(rank_file.value)
-    return cache[key]
+    cache, key = worker_cache(), hashlib.sha256(rank_file.value).digest()
+    if cache.get("byte_bpe_key") != key:
+        cache["byte_bpe_key"], cache["byte_bpe"] = key, ByteBpe(rank_file.value)
+    return cache["byte_bpe"]
 
 
 def encode_decode(docs: DataFrame, rank_path: str, keep_ids: bool = False) -> DataFrame:

@@ -2,12 +2,10 @@
 
 import hashlib
 import re
-import string
 import zlib
 from collections import Counter, defaultdict
 
 import pytest
-from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 import corpus_pipeline
