@@ -33,4 +33,30 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, c
 FROM docs LEFT JOIN hit USING (doc_id) LEFT JOIN listed USING (doc_id)
 """
 
-ORACLES = {"op1_exact_dedup": EXACT_DEDUP, "op6_decontamination": DECONTAMINATION}
+# Bytes as pairs of hexadecimal digits: byte k of a text is at 2k + 1.
+SUFFIX_DEDUP = """
+WITH docs AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, strlen(coalesce(text, '')) AS n FROM documents),
+strings AS (
+  SELECT doc_id, k, substr(h, 2 * k + 1, 200) AS s
+  FROM (SELECT doc_id, h, unnest(range(0, n - 99)) AS k FROM docs WHERE n >= 100)),
+later AS (
+  SELECT doc_id, k FROM (SELECT doc_id, k, row_number() OVER (PARTITION BY s ORDER BY doc_id, k) AS r FROM strings)
+  WHERE r > 1),
+marked AS (
+  SELECT doc_id, k, CASE WHEN k <= lag(k) OVER w + 100 THEN 0 ELSE 1 END AS opens FROM later
+  WINDOW w AS (PARTITION BY doc_id ORDER BY k)),
+spans AS (
+  SELECT doc_id, min(k) AS a, max(k) + 100 AS b
+  FROM (SELECT doc_id, k, sum(opens) OVER (PARTITION BY doc_id ORDER BY k) AS run FROM marked) GROUP BY doc_id, run),
+before AS (
+  SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS e FROM spans),
+kept AS (
+  SELECT doc_id, sum(b - a) AS n_removed, count(*) AS n_spans, max(b) AS e,
+         string_agg(substr(h, 2 * e + 1, 2 * (a - e)), '' ORDER BY a) AS head
+  FROM before JOIN docs USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, n AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+       sha256(unhex(coalesce(head, '') || substr(h, 2 * coalesce(e, 0) + 1))) AS kept_sha256
+FROM docs LEFT JOIN kept USING (doc_id)
+"""
+
+ORACLES = {"op1_exact_dedup": EXACT_DEDUP, "op2_suffix_dedup": SUFFIX_DEDUP, "op6_decontamination": DECONTAMINATION}
