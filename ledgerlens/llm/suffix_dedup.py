@@ -58,8 +58,9 @@ RUN_BYTES = 4 << 20
 SHARD_BYTES = 4 << 20
 #: Contents that a task remembers while it cuts, to tell repeats before the shuffle.
 REMEMBERED = 200_000
-#: Different pieces an anchor may have in one shard; those of hotter anchors are told apart string by string.
-HOT_PIECES = 20_000
+#: Different pieces an anchor may have in one shard (twice the bytes a shard has otherwise); those of hotter
+#: anchors are told apart string by string.
+HOT_PIECES = 60_000
 
 _PLACE_BITS = 24  # a place in a run, below the hash that orders anchors
 _MIX = np.uint64(0xD6E8FEB86659FD93)
@@ -358,7 +359,9 @@ def removed_spans(
     if not 2 * ANCHOR <= depth <= 255:
         raise ValueError(f"depth must be from {2 * ANCHOR} to 255 bytes")
     columns = "anchor", "content", "doc_id", "place"
-    cut = docs.mapInArrow(_cut(depth), _PIECE).repartition("anchor").sortWithinPartitions(*columns)
+    # Pieces that are known to repeat only pass through, so they are dealt out evenly.
+    deal = F.when(F.col("first"), F.col("anchor")).otherwise(F.xxhash64("doc_id", "place"))
+    cut = docs.mapInArrow(_cut(depth), _PIECE).repartition(deal).sortWithinPartitions(*columns)
     found = materialize(cut.mapInArrow(_compare_or_remove, _SORTED), "pieces")
     mark, begin = F.col("place").bitwiseAND(0xFFFFFF).cast("int"), F.shiftright("place", 32)
     strings = F.shiftright("place", 24).bitwiseAND(255)
@@ -419,7 +422,8 @@ _STRING = "one long, two long, doc_id long, mark int, begin long"
 def _hot_spans(pieces: DataFrame, depth: int) -> DataFrame:
     """Spans to remove in pieces of hot anchors: strings are grouped by their hash, with partial
     aggregation, and joined to the first of their group, so no task holds an anchor's pieces."""
-    strings = materialize(pieces.mapInArrow(_strings(depth), _STRING), "hot-strings")
+    # The pieces are written, and their strings made twice: they are many times as large.
+    strings = materialize(pieces, "hot-pieces").mapInArrow(_strings(depth), _STRING)
     place = F.struct("doc_id", "begin")
     first = strings.groupBy("one", "two").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
     later = strings.join(first, ["one", "two"]).where(place != F.col("first"))
