@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlens.llm.common import pick, worker_cache
+from ledgerlens.llm.common import parts, pick, worker_cache
 from ledgerlens.llm.tables import IntTable
 
 #: Code points that are worked through at once, and slices that are cached.
@@ -340,7 +340,7 @@ def encode_decode(docs: DataFrame, rank_path: str, keep_ids: bool = False) -> Da
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = _worker_bpe(rank_file)
-        for batch in batches:
+        for batch in parts(batches):
             texts, keys = _read(batch.column(1)), batch.column(0)
             for begin, end in runs(texts):
                 rows = []

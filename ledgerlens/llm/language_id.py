@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlens.llm.byte_bpe import LETTER, code_point_classes, runs
-from ledgerlens.llm.common import pick, worker_cache
+from ledgerlens.llm.common import parts, pick, worker_cache
 
 #: Labelled letters per language, the longest document taken for them, and how many documents are drawn.
 SAMPLE_CHARS = 40_000
@@ -194,7 +194,7 @@ def identify_language(docs: DataFrame, sample: dict[str, list[str]] | None = Non
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parser = _worker_parser(shared, key)
-        for batch in batches:
+        for batch in parts(batches, 2000):
             found = _predict(parser, batch.column(2))
             columns = [pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())]
             names = ["doc_id", "held_out", "lang_pred", "score"]
@@ -215,7 +215,7 @@ def with_known_language(docs: DataFrame, sample: dict[str, list[str]] | None = N
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parser = _worker_parser(shared, key)
-        for batch in batches:
+        for batch in parts(batches, 2000):
             known = [lang != UNDETERMINED for lang, _ in _predict(parser, batch.column(at))]
             yield batch.filter(pa.array(known, pa.bool_()))
 

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlens.llm.common import pick
+from ledgerlens.llm.common import parts, pick
 
 # Licence sentences, as their licences and usual notices word them.
 SENTENCES = {
@@ -172,7 +172,7 @@ def scan_licenses(docs: DataFrame, recogniser: Recogniser | None = None) -> Data
     schema = "doc_id long, n_sentences long, licenses string, spans string, unmatched string"
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in parts(batches):
             rows = []
             for raw in batch.column(1).to_pylist():
                 sentences = recogniser.sentences((raw or b"").decode("utf-8", "replace"))

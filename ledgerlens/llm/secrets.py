@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlens.llm.byte_bpe import runs
-from ledgerlens.llm.common import pick
+from ledgerlens.llm.common import parts, pick
 
 # Kinds in order, and their patterns.
 KINDS = ("assign", "access", "hex")
@@ -331,7 +331,7 @@ def scan_secrets(docs: DataFrame, model: LinearChain | None = None) -> DataFrame
     listed = lambda found: ",".join(f"{kind}:{a}:{b}" for a, kind, b in found)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in parts(batches):
             texts = [(b or b"").decode("utf-8", "replace") for b in batch.column(1).to_pylist()]
             for begin, end in runs(texts, 2_000_000):
                 found = secret_spans(texts[begin:end], model)

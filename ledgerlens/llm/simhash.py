@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlens.functions.joins import nullsafe_join
-from ledgerlens.llm.common import pick
+from ledgerlens.llm.common import parts, pick
 from ledgerlens.llm.components import connected_components
 from ledgerlens.session import materialize
 
@@ -77,7 +77,7 @@ def fingerprints(docs: DataFrame, words: int = SHINGLE_WORDS) -> DataFrame:
     """doc_id and the fingerprint as a (signed) long."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in parts(batches):
             found = b"".join(fingerprint(t or b"", words) for t in batch.column(1).to_pylist())
             column = pa.array(np.frombuffer(found, ">i8").astype(np.int64))
             yield pa.RecordBatch.from_arrays([batch.column(0), column], names=["doc_id", "fingerprint"])

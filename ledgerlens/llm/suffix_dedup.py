@@ -46,7 +46,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlens.functions.joins import nullsafe_join
-from ledgerlens.llm.common import pick
+from ledgerlens.llm.common import parts, pick
 from ledgerlens.llm.induced import BUDGET, Scratch, suffixes
 from ledgerlens.llm.tables import IntTable
 from ledgerlens.session import materialize
@@ -177,7 +177,7 @@ def _cut(depth: int):
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cutter, remembered = Cutter(depth), Remembered()
-        for batch in batches:
+        for batch in parts(batches):
             ids, marks = (batch.column(c).to_numpy() for c in (0, 1))
             texts = [t or b"" for t in batch.column(2).to_pylist()]
             for begin, end in _byte_runs(texts):

@@ -27,10 +27,10 @@ class IntTable:
     def add(self, keys: np.ndarray, values: np.ndarray) -> None:
         """Distinct keys that the table does not hold yet."""
         self.size += len(keys)
-        if 4 * self.size > len(self.keys):
+        if 2 * self.size > len(self.keys):
             held = self.keys != _FREE
             keys, values = np.append(self.keys[held], keys), np.append(self.values[held], values)
-            self._make(int(self.size * 8).bit_length())
+            self._make(int(self.size * 3).bit_length())
         at = self._home(keys)
         while len(keys):
             free = self.keys[at] == _FREE

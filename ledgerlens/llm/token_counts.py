@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlens.llm.byte_bpe import runs
-from ledgerlens.llm.common import pick, worker_cache
+from ledgerlens.llm.common import parts, pick, worker_cache
 from ledgerlens.llm.tables import IntTable
 
 CACHED_WORDS = 250_000
@@ -238,7 +238,7 @@ def token_counts(docs: DataFrame, model_path: str, limit: int = 4096, with_steps
         cache, key = worker_cache(), ("pieces", model_path, with_steps)
         if key not in cache:
             cache[key] = PrefixCounter(pieces.value, with_steps)
-        for batch in batches:
+        for batch in parts(batches):
             raw = batch.column(1).to_pylist()
             texts = [(b or b"").decode("utf-8", "replace") for b in raw]
             found = [x for begin, end in runs(texts) for x in cache[key].texts(texts[begin:end])]
