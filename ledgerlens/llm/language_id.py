@@ -18,8 +18,9 @@ the automata have a fixed size; workers build them once from the broadcast
 sample.  Predicting is one narrow pass over whole texts, without a shuffle.
 
 Defined results: null texts and texts without a letter give ``und`` and score
-0, and so does every text if there is nothing labelled to learn from; ties go
-to the language that sorts first; a null id is held out of learning; repeated
+0, and so does every text if there is nothing labelled to learn from (the
+filter of the pipeline keeps those that have a letter); ties go to the language
+that sorts first; a null id is held out of learning; repeated
 rows are predicted each; an empty table gives an empty result; other columns
 are not looked at.
 """
@@ -153,15 +154,16 @@ class CrossParser:
         out[:, order] = count
         return out
 
-    def predict(self, texts: list[str]) -> list[tuple[str, float]]:
+    def predict(self, texts: list[str]) -> list[tuple[str, float, bool]]:
+        """Language, score and whether there is a letter, of each text."""
         parsed = [self.symbols(t) for t in texts]
         if not self.langs:
-            return [(UNDETERMINED, 0.0)] * len(texts)
+            return [(UNDETERMINED, 0.0, bool(p.any())) for p in parsed]
         bits = self.phrases(parsed) * np.array(self.bits)[:, None] / np.maximum(1, [len(p) for p in parsed])
         best = bits.argmin(axis=0)
         score = 1 / np.exp2(bits.min(axis=0) - bits).sum(axis=0)
         return [
-            (self.langs[b], float(s)) if p.any() else (UNDETERMINED, 0.0)
+            (self.langs[b], float(s), True) if p.any() else (UNDETERMINED, 0.0, False)
             for b, s, p in zip(best.tolist(), score.tolist(), parsed)
         ]
 
@@ -179,7 +181,7 @@ def _share(docs: DataFrame, sample: dict[str, list[str]] | None):
     return docs.sparkSession.sparkContext.broadcast(sample), key
 
 
-def _predict(parser: CrossParser, column: pa.Array) -> list[tuple[str, float]]:
+def _predict(parser: CrossParser, column: pa.Array) -> list[tuple[str, float, bool]]:
     texts = [(b or b"").decode("utf-8", "replace") for b in column.cast(pa.binary()).to_pylist()]
     return [found for begin, end in runs(texts, 4_000_000) for found in parser.predict(texts[begin:end])]
 
@@ -209,15 +211,15 @@ def identify_language(docs: DataFrame, sample: dict[str, list[str]] | None = Non
 
 
 def with_known_language(docs: DataFrame, sample: dict[str, list[str]] | None = None) -> DataFrame:
-    """The rows of ``docs``, all columns as they are, whose language is not ``und``."""
+    """The rows of ``docs``, all columns as they are, whose text has a letter, whether or not a language was learnt."""
     shared, key = _share(docs, sample)
     at = docs.columns.index("text")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parser = _worker_parser(shared, key)
         for batch in parts(batches, 2000):
-            known = [lang != UNDETERMINED for lang, _ in _predict(parser, batch.column(at))]
-            yield batch.filter(pa.array(known, pa.bool_()))
+            lettered = [found[2] for found in _predict(parser, batch.column(at))]
+            yield batch.filter(pa.array(lettered, pa.bool_()))
 
     by_place = docs.toDF(*[f"_in{i}" for i in range(len(docs.columns))])
     return by_place.mapInArrow(work, by_place.schema).toDF(*docs.columns)

@@ -158,6 +158,13 @@ def test_language_of_awkward_rows(awkward, nothing):
     assert kept.columns == awkward.columns and kept.count() == 10
 
 
+def test_unlabelled_tables_keep_texts_with_letters(spark):
+    rows = [(1, "hello world", None), (2, "12 --", None), (3, None, None), (4, "漢字", None)]
+    unlabelled = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert {r["doc_id"] for r in with_known_language(unlabelled).collect()} == {1, 4}
+    assert {r["lang_pred"] for r in identify_language(unlabelled).collect()} == {"und"}
+
+
 def plain_spans(text):
     assign = re.compile(r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.I | re.A)
     out = [(m.start(), 0, m.end()) for m in assign.finditer(text) if len(m[2]) >= 6]
