@@ -6,11 +6,15 @@ language that needs the fewest phrases, normalised as bits per letter
 (phrases x log2 of the labelled length / document length), wins.
 
 Text is lower-cased; everything that is no letter counts as one space between
-letters.  Letters that the labelled text lacks are phrases of their own.
+letters.  Each letter of the labelled text has its own symbol; letters that it
+lacks are phrases of their own.
 
 The automata of all languages are one table of transitions, and all documents
 of a batch are parsed side by side for all languages, one letter at a time; a
 missing transition holds, as a negative number, where the next phrase begins.
+The table has columns for the ``LETTERS`` most frequent letters; transitions by
+the others (there are thousands in Chinese) are kept by state and letter in a
+hash table, which is asked only where a text holds such a letter.
 
 Scale: the labelled text is a bounded sample (``SAMPLE_CHARS`` per language, of
 whole documents of at most ``SAMPLE_DOC_CHARS``, drawn by a hash of the id), so
@@ -38,12 +42,13 @@ from pyspark.sql import functions as F
 
 from ledgerlens.llm.byte_bpe import LETTER, code_point_classes, runs
 from ledgerlens.llm.common import parts, pick, worker_cache
+from ledgerlens.llm.tables import IntTable
 
 #: Labelled letters per language, the longest document taken for them, and how many documents are drawn.
 SAMPLE_CHARS = 40_000
 SAMPLE_DOC_CHARS = 20_000
 SAMPLE_DOCS = 80
-#: Different letters with a symbol of their own, most frequent first.
+#: Letters with a column in the table of transitions, most frequent first; transitions by other letters are looked up.
 LETTERS = 126
 UNDETERMINED = "und"
 
@@ -111,24 +116,32 @@ class CrossParser:
         self.langs = sorted(sample)
         counts = Counter(c for texts in sample.values() for t in texts for c in t.lower())
         letters = [c for c, _ in sorted(counts.items(), key=lambda x: (-x[1], x[0])) if self.classes[ord(c)] == LETTER]
-        letters = letters[:LETTERS]
-        self.symbol_of = np.where(self.classes == LETTER, len(letters) + 1, 0).astype(np.uint8)
+        kind = np.min_scalar_type(len(letters) + 1)
+        self.symbol_of = np.where(self.classes == LETTER, len(letters) + 1, 0).astype(kind)  # the last one: in no sample
         self.symbol_of[[ord(c) for c in letters]] = np.arange(1, len(letters) + 1)
-        self.width = len(letters) + 2
+        self.n_symbols = len(letters) + 2
+        self.width = min(len(letters), LETTERS) + 2  # in the last column no transition is found
         tables, self.roots, self.bits, base = [], [], [], 0
+        rare, rare_begins = [np.zeros((2, 0), np.int64)], []
         for lang in self.langs:
             symbols = self.symbols(" ".join(sample[lang]))
             states = suffix_automaton(symbols.tolist())
             dead = len(states)  # behind a symbol that the language lacks
-            begins = np.array([states[0].get(c, dead) for c in range(self.width)])
-            table = np.tile(~((begins + base) * self.width), (dead + 1, 1))
+            begins = np.array([states[0].get(c, dead) for c in range(self.n_symbols)])
+            table = np.tile(~((begins[: self.width] + base) * self.width), (dead + 1, 1))
             for s, go in enumerate(states):
-                table[s, list(go)] = (np.fromiter(go.values(), np.int64, len(go)) + base) * self.width
+                to = np.array([list(go), list(go.values())], np.int64).reshape(2, -1)
+                often = to[0] <= LETTERS
+                table[s, to[0, often]] = (to[1, often] + base) * self.width
+                if not often.all():
+                    rare.append(np.array([(s + base) * self.n_symbols + to[0, ~often], to[1, ~often] + base]))
             tables.append(table.astype(np.int32))
+            rare_begins.append(begins + base)
             self.roots.append((dead + base) * self.width)  # the first phrase begins like any other
             self.bits.append(np.log2(max(2, len(symbols))))
             base += dead + 1
         self.table = np.concatenate(tables).ravel() if tables else np.zeros(0, np.int32)
+        self.rare, self.rare_begins = IntTable(*np.concatenate(rare, axis=1)), np.array(rare_begins)
 
     def symbols(self, text: str) -> np.ndarray:
         """The text as letters and single spaces (0)."""
@@ -140,13 +153,22 @@ class CrossParser:
         lengths = np.array([len(t) for t in texts], np.int64)
         order = np.argsort(-lengths, kind="stable")
         joined = np.concatenate([*texts, np.zeros(0, np.uint8)]).astype(np.int32)
+        column, is_rare = joined, None
+        if self.n_symbols > self.width:
+            column, is_rare = np.minimum(joined, self.width - 1), (joined > LETTERS) & (joined < self.n_symbols - 1)
         at = (np.cumsum(lengths) - lengths)[order]
         # How many texts have a letter at each place: those are the first ones in this order.
         active = len(texts) - np.searchsorted(lengths[order][::-1], np.arange(lengths.max(initial=0)), "right")
         state = np.repeat(np.array(self.roots, np.int32)[:, None], len(texts), 1)
         count = np.zeros_like(state)
         for place, k in enumerate(active.tolist()):
-            found = self.table.take(state[:, :k] + joined.take(at[:k] + place))
+            found = self.table.take(state[:, :k] + column.take(at[:k] + place))
+            if is_rare is not None:
+                of_rare = np.flatnonzero(is_rare.take(at[:k] + place))
+                if len(of_rare):
+                    found[:, of_rare] = self._rare_steps(state[:, of_rare], joined.take(at[of_rare] + place))
+                absent = np.flatnonzero(joined.take(at[:k] + place) == self.n_symbols - 1)
+                found[:, absent] = ~(self.rare_begins[:, -1:] * self.width)
             new = found >> 31  # -1 where a phrase begins
             count[:, :k] -= new
             state[:, :k] = found ^ new
@@ -154,6 +176,11 @@ class CrossParser:
         out[:, order] = count
         return out
 
+    def _rare_steps(self, state: np.ndarray, symbols: np.ndarray) -> np.ndarray:
+        """What the table would hold for letters without a column."""
+        go = self.rare.get((state.astype(np.int64) // self.width * self.n_symbols + symbols).ravel()).reshape(state.shape)
+        return np.where(go >= 0, go * self.width, ~(self.rare_begins[:, symbols] * self.width))
+
     def predict(self, texts: list[str]) -> list[tuple[str, float, bool]]:
         """Language, score and whether there is a letter, of each text."""
         parsed = [self.symbols(t) for t in texts]

@@ -158,6 +158,30 @@ def test_language_of_awkward_rows(awkward, nothing):
     assert kept.columns == awkward.columns and kept.count() == 10
 
 
+def test_every_letter_of_the_sample_has_its_own_symbol():
+    rnd = random.Random(8)
+    script = lambda first, n: "".join(rnd.choice([chr(first + rnd.randrange(n)), " "]) for _ in range(1500))
+    sample = {"zh": [script(0x4E00, 900)], "ja": [script(0x3041, 80) + script(0x4E00, 300)], "ko": [script(0xAC00, 900)], "en": ["the cat sat on the mat"]}
+    parser = CrossParser(sample)
+    assert len(set("".join(t for texts in sample.values() for t in texts))) > 1000
+    texts = [t[a : a + 60] for [t] in sample.values() for a in (0, 90, 700)]
+    texts += [script(0x4E00, 900)[:80] + "the cat", "ქართული ენა", "กขคง 漢字 cat", ""]
+    spaced = lambda t: re.sub(r"[\W\d_]+", " ", t)
+    parsed = [parser.symbols(t) for t in texts]
+    count = parser.phrases(parsed)
+    for row, lang in enumerate(parser.langs):
+        known = spaced(sample[lang][0])
+        for column, text in enumerate(map(spaced, texts)):
+            n = at = 0
+            while at < len(text):
+                end = at + 1
+                while end < len(text) and text[at : end + 1] in known:
+                    end += 1
+                n, at = n + 1, end
+            assert count[row, column] == n, (lang, text)
+    assert [p[0] for p in parser.predict([sample[x][0][200:260] for x in ("zh", "ja", "ko")])] == ["zh", "ja", "ko"]
+
+
 def test_unlabelled_tables_keep_texts_with_letters(spark):
     rows = [(1, "hello world", None), (2, "12 --", None), (3, None, None), (4, "漢字", None)]
     unlabelled = spark.createDataFrame(rows, "doc_id long, text string, lang string")
