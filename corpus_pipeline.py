@@ -4,8 +4,9 @@
 returns a DataFrame, which is written as Parquet and read back as the next
 one's ``docs``.  All stages but the last return the columns of documents.
 
-Ids name documents: the deduplication and decontamination stages decide by
-doc_id, and rows that repeat both id and text leave the exact dedup once.
+The deduplication and decontamination stages decide by row, also where ids are
+null or repeat with other texts: a row is named by its id and text (a hash of
+both, 128 bits), and rows that repeat both leave the exact dedup once.
 """
 
 from __future__ import annotations
@@ -14,12 +15,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerlens.llm.byte_bpe import encode_decode
-from ledgerlens.llm.common import documents, once, semi_join_ids
+from ledgerlens.llm.common import documents, once, pick, row_key, semi_join_rows
 from ledgerlens.llm.decontaminate import contamination
-from ledgerlens.llm.exact_dedup import exact_dedup
+from ledgerlens.llm.exact_dedup import digests, exact_dedup
 from ledgerlens.llm.language_id import with_known_language
 from ledgerlens.llm.queries import tokenizer
-from ledgerlens.llm.simhash import simhash_groups
+from ledgerlens.llm.simhash import first_rows
 from ledgerlens.session import materialize
 
 
@@ -29,21 +30,23 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the document with the largest id stays."""
-    kept = exact_dedup(docs).where("kept").select("doc_id")
-    return once(semi_join_ids(docs, kept), "doc_id", "text")
+    """Of equal texts the document with the largest id stays, and of its rows that differ in case the one with the smallest key."""
+    kept = exact_dedup(docs).where("kept").select(F.col("doc_id").alias("_id"), F.unhex("text_sha256").alias("_digest"))
+    rows = digests(docs, keyed=True)
+    rows = rows.join(kept, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("digest") == F.col("_digest")), "left_semi")
+    return once(semi_join_rows(docs, rows.groupBy("digest").agg(F.min("row_key").alias("row_key"))), "doc_id", "text")
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of a group of near copies the document with the smallest id stays."""
-    groups = simhash_groups(docs, words=4, distance=4)
-    return semi_join_ids(docs, groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))))
+    return semi_join_rows(docs, first_rows(docs, words=4, distance=4))
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a window of a benchmark item go."""
-    found = contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return semi_join_ids(docs, found.where("not contaminated"))
+    rows = pick(docs, "doc_id", "text").select(row_key(F.col("doc_id"), F.col("text")).alias("doc_id"), "text")
+    found = contamination(rows, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return semi_join_rows(docs, found.where("not contaminated").select(F.col("doc_id").alias("row_key")))
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

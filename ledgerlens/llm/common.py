@@ -31,6 +31,20 @@ def semi_join_ids(df: DataFrame, ids: DataFrame, column: str = "doc_id") -> Data
     return by_place.join(wanted, F.col(f"_in{at}").eqNullSafe(F.col("_wanted")), "left_semi").toDF(*df.columns)
 
 
+def row_key(doc_id: Column, text: Column) -> Column:
+    """16 bytes that tell rows of different id or text apart, also null ids from others and null texts from empty ones."""
+    held = F.concat(F.coalesce(doc_id.cast("string"), F.lit("")), F.lit(":"), F.coalesce(F.concat(F.lit("="), text), F.lit("")))
+    return F.substring(F.unhex(F.sha2(held.cast("binary"), 256)), 1, 16)
+
+
+def semi_join_rows(df: DataFrame, keys: DataFrame) -> DataFrame:
+    """Rows of ``df``, all columns as they are, whose row key is among the ``row_key`` of ``keys``."""
+    by_place = df.toDF(*[f"_in{i}" for i in range(len(df.columns))])
+    key = row_key(*[F.col(f"_in{df.columns.index(c)}") for c in ("doc_id", "text")])
+    wanted = keys.select(F.col("row_key").alias("_wanted"))
+    return by_place.join(wanted, key == F.col("_wanted"), "left_semi").toDF(*df.columns)
+
+
 def once(df: DataFrame, *columns: str) -> DataFrame:
     """One of the rows that agree in the named columns, all columns as they are."""
     by_place = df.toDF(*[f"_in{i}" for i in range(len(df.columns))])

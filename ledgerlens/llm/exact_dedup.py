@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlens.llm.common import ascii_lower, pick
+from ledgerlens.llm.common import ascii_lower, pick, row_key
 from ledgerlens.session import materialize
 
 #: Digests per bucket and lookups per chunk: bounds what a task holds (about 50 bytes each).
@@ -40,11 +40,12 @@ _INDEX = "bucket int, level_sizes array<long>, level_bits binary, digests binary
 _FOUND = "doc_id long, digest binary, member boolean, winner long, group_size long"
 
 
-def digests(docs: DataFrame) -> DataFrame:
-    """doc_id and the SHA-256 of the text with A-Z lower-cased, as ``digest`` (32 bytes)."""
+def digests(docs: DataFrame, keyed: bool = False) -> DataFrame:
+    """doc_id and the SHA-256 of the text with A-Z lower-cased, as ``digest`` (32 bytes); if ``keyed``, the row key as well."""
     text = ascii_lower(F.coalesce(F.col("text"), F.lit("")))
+    more = [row_key(F.col("doc_id"), F.col("text")).alias("row_key")] if keyed else []
     return pick(docs, "doc_id", "text").select(
-        F.col("doc_id").cast("long").alias("doc_id"), F.unhex(F.sha2(text.cast("binary"), 256)).alias("digest")
+        F.col("doc_id").cast("long").alias("doc_id"), F.unhex(F.sha2(text.cast("binary"), 256)).alias("digest"), *more
     )
 
 

@@ -32,11 +32,11 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlens.functions.joins import nullsafe_join
-from ledgerlens.llm.common import parts, pick
+from ledgerlens.llm.common import parts, pick, row_key
 from ledgerlens.llm.components import connected_components
 from ledgerlens.session import materialize
 
@@ -73,17 +73,19 @@ def fingerprint(text: bytes, words: int = SHINGLE_WORDS) -> bytes:
     return np.packbits(2 * ones > len(firsts)).tobytes()
 
 
-def fingerprints(docs: DataFrame, words: int = SHINGLE_WORDS) -> DataFrame:
-    """doc_id and the fingerprint as a (signed) long."""
+def fingerprints(docs: DataFrame, words: int = SHINGLE_WORDS, keyed: bool = False) -> DataFrame:
+    """doc_id and the fingerprint as a (signed) long; if ``keyed``, the row key as well."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in parts(batches):
             found = b"".join(fingerprint(t or b"", words) for t in batch.column(1).to_pylist())
             column = pa.array(np.frombuffer(found, ">i8").astype(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), column], names=["doc_id", "fingerprint"])
+            columns = [batch.column(0), column, *batch.columns[2:]]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "fingerprint", "row_key"][: len(columns)])
 
-    rows = pick(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), F.col("text").cast("binary"))
-    return rows.mapInArrow(work, "doc_id long, fingerprint long")
+    more = [row_key(F.col("doc_id"), F.col("text")).alias("row_key")] if keyed else []
+    rows = pick(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), F.col("text").cast("binary"), *more)
+    return rows.mapInArrow(work, "doc_id long, fingerprint long" + ", row_key binary" * keyed)
 
 
 def gray_rank(codes: np.ndarray) -> np.ndarray:
@@ -225,15 +227,28 @@ def links_within(distinct: DataFrame, distance: int) -> DataFrame:
     return one.unionByName(two).groupBy("block", "other").applyInPandas(search, "a long, b long")
 
 
-def simhash_groups(docs: DataFrame, words: int = SHINGLE_WORDS, distance: int = MAX_BITS) -> DataFrame:
-    """doc_id, fingerprint (16 hex digits) and component_id (the smallest id of the document's group)."""
-    rows = materialize(fingerprints(docs, words), "fingerprints")
-    distinct = materialize(rows.groupBy("fingerprint").agg(F.min("doc_id").alias("first_id")), "distinct-fingerprints")
+def _placed(rows: DataFrame, first: Column, distance: int) -> DataFrame:
+    """fingerprint, ``first`` over its rows and its component."""
+    distinct = materialize(rows.groupBy("fingerprint").agg(first), "distinct-fingerprints")
     found = connected_components(links_within(distinct, distance))
     placed = distinct.join(found.withColumnRenamed("node", "fingerprint"), "fingerprint", "left").select(
-        "fingerprint", "first_id", F.coalesce("component", "fingerprint").alias("component")
+        "fingerprint", *distinct.columns[1:], F.coalesce("component", "fingerprint").alias("component")
     )
-    placed = materialize(placed, "fingerprint-components")
+    return materialize(placed, "fingerprint-components")
+
+
+def first_rows(docs: DataFrame, words: int = SHINGLE_WORDS, distance: int = MAX_BITS) -> DataFrame:
+    """row_key of the first row of each group: the smallest id (null ones last), then the smallest row key."""
+    rows = materialize(fingerprints(docs, words, keyed=True), "fingerprints")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("null_id"), "doc_id", "row_key")).alias("first")
+    firsts = _placed(rows, first, distance).groupBy("component").agg(F.min("first").alias("first"))
+    return firsts.select("first.row_key")
+
+
+def simhash_groups(docs: DataFrame, words: int = SHINGLE_WORDS, distance: int = MAX_BITS) -> DataFrame:
+    """doc_id, fingerprint (16 hex digits) and component_id (the smallest id of the document's group)."""
+    rows = materialize(fingerprints(docs, words), "fingerprints")
+    placed = _placed(rows, F.min("doc_id").alias("first_id"), distance)
     named = placed.groupBy("component").agg(F.min("first_id").alias("component_id"))
     named = placed.join(named, "component").select("fingerprint", "component_id")
     return nullsafe_join(rows, named, ["fingerprint"]).select(

@@ -149,3 +149,30 @@ def test_pipeline_stages_on_awkward_rows(spark, awkward):
         assert docs.columns == awkward.columns, name
     assert {r[0] for r in docs.collect()} >= {6, 9, 11}
     assert corpus_pipeline.STAGES[-1][1](spark, docs, SF).count() == docs.count()
+
+
+def test_pipeline_decides_by_row(spark):
+    item = spark.read.parquet(f"{SF}/benchmark.parquet").where("text is not null").first()["text"]
+    pad = lambda word: " ".join(f"{word}{k}" for k in range(60))
+    near = pad("near")
+    rows = [
+        (None, pad("clean")),
+        (None, f"{pad('dirty')} {item}"),
+        (None, f"{item} {pad('other')}"),
+        (None, pad("copy").upper()),  # a copy but for its case of a document with an id
+        (1, pad("copy")),
+        (None, near + "\n"),  # near copies of a document with an id
+        (None, near + " "),
+        (2, near),
+        (None, pad("group")),  # a group of null ids only
+        (None, pad("group") + " "),
+        (None, pad("Case")),
+        (None, pad("case")),
+        (3, pad("mine")),  # an id with several texts
+        (3, f"{pad('yours')} {item}"),
+    ]
+    docs = spark.createDataFrame([(*r, "en") for r in rows], "doc_id long, text string, lang string")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, SF)
+    left = sorted((i or 0, t.strip().lower()) for i, t in texts_of(docs))
+    assert left == [(0, pad("case")), (0, pad("clean")), (0, pad("group")), (1, pad("copy")), (2, near), (3, pad("mine"))]
