@@ -17,7 +17,8 @@ the others (there are thousands in Chinese) are kept by state and letter in a
 hash table, which is asked only where a text holds such a letter.
 
 Scale: the labelled text is a bounded sample (``SAMPLE_CHARS`` per language, of
-whole documents of at most ``SAMPLE_DOC_CHARS``, drawn by a hash of the id), so
+whole documents of at most ``SAMPLE_DOC_CHARS`` and, where a language has too
+few of them, of pieces spread over longer ones, drawn by a hash of the id), so
 the automata have a fixed size; workers build them once from the broadcast
 sample.  Predicting is one narrow pass over whole texts, without a shuffle.
 
@@ -44,10 +45,13 @@ from ledgerlens.llm.byte_bpe import LETTER, code_point_classes, runs
 from ledgerlens.llm.common import parts, pick, worker_cache
 from ledgerlens.llm.tables import IntTable
 
-#: Labelled letters per language, the longest document taken for them, and how many documents are drawn.
+#: Labelled letters per language, the longest document taken whole for them, and how many documents are drawn.
 SAMPLE_CHARS = 40_000
 SAMPLE_DOC_CHARS = 20_000
 SAMPLE_DOCS = 80
+#: Where the others are too few, so many longer ones are drawn, of which pieces of this length are taken.
+SAMPLE_LONG_DOCS = 20
+PIECE_CHARS = 1000
 #: Letters with a column in the table of transitions, most frequent first; transitions by other letters are looked up.
 LETTERS = 126
 UNDETERMINED = "und"
@@ -58,21 +62,41 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(True))
 
 
+def _pieces(text: Column) -> Column:
+    """At most ``SAMPLE_CHARS`` of a text, what is no letter as one space: all of it, or pieces spread evenly over it."""
+    text = F.regexp_replace(text, r"\P{L}+", " ")
+    n = SAMPLE_CHARS // PIECE_CHARS
+    start = lambda k: F.floor(k * (F.length(text) - PIECE_CHARS) / (n - 1)).cast("int") + 1
+    cut = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda k: F.substr(text, start(k), F.lit(PIECE_CHARS)))
+    return F.when(F.length(text) <= SAMPLE_CHARS, text).otherwise(F.array_join(cut, " "))
+
+
 def labelled_sample(docs: DataFrame) -> dict[str, list[str]]:
-    """Whole labelled texts per language, at most about ``SAMPLE_CHARS`` long together."""
+    """Labelled texts per language, about ``SAMPLE_CHARS`` long together where there are so many."""
     labelled = pick(docs, "doc_id", "text", "lang").where(~held_out(F.col("doc_id")) & F.col("lang").isNotNull())
-    sizes = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
-    if not sizes:
+    labelled = labelled.where(F.col("text").rlike(r"\p{L}"))
+    length = F.length("text")
+    short = length <= SAMPLE_DOC_CHARS
+    sizes = labelled.groupBy("lang").agg(
+        F.count_if(short).alias("n"), F.coalesce(F.sum(F.when(short, length)), F.lit(0)).alias("chars"), F.count_if(~short).alias("n_long")
+    )
+    shares = {}
+    for r in sizes.collect():
+        few = r["chars"] < SAMPLE_CHARS  # all of them, then, and long ones as well
+        wanted = max(SAMPLE_DOCS, 2 * SAMPLE_CHARS * r["n"] / max(1, r["chars"]))
+        shares[r["lang"], False] = min(1.0, wanted / max(1, r["n"]))
+        shares[r["lang"], True] = min(1.0, SAMPLE_LONG_DOCS / max(1, r["n_long"])) if few else 0.0
+    if not shares:
         return {}
-    share = F.create_map(*[F.lit(v) for lang, n in sizes.items() for v in (lang, min(1.0, SAMPLE_DOCS / n))])
+    share = [F.create_map(*[F.lit(v) for (lang, k), x in shares.items() if k == long for v in (lang, x)])[F.col("lang")] for long in (False, True)]
     draw = F.shiftrightunsigned(F.xxhash64(F.col("doc_id"), F.lit("sample")), 11) / F.lit(float(1 << 53))
     drawn = (
-        labelled.where((draw < share[F.col("lang")]) & (F.length("text") <= SAMPLE_DOC_CHARS))
-        .select("lang", "text", draw.alias("draw"))
-        .collect()  # about SAMPLE_DOCS texts of bounded length per language
+        labelled.where(draw < F.when(short, share[0]).otherwise(share[1]))
+        .select("lang", F.when(short, F.col("text")).otherwise(_pieces(F.col("text"))).alias("text"), draw.alias("draw"), (~short).alias("long"))
+        .collect()  # per language about SAMPLE_DOCS texts, or twice SAMPLE_CHARS, and SAMPLE_LONG_DOCS times SAMPLE_CHARS
     )
     out: dict[str, list[str]] = {}
-    for r in sorted(drawn, key=lambda r: (r["lang"], r["draw"], r["text"])):
+    for r in sorted(drawn, key=lambda r: (r["lang"], r["long"], r["draw"], r["text"])):
         texts = out.setdefault(r["lang"], [])
         if sum(map(len, texts)) < SAMPLE_CHARS:
             texts.append(r["text"])

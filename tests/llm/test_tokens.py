@@ -10,7 +10,7 @@ import pytest
 
 from ledgerlens.llm import byte_bpe, token_counts
 from ledgerlens.llm.byte_bpe import ByteBpe, encode_decode
-from ledgerlens.llm.language_id import CrossParser, identify_language, suffix_automaton, with_known_language
+from ledgerlens.llm.language_id import CrossParser, identify_language, labelled_sample, suffix_automaton, with_known_language
 from ledgerlens.llm.licenses import Recogniser, scan_licenses
 from ledgerlens.llm.queries import tokenizer
 from ledgerlens.llm.secrets import pattern_spans, scan_secrets, secret_spans, train
@@ -182,6 +182,19 @@ def test_every_letter_of_the_sample_has_its_own_symbol():
     assert [p[0] for p in parser.predict([sample[x][0][200:260] for x in ("zh", "ja", "ko")])] == ["zh", "ja", "ko"]
 
 
+def test_languages_of_long_or_mostly_empty_documents_are_learnt(spark):
+    words = {"en": ["the", "river", "walks", "and", "sings"], "de": ["der", "fluss", "läuft", "und", "singt"], "fr": ["une", "chanson", "près", "du", "fleuve"]}
+    rnd = random.Random(3)
+    text = lambda lang, n: " ".join(rnd.choice(words[lang]) for _ in range(n))
+    rows = [(i, text("en", 50), "en") for i in range(30)] + [(100 + i, text("de", 12_000), "de") for i in range(9)]
+    rows += [(1000 + i, " " if i % 300 else text("fr", 60), "fr") for i in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    sample = labelled_sample(docs)
+    assert set(sample) == {"en", "de", "fr"} and 40_000 <= sum(map(len, sample["de"])) <= 80_000
+    got = {r["doc_id"]: r["lang_pred"] for r in identify_language(docs, sample).collect()}
+    assert all(got[i] == lang for i, t, lang in rows if t.strip())
+
+
 def test_unlabelled_tables_keep_texts_with_letters(spark):
     rows = [(1, "hello world", None), (2, "12 --", None), (3, None, None), (4, "漢字", None)]
     unlabelled = spark.createDataFrame(rows, "doc_id long, text string, lang string")
