@@ -11,7 +11,7 @@ import pytest
 from ledgerlens.llm import byte_bpe, token_counts
 from ledgerlens.llm.byte_bpe import ByteBpe, encode_decode
 from ledgerlens.llm.language_id import CrossParser, identify_language, labelled_sample, suffix_automaton, with_known_language
-from ledgerlens.llm.licenses import Recogniser, scan_licenses
+from ledgerlens.llm.licenses import SENTENCES, Recogniser, scan_licenses
 from ledgerlens.llm.queries import tokenizer
 from ledgerlens.llm.secrets import pattern_spans, scan_secrets, secret_spans, train
 from ledgerlens.llm.tables import IntTable
@@ -258,6 +258,14 @@ def test_licenses(spark, nothing):
     assert scan_licenses(nothing).count() == 0
 
 
+def test_wrapped_licence_sentences_without_other_cues():
+    recogniser = Recogniser()
+    for name, sentence in SENTENCES.items():
+        for gap in ("\n", "  ", "\t", "\r\n * "):
+            found = recogniser.sentences(gap.join(sentence.split(" ")))
+            assert [n for _, _, n in found] == [name], (name, gap)
+
+
 def test_license_rules_in_order():
     recogniser = Recogniser({"a": "licence a.", "b": "licence b.", "c": "licence c."}, (("AB", ("a", "b")), ("A", ("a",)), ("C", ("c",))))
     find = lambda text: [n for n, _, _ in recogniser.licenses(recogniser.sentences(text))[0]]
