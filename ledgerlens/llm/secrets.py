@@ -4,8 +4,8 @@ The patterns (an assignment to a telling name, an access key, a long
 hexadecimal run) always count.  The random field adds spans: each token of a
 text gets features of its shape, its neighbours and its file, and the most
 likely sequence of the labels outside, begin and inside is found by Viterbi's
-algorithm.  Runs labelled begin or inside that meet no pattern span are
-reported with the kind ``crf``.
+algorithm.  Of runs labelled begin or inside, what lies outside the pattern
+spans is reported with the kind ``crf``, if it has a letter or digit.
 
 The field is trained here, by gradient ascent on the likelihood of labels that
 the patterns give to a bounded sample (``SAMPLE_DOCS`` whole documents of at
@@ -296,6 +296,27 @@ def train(texts: list[str]) -> LinearChain:
     return model
 
 
+def _outside(start: int, end: int, spans: list[tuple[int, int, int]]) -> Iterator[tuple[int, int]]:
+    """What is left of start .. end outside the sorted spans."""
+    for a, _, b in spans:
+        if a < end and start < b:
+            if start < a:
+                yield start, a
+            start = b
+    if start < end:
+        yield start, end
+
+
+def _parts_of_run(tokens: Tokens, a: int, b: int, base: list[tuple[int, int, int]]) -> Iterator[tuple[int, int]]:
+    """The stretches of the run of tokens a .. b that lie outside the spans; they begin and end in tokens."""
+    shift = int(tokens.text_starts[tokens.text[a]])
+    begins, ends = tokens.begin[a : b + 1] - shift, tokens.end[a : b + 1] - shift
+    for start, end in _outside(int(begins[0]), int(ends[-1]), base):
+        first, last = np.searchsorted(ends, start, "right"), np.searchsorted(begins, end, "left") - 1
+        if first <= last:
+            yield max(start, int(begins[first])), min(end, int(ends[last]))
+
+
 def secret_spans(texts: list[str], model: LinearChain) -> list[list[tuple[int, str, int]]]:
     """All spans of each text, (start, kind, end), sorted; the field's own come last at a start."""
     tokens = Tokens(texts)
@@ -308,9 +329,9 @@ def secret_spans(texts: list[str], model: LinearChain) -> list[list[tuple[int, s
         firsts, lasts = secret[head], secret[np.append(np.flatnonzero(head)[1:], len(secret)) - 1]
         for a, b in zip(firsts.tolist(), lasts.tolist()):
             text = int(tokens.text[a])
-            start, end = int(tokens.begin[a] - tokens.text_starts[text]), int(tokens.end[b] - tokens.text_starts[text])
-            if not any(s < end and start < e for s, _, e in base[text]):
-                out[text].append((start, len(KINDS), end))
+            for start, end in _parts_of_run(tokens, a, b, base[text]):
+                if any(map(str.isalnum, texts[text][start:end])):
+                    out[text].append((start, len(KINDS), end))
     names = (*KINDS, "crf")
     return [[(a, names[k], b) for a, k, b in sorted(found)] for found in out]
 

@@ -13,7 +13,7 @@ from ledgerlens.llm.byte_bpe import ByteBpe, encode_decode
 from ledgerlens.llm.language_id import CrossParser, identify_language, labelled_sample, suffix_automaton, with_known_language
 from ledgerlens.llm.licenses import SENTENCES, Recogniser, scan_licenses
 from ledgerlens.llm.queries import tokenizer
-from ledgerlens.llm.secrets import pattern_spans, scan_secrets, secret_spans, train
+from ledgerlens.llm.secrets import BEGIN, INSIDE, LinearChain, pattern_spans, scan_secrets, secret_spans, train
 from ledgerlens.llm.tables import IntTable
 from ledgerlens.llm.token_counts import PrefixCounter, count_of_prefix, longest_prefix, read_pieces
 
@@ -234,6 +234,26 @@ def test_random_field_adds_spans_and_keeps_base_ones():
     assert found[2:] == [[], []]
 
 
+class EverySecret(LinearChain):
+    """A field that takes every token for a part of one secret."""
+
+    def decode(self, features, counts):
+        labels = np.full(len(features), INSIDE, np.int8)
+        labels[np.cumsum(counts) - counts] = BEGIN
+        return labels
+
+
+def test_neighbours_of_pattern_spans_are_reported():
+    access, other, half = "AKIA" + "ABCD1234" * 2, "wJalrXUtnFEMI/K7MDENG", "ZZZ" + "0a" * 12 + "QX"
+    texts = [f"{access} {other}", half, f"{access}.", f"({other}, {access} \t{other})", access]
+    found = secret_spans(texts, EverySecret())
+    got = [[t[a:b] for a, k, b in spans if k == "crf"] for t, spans in zip(texts, found)]
+    assert got == [[other], ["ZZZ", "QX"], [], [other, other], []]
+    assert [[(a, k, b) for a, k, b in spans if k != "crf"] for spans in found] == [
+        [(a, ("assign", "access", "hex")[k], b) for a, k, b in plain_spans(t)] for t in texts
+    ]
+
+
 def test_scan_secrets_of_awkward_rows(awkward, nothing):
     rows = scan_secrets(awkward).collect()
     assert len(rows) == 14 and {r["base_sha256"] for r in rows} == {hashlib.sha256(b"").hexdigest()}
