@@ -8,19 +8,22 @@ algorithm.  Of runs labelled begin or inside, what lies outside the pattern
 spans is reported with the kind ``crf``, if it has a letter or digit.
 
 The field is trained here, by gradient ascent on the likelihood of labels that
-the patterns give to a bounded sample (``SAMPLE_DOCS`` whole documents of at
-most ``SAMPLE_DOC_CHARS``, drawn by a hash of the id).  In half of the training
+the patterns give to a bounded sample (``SAMPLE_DOCS`` documents, half of them
+with a pattern span where there are so many, however rare they are; drawn by a
+hash of id and text; of documents over ``SAMPLE_DOC_CHARS`` windows around the
+spans).  In half of the training
 windows the telling names are hidden from the features, so that it learns from
 shape and place as well.
 
 Features, forward-backward and Viterbi are worked out for many documents side
 by side.
 
-Scale: one narrow pass over whole texts, without a shuffle; the weights (a few
+Scale: narrow passes over whole texts, without a shuffle of them (one counts the
+texts with a span, one draws the sample, one scans); the weights (a few
 hundred numbers) are shipped with the task.
 
 Defined results: a null text counts as empty and has no spans (the hash is that
-of an empty string); if the sample holds no secret, the field adds nothing;
+of an empty string); if no text has a pattern span, the field adds nothing;
 repeated rows are scanned each; an empty table gives an empty result; other
 columns are not looked at.
 """
@@ -48,9 +51,13 @@ _ASSIGN = re.compile(
 _NAMES = (b"password", b"passwd", b"secret", b"token", b"apikey", b"api_key")
 _ACCESS = re.compile("AKIA[A-Z0-9]{16,}")
 _LEAST_VALUE, _LEAST_HEX = 6, 24
+#: The three patterns with their least lengths, for drawing the sample.
+_ANY = "|".join((_ASSIGN.pattern[:-2] + "{%d,})" % _LEAST_VALUE, _ACCESS.pattern, "[0-9a-f]{%d}" % _LEAST_HEX))
 
 SAMPLE_DOCS = 3000
 SAMPLE_DOC_CHARS = 20_000
+#: On either side of a span in a long document.
+EXCERPT_CHARS = 500
 WINDOW = 12
 EPOCHS = 100
 OUTSIDE, BEGIN, INSIDE = range(3)
@@ -336,13 +343,44 @@ def secret_spans(texts: list[str], model: LinearChain) -> list[list[tuple[int, s
     return [[(a, names[k], b) for a, k, b in sorted(found)] for found in out]
 
 
+def excerpt(text: str) -> str:
+    """A text of at most ``SAMPLE_DOC_CHARS`` as it is; of a longer one windows around its pattern spans, or spread evenly."""
+    if len(text) <= SAMPLE_DOC_CHARS:
+        return text
+    spans, each = pattern_spans(text), EXCERPT_CHARS
+    n = SAMPLE_DOC_CHARS // (4 * each) if spans else SAMPLE_DOC_CHARS // each
+    cut = []
+    if not spans:
+        cut = [(int(a), int(a) + each) for a in np.linspace(0, len(text) - each, n)]
+    for i in sorted({int(i) for i in np.linspace(0, len(spans) - 1, n)}) if spans else ():
+        start, end = spans[i][0], min(spans[i][2], spans[i][0] + 2 * each)
+        a, b = max(0, start - each), min(len(text), end + each)
+        # No other span is cut: a window begins behind one and ends before one.
+        a = min(start, max([a, *(e for s, _, e in spans if s < a < e)]))
+        b = max(end, min([b, *(s for s, _, e in spans if s < b < e)]))
+        if cut and a < cut[-1][1]:
+            cut[-1] = cut[-1][0], max(b, cut[-1][1])
+        else:
+            cut.append((a, b))
+    return "\n".join(text[a:b] for a, b in cut)
+
+
 def sample_texts(docs: DataFrame) -> list[str]:
-    """About ``SAMPLE_DOCS`` whole texts, drawn by a hash of the id."""
-    rows = pick(docs, "doc_id", "text")
-    draw = F.shiftrightunsigned(F.xxhash64(F.coalesce("doc_id", F.lit(0)), F.lit("secrets")), 11) / F.lit(float(1 << 53))
-    share = min(1.0, SAMPLE_DOCS / max(1, rows.count()))
-    drawn = rows.where((draw < share) & (F.length("text") <= SAMPLE_DOC_CHARS)).select("text", draw.alias("draw"))
-    return [r["text"] for r in sorted(drawn.collect(), key=lambda r: (r["draw"], r["text"]))]
+    """About ``SAMPLE_DOCS`` texts, half of them with a pattern span if there are so many; drawn by a hash of id and text."""
+    rows = pick(docs, "doc_id", "text").where("text is not null").select("text", F.col("text").rlike(_ANY).alias("hit"), "doc_id")
+    counts = {r["hit"]: r["n"] for r in rows.groupBy("hit").agg(F.count(F.lit(1)).alias("n")).collect()}
+    draw = F.shiftrightunsigned(F.xxhash64(F.coalesce("doc_id", F.lit(0)), "text", F.lit("secrets")), 11) / F.lit(float(1 << 53))
+    shares = [min(1.0, SAMPLE_DOCS / 2 / max(1, counts.get(hit, 0))) for hit in (False, True)]
+    drawn = rows.where(draw < F.when(F.col("hit"), shares[1]).otherwise(shares[0])).select(F.col("text").cast("binary"), draw.alias("draw"))
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in parts(batches):
+            texts = [excerpt(b.decode("utf-8", "replace")) for b in batch.column(0).to_pylist()]
+            texts = [t.encode("utf-8", "replace") for t in texts]
+            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.binary()), batch.column(1)], names=["text", "draw"])
+
+    found = drawn.mapInArrow(work, "text binary, draw double").collect()
+    return [bytes(r["text"]).decode() for r in sorted(found, key=lambda r: (r["draw"], bytes(r["text"])))]
 
 
 def scan_secrets(docs: DataFrame, model: LinearChain | None = None) -> DataFrame:

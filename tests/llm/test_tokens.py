@@ -8,7 +8,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from ledgerlens.llm import byte_bpe, token_counts
+from ledgerlens.llm import byte_bpe, secrets, token_counts
 from ledgerlens.llm.byte_bpe import ByteBpe, encode_decode
 from ledgerlens.llm.language_id import CrossParser, identify_language, labelled_sample, suffix_automaton, with_known_language
 from ledgerlens.llm.licenses import SENTENCES, Recogniser, scan_licenses
@@ -254,6 +254,23 @@ def test_neighbours_of_pattern_spans_are_reported():
     ]
 
 
+def test_rare_secrets_and_those_of_long_documents_train_the_field(spark, monkeypatch):
+    monkeypatch.setattr(secrets, "SAMPLE_DOCS", 40)
+    rnd = random.Random(9)
+    value = lambda: "".join(rnd.choice("0123456789abcdef") for _ in range(40))
+    prose = "we walk over the river and sing along " * 4
+    rare = [(i, prose + str(i)) for i in range(4000)] + [(5000 + i, f"{prose} token = {value()} {prose}") for i in range(4)]
+    texts = secrets.sample_texts(spark.createDataFrame(rare, "doc_id long, text string"))
+    assert sum(bool(pattern_spans(t)) for t in texts) == 4 and 4 < len(texts) < 60 and train(texts).trained
+    dumps = [f"{prose * 300}\nkey{i} {value()}\n{prose * 300}" for i in range(6)]
+    texts = secrets.sample_texts(spark.createDataFrame(list(enumerate(dumps)), "doc_id long, text string"))
+    assert len(texts) == 6 and max(map(len, texts)) <= 20_000 and train(texts).trained
+    many = "".join(f"{prose}\nkey{i} = {value()} password: {value()}\n" for i in range(400))
+    whole = {many[a:b] for a, _, b in pattern_spans(many)}
+    cut = secrets.excerpt(many)
+    assert len(cut) <= 25_000 and 10 <= len(pattern_spans(cut)) and {cut[a:b] for a, _, b in pattern_spans(cut)} <= whole
+
+
 def test_scan_secrets_of_awkward_rows(awkward, nothing):
     rows = scan_secrets(awkward).collect()
     assert len(rows) == 14 and {r["base_sha256"] for r in rows} == {hashlib.sha256(b"").hexdigest()}
