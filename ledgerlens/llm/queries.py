@@ -5,9 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ledgerlens.llm.byte_bpe import encode_decode
+from ledgerlens.llm.clusters import cluster_vectors
 from ledgerlens.llm.common import documents
 from ledgerlens.llm.decontaminate import contamination
 from ledgerlens.llm.exact_dedup import exact_dedup
+from ledgerlens.llm.filter_audit import audit_documents
+from ledgerlens.llm.hyperminhash import near_duplicates
 from ledgerlens.llm.language_id import identify_language
 from ledgerlens.llm.licenses import scan_licenses
 from ledgerlens.llm.oracle import ORACLES
@@ -65,6 +68,18 @@ def op10_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kd_shards(documents(spark, sf_dir), n_shards=24)
 
 
+def op11_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(documents(spark, sf_dir), words=3, percent=85)
+
+
+def op12_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cluster_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), n_clusters=40, dims=64, rounds=5, seed=2).drop("centroid")
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit_documents(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 LLM_QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_suffix_dedup": op2_suffix_dedup,
@@ -76,6 +91,9 @@ LLM_QUERIES = {
     "op8_secrets": op8_secrets,
     "op9_licenses": op9_licenses,
     "op10_kd_shards": op10_kd_shards,
+    "op11_minhash": op11_minhash,
+    "op12_clusters": op12_clusters,
+    "op13_filter_audit": op13_filter_audit,
 }
 
 
