@@ -149,12 +149,12 @@ def audit_masks(counts: DataFrame, letters: str = LETTERS) -> DataFrame:
     spark = counts.sparkSession
     counts = materialize(counts, "audit-counts")
     spans = spark.createDataFrame(removal_intervals(len(letters)), "mask int, step int, begin int, behind int")
-    ends = F.explode(F.array(F.struct("begin", F.lit(1).alias("sign")), F.struct("behind", F.lit(-1).alias("sign"))))
+    ends = F.explode(F.array(*[F.struct(F.col(c).alias("at"), F.lit(s).alias("sign")) for c, s in (("begin", 1), ("behind", -1))]))
     amounts = ["n", "good", "toxic"]
     deltas = (
         counts.join(F.broadcast(spans), "mask")
         .select("part", "step", ends.alias("end"), *amounts)
-        .groupBy("part", "step", F.col("end.begin").alias("rank"))
+        .groupBy("part", "step", F.col("end.at").alias("rank"))
         .agg(*[F.sum(F.col("end.sign") * F.col(a)).alias(a) for a in amounts])
     )
     # Of a part: all documents, and per filter those that fail it and those that fail nothing else.
