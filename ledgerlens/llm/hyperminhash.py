@@ -13,9 +13,11 @@ Which candidates are compared.  Documents of the same set are one entry.  In a
 bucket of a band every entry is compared with the bucket's leader, which differs
 from band to band.  Verified links make components.  An entry of a bucket that
 is still in another component than others of it is then compared with all of
-these, in blocks of bounded size.  So a group of near copies, a third of all
-rows maybe, costs a few comparisons an entry, and still no two entries of
-a bucket end up in different components without having been compared.
+these on the full sets, in blocks of bounded size that count common shingles by
+an inverted index and report the links that join components, never all pairs.
+So a group of near copies, a third of all rows maybe, costs a few comparisons an
+entry, and still no two entries of a bucket end up in different components
+without having been compared.
 
 What can be lost: a pair at the threshold agrees in no band with a chance of
 3e-8 at J = 0.85 (``BANDS`` bands of ``ROWS`` registers), and is estimated lower
@@ -60,8 +62,9 @@ MANTISSA = 10
 MARGIN = 0.18
 #: Rounds of comparing with leaders before the remaining entries are compared with all others.
 LEADER_ROUNDS = 2
-#: Entries of a side of a block.
+#: Entries of a side of a block, and their shingles.
 BLOCK_ROWS = 1000
+BLOCK_SHINGLES = 500_000
 #: Bits of the filter on texts.
 FILTER_BITS = 1 << 25
 _BITMAP = 1 << 15
@@ -312,65 +315,93 @@ def _in_components(shared: DataFrame, components: DataFrame) -> DataFrame:
     return materialize(placed.join(mixed.where("low <> high").select("bucket"), "bucket", "left_semi"), "mixed-buckets")
 
 
-def remaining_pairs(mixed: DataFrame, entries: DataFrame, percent: int) -> DataFrame:
-    """Distinct pairs (a, b) of a bucket's entries in different components, by sizes and estimate near enough.
+class Forest:
+    """Components of a block's entries, each link joining two of them."""
 
-    The entries outside the bucket's largest component meet all its entries in
-    blocks of about BLOCK_ROWS times BLOCK_ROWS; inside the largest component
-    there is nothing to compare.
+    def __init__(self) -> None:
+        self.up: dict[bytes, bytes] = {}
+
+    def find(self, x: bytes) -> bytes:
+        while x in self.up:
+            self.up[x] = self.up.get(self.up[x], self.up[x])
+            x = self.up[x]
+        return x
+
+    def join(self, x: bytes, y: bytes) -> bool:
+        x, y = self.find(x), self.find(y)
+        if x != y:
+            self.up[x] = y
+        return x != y
+
+
+def block_links(minors: list[tuple], others: list[tuple], percent: int) -> list[tuple[bytes, bytes]]:
+    """Links that join components of a block, found by counting the common shingles of each minor with all others.
+
+    Both lists hold (entry, component, shingle hashes).  Counts come from an
+    inverted index over the others, so a pair without a common shingle costs
+    nothing and no pair is listed before its count is known.
     """
-    least = percent / 100 - MARGIN
+    sizes = np.array([len(h) for *_, h in others])
+    hashes = np.concatenate([h for *_, h in others])
+    order = np.argsort(hashes, kind="stable")
+    of = np.repeat(np.arange(len(others)), sizes)[order]
+    keys, first = np.unique(hashes[order], return_index=True)
+    last = np.append(first[1:], len(of))
+    forest, found = Forest(), []
+    for entry, component, mine in minors:
+        at = np.searchsorted(keys, mine)
+        at = at[(at < len(keys)) & (keys[np.minimum(at, len(keys) - 1)] == mine)]
+        begin, length = first[at], last[at] - first[at]
+        ends = np.cumsum(length)
+        places = np.arange(ends[-1] if len(ends) else 0) + np.repeat(begin - ends + length, length)
+        both = np.bincount(of[places], minlength=len(others))
+        for k in np.flatnonzero(100 * both >= percent * (len(mine) + sizes - both)):
+            if forest.join(component, others[k][1]):
+                found.append((entry, others[k][0]))
+    return found
+
+
+def remaining_links(mixed: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
+    """Links (a, b) between a bucket's entries in different components, as far as they join these.
 
-    def compare(one: dict, two: dict) -> Iterator[pa.RecordBatch]:
-        for k in range(0, len(one["n"]), 32):
-            n, m = one["n"][k : k + 32, None], two["n"][None, :]
-            near = (100 * np.minimum(n, m) >= percent * np.maximum(n, m)) & (one["c"][k : k + 32, None] != two["c"][None, :])
-            i, j = np.nonzero(near)
-            equal = (one["r"][i + k] == two["r"][j]).sum(axis=1)
-            good = estimate(equal, n[i, 0], m[0, j]) >= least
-            pairs = [(min(p), max(p)) for p in zip(one["e"][i[good] + k], two["e"][j[good]])]
-            if pairs:
-                columns = [pa.array([p[s] for p in pairs], pa.binary()) for s in (0, 1)]
-                yield pa.RecordBatch.from_arrays(columns, names=["a", "b"])
-
-    def side(rows: list) -> dict:
-        return {
-            "n": np.array([r[4] for r in rows], np.int64), "e": np.array([r[3] for r in rows], object),
-            "c": np.array([r[5] for r in rows], object), "r": np.frombuffer(b"".join(r[6] for r in rows), "<u2").reshape(-1, BUCKETS),
-        }
+    The entries outside the bucket's largest component meet all its entries in
+    blocks of bounded size, which come with their texts and are compared on the
+    full sets; inside the largest component there is nothing to compare.
+    """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, sides = None, ([], [])
-        for batch in parts(batches):
-            for row in zip(*(c.to_pylist() for c in batch.columns)):
-                if row[:2] != block:
-                    if sides[0] and sides[1]:
-                        yield from compare(side(sides[0]), side(sides[1]))
-                    block, sides = row[:2], ([], [])
-                sides[row[2]].append(row)
-        if sides[0] and sides[1]:
-            yield from compare(side(sides[0]), side(sides[1]))
-
-    sizes = mixed.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("size"))
-    tops = sizes.groupBy("bucket").agg(F.sum("size").alias("every"), F.max(F.struct("size", "component")).alias("top"))
-    n_blocks = lambda rows: F.ceil(rows / BLOCK_ROWS).cast("int")
+        known, block, sides = WordHashes(), None, ([], [])
+
+        def links() -> Iterator[pa.RecordBatch]:
+            if sides[0] and sides[1] and (found := block_links(*sides, percent)):
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in zip(*found)], names=["a", "b"])
+
+        for batch in parts(batches, 200):
+            for bucket, number, side, entry, component, text in zip(*(c.to_pylist() for c in batch.columns)):
+                if (bucket, number) != block:
+                    yield from links()
+                    block, sides = (bucket, number), ([], [])
+                sides[side].append((entry, component, shingle_hashes(text, words, known)))
+        yield from links()
+
+    sizes = mixed.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("n"))
+    tops = sizes.groupBy("bucket").agg(F.sum("size").alias("rows"), F.sum("n").alias("n"), F.max(F.struct("size", "component", "n")).alias("top"))
+    blocks = lambda rows, n: F.ceil(F.greatest(rows / BLOCK_ROWS, n / BLOCK_SHINGLES)).cast("int")
     tops = tops.select(
-        "bucket", F.col("top.component").alias("top"),
-        n_blocks(F.col("every") - F.col("top.size")).alias("minor_blocks"), n_blocks(F.col("every")).alias("blocks"),
+        "bucket", F.col("top.component").alias("top"), blocks(F.col("rows"), F.col("n")).alias("blocks"),
+        blocks(F.col("rows") - F.col("top.size"), F.col("n") - F.col("top.n")).alias("minor_blocks"),
     )
     rows = mixed.join(tops, "bucket")
     mine = lambda n: F.pmod(F.xxhash64("entry"), F.col(n)).cast("int")
     each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     minors = rows.where("component <> top").withColumn("i", mine("minor_blocks")).withColumn("j", each("blocks"))
     others = rows.withColumn("j", mine("blocks")).withColumn("i", each("minor_blocks"))
-    wanted = ["bucket", "block", "side", "entry", "n", "component"]
     number = (F.col("i").cast("long") * F.col("blocks") + F.col("j")).alias("block")
-    both = minors.select("bucket", number, F.lit(0).alias("side"), "entry", "n", "component").unionByName(
-        others.select("bucket", number, F.lit(1).alias("side"), "entry", "n", "component")
-    )
-    blocks = both.join(entries.select("entry", "registers"), "entry").select(*wanted, "registers")
-    blocks = blocks.repartition("bucket", "block").sortWithinPartitions("bucket", "block")
-    return blocks.mapInArrow(work, "a binary, b binary").distinct()
+    both = [d.select("bucket", number, F.lit(k).alias("side"), "entry", "component") for k, d in enumerate((minors, others))]
+    dealt = both[0].unionByName(both[1]).join(texts, "entry")
+    dealt = dealt.select("bucket", "block", "side", "entry", "component", "text")
+    dealt = dealt.repartition("bucket", "block").sortWithinPartitions("bucket", "block")
+    return dealt.mapInArrow(work, "a binary, b binary")
 
 
 def near_components(docs: DataFrame, entries: DataFrame, words: int, percent: int) -> DataFrame:
@@ -380,19 +411,16 @@ def near_components(docs: DataFrame, entries: DataFrame, words: int, percent: in
     wanted = entries.join(shared.select("entry").distinct(), "entry", "left_semi").select("entry", "row_key")
     texts = texts_of_entries(docs, materialize(wanted, "wanted-texts"))
     rows, checked, components = shared.withColumn("component", F.col("entry")), None, None
-    for turn in range(LEADER_ROUNDS + 1):
-        if turn < LEADER_ROUNDS:
-            pairs = estimated(leader_pairs(rows, turn, percent), entries, least)
-        else:
-            pairs = remaining_pairs(rows, entries, percent)
+    for turn in range(LEADER_ROUNDS):
+        pairs = estimated(leader_pairs(rows, turn, percent), entries, least)
         if checked is not None:
             pairs = pairs.join(checked.select("a", "b"), ["a", "b"], "left_anti")
         found = verified(pairs, texts, words, percent)
         checked = found if checked is None else checked.unionByName(found)
         components = connected_components(checked.where("linked").select("a", "b"))
-        if turn < LEADER_ROUNDS:
-            rows = _in_components(shared, components)
-    return components
+        rows = _in_components(shared, components)
+    links = checked.where("linked").select("a", "b").unionByName(remaining_links(rows, texts, words, percent))
+    return connected_components(links)
 
 
 def near_duplicates(docs: DataFrame, words: int = SHINGLE_WORDS, percent: int = PERCENT) -> DataFrame:
