@@ -102,7 +102,6 @@ def run_from_extracts(
     fmt: str = "csv",
     fan_out: bool = True,
     without: tuple[str, ...] = (),
-    multi_line: tuple[str, ...] = (),
     fail_on_rejects: bool = False,
 ) -> dict[str, str]:
     """Read the ERP extracts of ``folder`` and write Tasks 1-5, the dashboard
@@ -110,7 +109,7 @@ def run_from_extracts(
 
     Every extract must be there and have its columns; ``without`` names
     optional ones (``rseg``, ``ekpo``) that are left out on purpose.
-    ``multi_line`` names extracts whose quoted cells hold line breaks.  The
+    Quoted cells may hold line breaks.  The
     rejects report lists cells that could not be read, records that do not
     fit the header and PO lines that the rules cannot repair;
     ``fail_on_rejects`` stops instead where there are any.
@@ -125,13 +124,12 @@ def run_from_extracts(
     tables, rejected = {}, []
     for key, (fields, rename, encoding) in erp.EXTRACTS.items():
         if key not in without:
-            raw = erp.read_csv_text(spark, path(key), encoding, key in multi_line)
+            raw = erp.read_csv_text(spark, path(key), encoding)
             tables[key] = erp.typed(raw, fields, rename)
             rejected.append(erp.rejects(raw, fields, EXTRACT_FILES[key]))
     if "ekpo" not in without:
-        whole = "ekpo" in multi_line
-        tables["ekpo"] = ragged.read_ragged_csv(spark, path("ekpo"), whole_file=whole)
-        lost = ragged.rejected_ragged_lines(ragged.read_lines(spark, path("ekpo"), whole_file=whole))
+        tables["ekpo"] = ragged.read_ragged_csv(spark, path("ekpo"))
+        lost = ragged.rejected_ragged_lines(ragged.read_lines(spark, path("ekpo")))
         rejected.append(
             lost.select(
                 F.lit(EXTRACT_FILES["ekpo"]).alias("file"),

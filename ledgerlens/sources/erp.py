@@ -10,8 +10,8 @@ columns stay text.  Both files' ``Currency_Key`` columns are renamed on read,
 so the invoice (document) and company (local) currencies never collide in a
 join.
 
-Files are split at line ends and read in parallel; ``multi_line`` reads files
-whose quoted cells hold line breaks, each file by one task.
+Files are read in parallel, in blocks, also where quoted cells hold line breaks
+(``sources.records``).
 
 The PO-line extract is ragged and has its own reader in
 ``ledgerlens.sources.ragged``.
@@ -19,11 +19,14 @@ The PO-line extract is ragged and has its own reader in
 
 from __future__ import annotations
 
+import csv
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ledgerlens import schemas as S
+from ledgerlens.sources.records import FILE, VALUE, file_lines, has_open_lines, records, without_headers
 
 # Date patterns tried in order for text dates.
 DATE_PATTERNS = (
@@ -74,22 +77,30 @@ def _parsed(name: str, col: Column, dtype: T.DataType, date_patterns) -> Column:
     return col if isinstance(dtype, T.StringType) else F.trim(col).try_cast(dtype)
 
 
-def read_csv_text(spark: SparkSession, path: str, encoding: str = "UTF-8", multi_line: bool = False) -> DataFrame:
+def read_csv_text(spark: SparkSession, path: str, encoding: str = "UTF-8", multi_line: bool | None = None) -> DataFrame:
     """All columns as text under the header's names, and ``_corrupt_record``: the text of a record
-    whose number of cells does not fit the header (its cells are kept as far as they fit)."""
-    reader = (
-        spark.read.option("header", True)
-        .option("inferSchema", False)
-        .option("encoding", encoding)
-        .option("quote", '"')
-        .option("escape", '"')
-        .option("mode", "PERMISSIVE")
-        .option("multiLine", multi_line)
-        .option("columnPruning", False)  # a record is checked against all its cells
-    )
-    names = reader.csv(path).columns
-    fields = [T.StructField(c, T.StringType()) for c in [*names, CORRUPT]]
-    return reader.option("columnNameOfCorruptRecord", CORRUPT).option("enforceSchema", True).schema(T.StructType(fields)).csv(path)
+    whose number of cells does not fit the header (its cells are kept as far as they fit).
+
+    Files are read in parallel, also where quoted cells hold line breaks;
+    ``multi_line`` says whether some do, without looking.
+    """
+    options = {"quote": '"', "escape": '"', "mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}
+    # A record is checked against all its cells.
+    reader = spark.read.options(header=True, inferSchema=False, encoding=encoding, columnPruning=False, **options)
+    if multi_line is None:
+        multi_line = has_open_lines(file_lines(spark, path, encoding))
+    if not multi_line:
+        fields = [T.StructField(c, T.StringType()) for c in [*reader.csv(path).columns, CORRUPT]]
+        return reader.option("enforceSchema", True).schema(T.StructType(fields)).csv(path)
+    found = records(file_lines(spark, path, encoding))
+    top = found.where("_first").orderBy(FILE).select(VALUE).first()
+    if top is None:
+        raise ValueError(f"no header line in {path}")
+    names = next(csv.reader([top[VALUE]]))
+    names = [n or f"_c{i}" for i, n in enumerate(names)]
+    ddl = ", ".join(f"`{n.replace('`', '``')}` string" for n in [*names, CORRUPT])
+    rows = without_headers(found).where(F.trim(VALUE) != "")
+    return rows.select(F.from_csv(F.col(VALUE), ddl, options).alias("r")).select("r.*")
 
 
 def typed(raw: DataFrame, fields: dict[str, T.DataType], rename: dict[str, str] | None = None,
@@ -119,43 +130,43 @@ EXTRACTS = {
 }
 
 
-def read_extract(spark: SparkSession, kind: str, path: str, encoding: str | None = None, multi_line: bool = False) -> DataFrame:
+def read_extract(spark: SparkSession, kind: str, path: str, encoding: str | None = None, multi_line: bool | None = None) -> DataFrame:
     """The typed rows of an extract of the given kind."""
     fields, rename, default = EXTRACTS[kind]
     return typed(read_csv_text(spark, path, encoding or default, multi_line), fields, rename)
 
 
-def read_bsak(spark: SparkSession, path: str, encoding: str = "UTF-8", multi_line: bool = False) -> DataFrame:
+def read_bsak(spark: SparkSession, path: str, encoding: str = "UTF-8", multi_line: bool | None = None) -> DataFrame:
     """Cleared vendor invoice lines (BSAK + BKPF)."""
     return read_extract(spark, "bsak", path, encoding, multi_line)
 
 
-def read_t001(spark: SparkSession, path: str, encoding: str = "UTF-8", multi_line: bool = False) -> DataFrame:
+def read_t001(spark: SparkSession, path: str, encoding: str = "UTF-8", multi_line: bool | None = None) -> DataFrame:
     """Company codes: name and local currency."""
     return read_extract(spark, "t001", path, encoding, multi_line)
 
 
-def read_lfa1(spark: SparkSession, path: str, encoding: str = "UTF-8", multi_line: bool = False) -> DataFrame:
+def read_lfa1(spark: SparkSession, path: str, encoding: str = "UTF-8", multi_line: bool | None = None) -> DataFrame:
     """Vendor master."""
     return read_extract(spark, "lfa1", path, encoding, multi_line)
 
 
-def read_rseg(spark: SparkSession, path: str, encoding: str = "UTF-8", multi_line: bool = False) -> DataFrame:
+def read_rseg(spark: SparkSession, path: str, encoding: str = "UTF-8", multi_line: bool | None = None) -> DataFrame:
     """Invoice receipt lines (RSEG + RBKP)."""
     return read_extract(spark, "rseg", path, encoding, multi_line)
 
 
-def read_ekbe(spark: SparkSession, path: str, encoding: str = "UTF-8", multi_line: bool = False) -> DataFrame:
+def read_ekbe(spark: SparkSession, path: str, encoding: str = "UTF-8", multi_line: bool | None = None) -> DataFrame:
     """PO history."""
     return read_extract(spark, "ekbe", path, encoding, multi_line)
 
 
-def read_bsid(spark: SparkSession, path: str, encoding: str = LATIN1, multi_line: bool = False) -> DataFrame:
+def read_bsid(spark: SparkSession, path: str, encoding: str = LATIN1, multi_line: bool | None = None) -> DataFrame:
     """Open customer items (BSID + BKPF), latin-1 by default."""
     return read_extract(spark, "bsid", path, encoding, multi_line)
 
 
-def read_knkk(spark: SparkSession, path: str, encoding: str = "UTF-8", multi_line: bool = False) -> DataFrame:
+def read_knkk(spark: SparkSession, path: str, encoding: str = "UTF-8", multi_line: bool | None = None) -> DataFrame:
     """Customer credit limits per credit control area."""
     return read_extract(spark, "knkk", path, encoding, multi_line)
 

@@ -25,6 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerlens import schemas as S
+from ledgerlens.sources.records import BLOCK, FILE, file_lines, has_open_lines, records, without_headers
 
 FIELDS = "fields"
 REJECTED = "_unrepairable"
@@ -37,8 +38,6 @@ PO_LINE_COLUMNS = [S.PO_NUM, S.PO_ITEM] + [f"Field_{i:02d}" for i in range(2, S.
 _CELL = r'(?s)(?:"[^"]*+(?:""[^"]*+)*+"[^,]*+|[^",][^,]*+|),|"[^"]*+(?:""[^"]*+)*+\z'
 # The quoted part of a cell, and what follows the closing quote.
 _QUOTED = r'(?s)\A"([^"]*+(?:""[^"]*+)*+)"?(.*)\z'
-# A record and the line break behind it, in a whole file; line breaks in quotes belong to the record.
-_RECORD = r'(?s)((?:"[^"]*+(?:""[^"]*+)*+"|[^"\n]|"(?=[^"]*+\z))*+)\n'
 
 
 def _cell(match: Column) -> Column:
@@ -58,7 +57,7 @@ def split_csv_lines(lines: DataFrame, col: str = "value") -> DataFrame:
         .when(line.contains('"'), cells)
         .when(line.isNotNull(), F.split(line, ",", -1))
     )
-    return lines.select(fields.alias(FIELDS))
+    return lines.select(_held(fields).alias(FIELDS))
 
 
 def _drop_last_char(c: Column) -> Column:
@@ -91,6 +90,12 @@ def _repair(fields: DataFrame, width: int) -> DataFrame:
     return fields.select(fixed.alias(FIELDS), bad.alias(REJECTED))
 
 
+def _held(column: Column) -> Column:
+    """The column as a row of its own array: what follows refers to the result, so the optimizer does not
+    put the expression into every place that uses it."""
+    return F.explode(F.array(column))
+
+
 def repair_ragged_lines(
     lines: DataFrame, column_names: list[str], col: str = "value", blank_as_null: bool = False
 ) -> DataFrame:
@@ -102,7 +107,9 @@ def repair_ragged_lines(
     into nulls instead.
     """
     width = len(column_names)
-    rep = _repair(split_csv_lines(lines, col), width).where(~F.col(REJECTED))
+    fixed, bad = _repaired(F.col(FIELDS), width)
+    # One row, or none for a line that cannot be repaired.
+    rep = split_csv_lines(lines, col).select(F.explode(F.when(~bad, F.array(fixed))).alias(FIELDS))
     cells = [F.try_element_at(F.col(FIELDS), F.lit(i + 1)) for i in range(width)]
     if blank_as_null:
         cells = [F.when(c != "", c) for c in cells]
@@ -116,40 +123,31 @@ def rejected_ragged_lines(lines: DataFrame, width: int = S.EKPO_FIELD_COUNT, col
 
 
 def read_lines(
-    spark: SparkSession, path: str, encoding: str = "ISO-8859-1", header: bool = True, whole_file: bool = False
+    spark: SparkSession, path: str, encoding: str = "ISO-8859-1", header: bool = True, whole_file: bool | None = None
 ) -> DataFrame:
-    """Raw lines of CSV files as one ``value`` column, decoded with ``encoding``.
+    """Raw records of CSV files as one ``value`` column, decoded with ``encoding``.
 
-    Files are split at line ends and read in parallel; blank lines are kept.
-    With ``header`` the lines at the beginning of files that equal the first
-    line of the first file are left out.  ``whole_file`` is for files whose
-    quoted cells hold line breaks: each file is read by one task and cut into
-    records instead of lines.
+    Files are split into blocks and read in parallel; blank lines are kept.
+    Where quoted cells hold line breaks, records are put together over lines
+    and blocks (``sources.records``); ``whole_file`` says so (or that there are
+    none) without looking.  With ``header`` the lines at the beginning of files
+    that equal the first line of the first file are left out.
     """
-    if whole_file:
-        text = F.decode(F.col("value").cast("binary"), encoding)
-        # A line break at the very end ends the last record; otherwise one is put there.
-        text = F.regexp_replace(text, "\r\n", "\n")
-        text = F.when(text.endswith("\n"), text).otherwise(F.concat(text, F.lit("\n")))
-        records = F.regexp_extract_all(text, F.lit(_RECORD), F.lit(1))
-        if header:
-            records = F.slice(records, 2, F.greatest(F.size(records) - 1, F.lit(0)))
-        return spark.read.text(path, wholetext=True).select(F.explode(records).alias("value"))
-    # The text source hands bytes on as they are, so they can be decoded here.
-    lines = spark.read.text(path).select(
-        F.decode(F.col("value").cast("binary"), encoding).alias("value"), F.col("_metadata.file_block_start").alias("_start")
-    )
+    lines = file_lines(spark, path, encoding)
+    if has_open_lines(lines) if whole_file is None else whole_file:
+        found = records(lines)
+        return without_headers(found) if header else found.orderBy(FILE, F.desc("_first")).select("value")
     if header:
         first = lines.first()
         if first is not None:
-            lines = lines.where((F.col("_start") > 0) | (F.col("value") != first["value"]))
+            lines = lines.where((F.col(BLOCK) > 0) | (F.col("value") != first["value"]))
     return lines.select("value")
 
 
 def header_names(
-    spark: SparkSession, path: str, width: int = S.EKPO_FIELD_COUNT, encoding: str = "ISO-8859-1", whole_file: bool = False
+    spark: SparkSession, path: str, width: int = S.EKPO_FIELD_COUNT, encoding: str = "ISO-8859-1", whole_file: bool | None = None
 ) -> list[str]:
-    """Column names from the first line of the first file, repaired by the same rules.
+    """Column names from the first record of the first file, repaired by the same rules.
 
     A header that is missing or cannot be repaired raises ``ValueError``.
     """
@@ -167,9 +165,11 @@ def read_ragged_csv(
     width: int = S.EKPO_FIELD_COUNT,
     encoding: str = "ISO-8859-1",
     blank_as_null: bool = False,
-    whole_file: bool = False,
+    whole_file: bool | None = None,
 ) -> DataFrame:
     """Read and repair a ragged extract: header names, then repaired rows (blank lines as rows of nulls)."""
+    if whole_file is None:
+        whole_file = has_open_lines(file_lines(spark, path, encoding))
     names = header_names(spark, path, width, encoding, whole_file)
     lines = read_lines(spark, path, encoding=encoding, header=True, whole_file=whole_file)
     return repair_ragged_lines(lines, names, blank_as_null=blank_as_null)
