@@ -533,11 +533,8 @@ FROM aged a LEFT JOIN knkk k ON a.{CUST} IS NOT DISTINCT FROM k.{CUST}"""
     )
 
 
-def _q_repair_ragged_po_lines() -> str:
-    # The damaged lines are derived from every line item; a correct repair
-    # gives the original 29 fields back.
-    names = [PO_NUM, PO_ITEM] + [f"Field_{i:02d}" for i in range(2, 29)]
-    exprs = [
+def _po_cells() -> list[str]:
+    return [
         "CAST(l_orderkey AS VARCHAR)",
         "CAST(l_linenumber AS VARCHAR)",
         "CAST(l_partkey AS VARCHAR)",
@@ -549,8 +546,104 @@ def _q_repair_ragged_po_lines() -> str:
         "CAST(CAST(l_discount AS DECIMAL(4,2)) AS VARCHAR)",
         "CAST(CAST(l_tax AS DECIMAL(4,2)) AS VARCHAR)",
     ] + [f"'v' || CAST((l_orderkey * {i} + l_linenumber) % 97 AS VARCHAR)" for i in range(10, 29)]
-    cols = ",\n       ".join(f"{e} AS {n}" for e, n in zip(exprs, names))
-    return f"SELECT {cols}\nFROM lineitem"
+
+
+_LOST = "(l_orderkey % 64 = 5 AND l_linenumber % 4 IN (1, 2))"
+
+
+def _q_repair_ragged_po_lines() -> str:
+    # The damaged lines are derived from every line item; a correct repair
+    # gives the original 29 fields back, where a line can be repaired.
+    names = [PO_NUM, PO_ITEM] + [f"Field_{i:02d}" for i in range(2, 29)]
+    cols = ",\n       ".join(f"{e} AS {n}" for e, n in zip(_po_cells(), names))
+    return f"SELECT {cols}\nFROM lineitem WHERE NOT {_LOST}"
+
+
+def _q_rejected_ragged_po_lines() -> str:
+    f = _po_cells()
+    one = "concat_ws('|', " + ", ".join(f[:6] + f[7:]) + ")"
+    two = "concat_ws('|', " + ", ".join(f[:5] + [f[5] + " || ',x'"] + f[8:]) + ")"
+    return f"""
+SELECT CASE l_linenumber % 4 WHEN 1 THEN 28 ELSE 27 END AS n_fields,
+       CASE l_linenumber % 4 WHEN 1 THEN {one} ELSE {two} END AS cells
+FROM lineitem WHERE {_LOST}"""
+
+
+def _q_recurrence_lists() -> str:
+    text = "'[' || string_agg(CAST({} AS VARCHAR), ', ' ORDER BY {}) || ']'"
+    return (
+        ap_views("supp")
+        + _doc_totals()
+        + _weeks_and_runs()
+        + f"""
+SELECT s.{V}, s.{AMT_DOC}, 0 AS part, 1 AS parts, s.times, s.month_count, r.run_count, r.max_consecutive_weeks,
+       s.month_lists, s.week_lists, r.week_times
+FROM (SELECT {V}, {AMT_DOC}, COUNT(*) AS times, COUNT(DISTINCT month) AS month_count,
+             {text.format("month", "position")} AS month_lists, {text.format("week", "position")} AS week_lists
+      FROM seq GROUP BY {V}, {AMT_DOC}) s
+JOIN (SELECT {V}, {AMT_DOC}, COUNT(*) AS run_count, MAX(run_length) AS max_consecutive_weeks,
+             {text.format("run_length", "run_index")} AS week_times
+      FROM runs GROUP BY {V}, {AMT_DOC}) r USING ({V}, {AMT_DOC})"""
+    )
+
+
+def _q_list_run_lengths() -> str:
+    def runs(c: str) -> str:
+        return f"""
+{c}_runs AS (
+  SELECT {V}, {AMT_DOC}, '[' || string_agg(CAST(n AS VARCHAR), ', ' ORDER BY run) || ']' AS {c}_runs FROM (
+    SELECT {V}, {AMT_DOC}, run, COUNT(*) AS n FROM (
+      SELECT {V}, {AMT_DOC}, SUM(starts) OVER (PARTITION BY {V}, {AMT_DOC} ORDER BY position) AS run FROM (
+        SELECT *, CASE WHEN LAG({c}) OVER (PARTITION BY {V}, {AMT_DOC} ORDER BY position) = {c} - 1 THEN 0 ELSE 1 END AS starts
+        FROM seq)) GROUP BY {V}, {AMT_DOC}, run) GROUP BY {V}, {AMT_DOC})"""
+
+    return (
+        ap_views("supp")
+        + _doc_totals()
+        + _weeks_and_runs()
+        + f""",{runs("month")},{runs("week")}
+SELECT {V}, {AMT_DOC}, 0 AS part, month_runs, week_runs FROM month_runs JOIN week_runs USING ({V}, {AMT_DOC})"""
+    )
+
+
+def _q_approximate_frequency() -> str:
+    return (
+        ap_views("part")
+        + f"""
+SELECT {V}, COUNT(DISTINCT {DOC}) AS Invoice_Frequency, true AS within_bound
+FROM eligible WHERE {V} IS NOT NULL GROUP BY {V}"""
+    )
+
+
+def _bsak_cells() -> str:
+    """The lines of the written extract, with what its damaged cells hold."""
+    return f"""WITH {_bsak('bsak', _VARIANTS['part']['vendor'], _VARIANTS['part']['ref'], _VARIANTS['part']['where'])},
+cells AS (
+  SELECT *, CAST({DOC} AS BIGINT) AS k,
+         CASE WHEN {LINE} % 3 = 0 THEN 'first, "quoted"' || chr(10) || 'second ' ELSE 'item ' END || CAST({LINE} AS VARCHAR) AS Item_Text
+  FROM bsak)"""
+
+
+def _q_csv_invoice_lines() -> str:
+    return (
+        _bsak_cells()
+        + f"""
+SELECT Company_Code, {V}, {DOC}, {LINE}, Document_Type, {REF}, Debit_Credit_Indicator, {AMT_DOC}, Document_Currency_Key, Item_Text,
+       CASE WHEN k % 101 <> 0 THEN {DDATE} END AS {DDATE},
+       CAST(CASE WHEN k % 103 = 0 THEN NULL WHEN k % 107 = 0 THEN {AMT_LOC} + 0.01 WHEN k % 3 = 2 THEN -{AMT_LOC}
+            ELSE {AMT_LOC} END AS DECIMAL(18,2)) AS {AMT_LOC}
+FROM cells"""
+    )
+
+
+def _q_csv_rejects() -> str:
+    return (
+        _bsak_cells()
+        + f"""
+SELECT 'bsak' AS file, 'cell' AS kind, '{DDATE}' AS "column", 'soon' AS "value" FROM cells WHERE k % 101 = 0
+UNION ALL SELECT 'bsak', 'cell', '{AMT_LOC}', 'n/a' FROM cells WHERE k % 103 = 0
+UNION ALL SELECT 'bsak', 'rounded', '{AMT_LOC}', CAST({AMT_LOC} AS VARCHAR) || '5' FROM cells WHERE k % 103 <> 0 AND k % 107 = 0"""
+    )
 
 
 def oracle_sql() -> dict[str, str]:
@@ -569,6 +662,12 @@ def oracle_sql() -> dict[str, str]:
         "recurring_sundry": _q_recurring_sundry(),
         "consecutive_run_lengths": _q_consecutive_run_lengths(),
         "recurrence_profile": _q_recurrence_profile(),
+        "recurrence_lists": _q_recurrence_lists(),
+        "list_run_lengths": _q_list_run_lengths(),
+        "approximate_frequency": _q_approximate_frequency(),
+        "csv_invoice_lines": _q_csv_invoice_lines(),
+        "csv_rejects": _q_csv_rejects(),
+        "rejected_ragged_po_lines": _q_rejected_ragged_po_lines(),
         "one_time_vendor_invoices": _q_one_time_vendor_invoices(),
         "single_document_vendor_invoices": _q_single_document_vendor_invoices(),
         "ar_listing": _q_ar_listing(),

@@ -9,9 +9,13 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from ledgerlens import schemas as S
+from ledgerlens.functions import arrays
 from ledgerlens.operators import enrich, payables, receivables
-from ledgerlens.sources import ragged
+from ledgerlens.session import materialize
+from ledgerlens.sources import erp, ragged
 from ledgerlens.sources import testviews as tv
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -94,6 +98,49 @@ def q_recurrence_profile(spark, d):
     return payables.recurrence_profile(_sundry(spark, d, "supp", False))
 
 
+def q_recurrence_lists(spark, d):
+    lists = payables.recurrence_lists(_sundry(spark, d, "supp", False))
+    texts = [arrays.list_text(c).alias(c) for c in ("month_lists", "week_lists", "week_times")]
+    return lists.select(*[c for c in lists.columns if not c.endswith(("_lists", "_times"))], *texts)
+
+
+def q_list_run_lengths(spark, d):
+    """Runs of consecutive months and weeks of each list (or part of one), counted on the arrays."""
+    lists = payables.recurrence_lists(_sundry(spark, d, "supp", False))
+    runs = {c: arrays.list_text(arrays.count_consec(f"{c}_lists")) for c in ("month", "week")}
+    return lists.select(S.VENDOR, S.AMT_DOC, "part", *[c.alias(f"{k}_runs") for k, c in runs.items()])
+
+
+def q_approximate_frequency(spark, d):
+    """The estimates from daily sketches held against O9: the estimate itself has no SQL form, its bound has."""
+    eligible = _eligible(spark, d, "part", False)
+    sketches = materialize(payables.document_sketches(eligible), "document-sketches")
+    both = payables.invoice_frequency(eligible).join(payables.approximate_frequency(sketches), S.VENDOR)
+    exact, found = F.col("Invoice_Frequency"), F.col("Approximate_Frequency")
+    near = F.abs(found - exact) <= F.greatest(F.lit(1.0), 0.08 * exact)
+    return both.select(S.VENDOR, exact, near.alias("within_bound"))
+
+
+def _bsak_csv(spark, d):
+    return erp.read_csv_text(spark, tv.write_bsak_extract(spark, d))
+
+
+def q_csv_invoice_lines(spark, d):
+    """Invoice lines written as an extract in CSV files, with cells in many forms, and read by the typed reader."""
+    fields, rename, _ = erp.EXTRACTS["bsak"]
+    return erp.typed(_bsak_csv(spark, d), fields, rename)
+
+
+def q_csv_rejects(spark, d):
+    """What the typed reader could not take over as it is from the same extract."""
+    return erp.rejects(_bsak_csv(spark, d), erp.EXTRACTS["bsak"][0], "bsak")
+
+
+def q_rejected_ragged_po_lines(spark, d):
+    lost = ragged.rejected_ragged_lines(ragged.po_lines_from_lineitem(spark, d))
+    return lost.select(F.size(ragged.FIELDS).alias("n_fields"), F.array_join(ragged.FIELDS, "|").alias("cells"))
+
+
 def q_one_time_vendor_invoices(spark, d):
     return payables.one_time_vendor_invoices(_eligible(spark, d, "cust", False))
 
@@ -135,6 +182,12 @@ QUERIES: dict[str, Query] = {
     "recurring_sundry": q_recurring_sundry,
     "recurrence_profile": q_recurrence_profile,
     "consecutive_run_lengths": q_consecutive_run_lengths,
+    "recurrence_lists": q_recurrence_lists,
+    "list_run_lengths": q_list_run_lengths,
+    "approximate_frequency": q_approximate_frequency,
+    "csv_invoice_lines": q_csv_invoice_lines,
+    "csv_rejects": q_csv_rejects,
+    "rejected_ragged_po_lines": q_rejected_ragged_po_lines,
     "one_time_vendor_invoices": q_one_time_vendor_invoices,
     "single_document_vendor_invoices": q_single_document_vendor_invoices,
     "ar_listing": q_ar_listing,

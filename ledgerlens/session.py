@@ -96,13 +96,18 @@ def materialize(df: DataFrame, label: str = "stage") -> DataFrame:
     since plans built on it may run any time before that.
     """
     spark = df.sparkSession
-    base = ensure_checkpoint_dir(spark).rstrip("/")
-    path = f"{base}/ledgerlens/{label}-{uuid.uuid4().hex}"
+    path = intermediate_path(spark, label)
     df.write.mode("error").parquet(path)
-    _written.setdefault(_app_id(spark), []).append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def intermediate_path(spark: SparkSession, label: str) -> str:
+    """A new folder name under the checkpoint folder, which ``release`` deletes."""
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/ledgerlens/{label}-{uuid.uuid4().hex}"
+    _written.setdefault(_app_id(spark), []).append(path)
+    return path
+
+
 def release(spark: SparkSession) -> int:
     """Delete the intermediates written so far by this application.
 

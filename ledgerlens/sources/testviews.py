@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ledgerlens import schemas as S
 from ledgerlens.functions.money import money
+from ledgerlens.session import intermediate_path
 
 AS_OF = "1998-07-01"
 
@@ -87,6 +88,38 @@ def bsak(spark: SparkSession, sf_dir: str, variant: str = "part") -> DataFrame:
     )
 
 
+def bsak_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``bsak`` as the text cells of an extract: dates and amounts in several forms, some of them unreadable or
+    with a decimal too many, and an item text whose cells hold commas, quotes and line breaks."""
+    rows = bsak(spark, sf_dir)
+    key, line = F.col(S.DOC).cast("long"), F.col(S.LINE)
+    date, amount = F.col(S.DOC_DATE), F.col(S.AMT_LOC)
+    forms = [F.date_format(date, p) for p in ("yyyy-MM-dd", "M/d/yyyy", "yyyyMMdd", "d.M.yyyy", "d-MMM-yyyy")]
+    dated = F.when(key % 101 == 0, "soon")
+    for k, form in enumerate(forms[1:], 1):
+        dated = dated.when(key % 5 == k, form)
+    money_text = (
+        F.when(key % 103 == 0, "n/a")
+        .when(key % 107 == 0, F.concat(amount.cast("string"), F.lit("5")))
+        .when(key % 3 == 1, F.format_number(amount, 2))
+        .when(key % 3 == 2, F.concat(amount.cast("string"), F.lit("-")))
+        .otherwise(amount.cast("string"))
+    )
+    text = F.when(line % 3 == 0, F.concat(F.lit('first, "quoted"\nsecond '), line.cast("string"))).otherwise(F.concat(F.lit("item "), line.cast("string")))
+    cells = {S.DOC_DATE: dated.otherwise(forms[0]), S.AMT_LOC: money_text, S.DOC_CUR: F.col(S.DOC_CUR)}
+    names = {S.DOC_CUR: S.CURRENCY}
+    return rows.select(
+        *[cells.get(c, F.col(c).cast("string")).alias(names.get(c, c)) for c in rows.columns], text.alias("Item_Text")
+    )
+
+
+def write_bsak_extract(spark: SparkSession, sf_dir: str) -> str:
+    """A folder of CSV files with ``bsak_extract`` in the shared folder for intermediates."""
+    path = intermediate_path(spark, "bsak-extract")
+    bsak_extract(spark, sf_dir).write.option("header", True).option("escape", '"').csv(path)
+    return path
+
+
 def lfa1(spark: SparkSession, sf_dir: str, variant: str = "part") -> DataFrame:
     """Vendor master matching ``bsak(variant)``."""
     if variant == "part":

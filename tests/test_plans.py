@@ -24,7 +24,7 @@ def test_every_query_and_oracle_registered():
 
     assert set(oracle_sql()) == set(QUERIES) <= set(E.queries())
     assert set(E.oracle_sql()) <= set(E.queries())
-    assert len(QUERIES) == 20
+    assert len(QUERIES) == 26
 
 
 def test_po_matching_is_an_equi_join(spark):
@@ -50,11 +50,17 @@ def test_balances_single_aggregation_shuffle(spark):
 
 
 def test_runs_have_no_python(spark):
-    for name in ("recurrence_profile", "consecutive_run_lengths", "repair_ragged_po_lines"):
+    names = "recurrence_profile consecutive_run_lengths recurrence_lists list_run_lengths repair_ragged_po_lines csv_rejects"
+    for name in names.split():
         plan = _plan(E.queries()[name](spark, SF_SMALL))
         assert not re.search("Python|Pandas|Arrow", plan), name
 
 
+def test_po_lines_are_split_once(spark):
+    plan = _plan(E.queries()["repair_ragged_po_lines"](spark, SF_SMALL))
+    assert plan.count("regexp_extract_all(") == 1 and len(plan) < 20_000
+
+
 def _scans(spark, monkeypatch, name, table):
     """Scans of a test table in all plans a query runs, those of its written intermediates included."""
     from ledgerlens import session
