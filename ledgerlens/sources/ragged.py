@@ -28,7 +28,6 @@ from ledgerlens import schemas as S
 from ledgerlens.sources.records import BLOCK, FILE, file_lines, has_open_lines, records, without_headers
 
 FIELDS = "fields"
-REJECTED = "_unrepairable"
 
 # Column names of the stand-in PO-line extract (29 fields).
 PO_LINE_COLUMNS = [S.PO_NUM, S.PO_ITEM] + [f"Field_{i:02d}" for i in range(2, S.EKPO_FIELD_COUNT)]
@@ -57,43 +56,53 @@ def split_csv_lines(lines: DataFrame, col: str = "value") -> DataFrame:
         .when(line.contains('"'), cells)
         .when(line.isNotNull(), F.split(line, ",", -1))
     )
-    return lines.select(_held(fields).alias(FIELDS))
+    return lines.select(fields.alias(FIELDS))
 
 
 def _drop_last_char(c: Column) -> Column:
     return c.substr(F.lit(1), F.length(c) - 1)
 
 
-def _repaired(f: Column, width: int) -> tuple[Column, Column]:
-    """(repaired field array, unrepairable flag) for a field array."""
-    n = F.size(f)
-    parts = F.split(F.try_element_at(f, F.lit(6)), ",")
-    n_parts = F.size(parts)
+# What the rules need of a line: its fields, how far its later fields are moved, and the parts of a merged field 5.
+_REPAIR = "_repair"
 
-    def part(i: int) -> Column:
-        return _drop_last_char(F.try_element_at(parts, F.lit(i + 1)))
-
-    head5 = F.slice(f, 1, 5)
-    tail = F.slice(f, F.lit(7), n - 6)
-    fixed = (
-        F.when(n > width, F.concat(F.slice(f, 1, 6), F.slice(f, n - (width - 7), F.lit(width - 6))))
-        .when(n == width - 1, F.concat(head5, F.array(part(0), part(1)), tail))
-        .when(n == width - 2, F.concat(head5, F.array(part(0), F.lit(""), part(2)), tail))
-        .otherwise(f)
+
+def _prepared(fields: DataFrame, width: int) -> tuple[DataFrame, Column]:
+    """``_repair`` of every line of field arrays, and whether no rule can repair the line."""
+    f = F.col(FIELDS)
+    n = F.size(f)
+    merged = n.isin(width - 1, width - 2)
+    rows = fields.select(
+        F.struct(
+            f.alias("f"),
+            F.coalesce(n, F.lit(0)).alias("n"),
+            F.when(n >= width - 2, n - width).otherwise(0).alias("moved"),
+            F.when(merged, F.split(F.try_element_at(f, F.lit(6)), ",")).alias("parts"),
+        ).alias(_REPAIR)
     )
-    bad = ((n == width - 1) & (n_parts < 2)) | ((n == width - 2) & (n_parts < 3))
-    return fixed, F.coalesce(bad, F.lit(False))
+    r = F.col(_REPAIR)
+    needed = F.when(r["n"] == width - 1, 2).when(r["n"] == width - 2, 3)
+    return rows, F.coalesce(F.size(r["parts"]) < needed, F.lit(False))
+
 
+def _cells(width: int) -> list[Column]:
+    """The repaired fields of ``_repair``, one column each; fields that a short line lacks are null."""
+    r = F.col(_REPAIR)
+    n, two, three = r["n"], F.col(_REPAIR)["n"] == width - 1, F.col(_REPAIR)["n"] == width - 2
 
-def _repair(fields: DataFrame, width: int) -> DataFrame:
-    fixed, bad = _repaired(F.col(FIELDS), width)
-    return fields.select(fixed.alias(FIELDS), bad.alias(REJECTED))
+    def part(i: int) -> Column:
+        text = F.get(r["parts"], F.lit(i))
+        return text.substr(F.lit(1), F.length(text) - 1)
 
+    def cell(i: int) -> Column:
+        plain = F.get(r["f"], F.lit(i) if i < 6 else r["moved"] + i)
+        if i == 5:
+            return F.when(two | three, part(0)).otherwise(plain)
+        if i == 6:
+            return F.when(two, part(1)).when(three, F.lit("")).otherwise(plain)
+        return F.when(three, part(2)).otherwise(plain) if i == 7 else plain
 
-def _held(column: Column) -> Column:
-    """The column as a row of its own array: what follows refers to the result, so the optimizer does not
-    put the expression into every place that uses it."""
-    return F.explode(F.array(column))
+    return [cell(i) for i in range(width)]
 
 
 def repair_ragged_lines(
@@ -104,22 +113,23 @@ def repair_ragged_lines(
 
     Empty cells stay ``''`` (so a blank PO key does not match the null keys of
     the other extracts, as in the original); ``blank_as_null=True`` turns them
-    into nulls instead.
+    into nulls instead.  A line is split once: lines that cannot be repaired are
+    left out by a generator, since the optimizer would put the whole split into
+    a filter once more for every place that uses it.
     """
     width = len(column_names)
-    fixed, bad = _repaired(F.col(FIELDS), width)
-    # One row, or none for a line that cannot be repaired.
-    rep = split_csv_lines(lines, col).select(F.explode(F.when(~bad, F.array(fixed))).alias(FIELDS))
-    cells = [F.try_element_at(F.col(FIELDS), F.lit(i + 1)) for i in range(width)]
+    rows, bad = _prepared(split_csv_lines(lines, col), width)
+    rows = rows.select(F.explode(F.when(~bad, F.array(_REPAIR))).alias(_REPAIR))
+    cells = _cells(width)
     if blank_as_null:
         cells = [F.when(c != "", c) for c in cells]
-    return rep.select([c.alias(name) for c, name in zip(cells, column_names)])
+    return rows.select([c.alias(name) for c, name in zip(cells, column_names)])
 
 
 def rejected_ragged_lines(lines: DataFrame, width: int = S.EKPO_FIELD_COUNT, col: str = "value") -> DataFrame:
     """The lines the rules cannot repair, with their parsed fields."""
-    _, bad = _repaired(F.col(FIELDS), width)
-    return split_csv_lines(lines, col).where(bad)
+    rows, bad = _prepared(split_csv_lines(lines, col), width)
+    return rows.select(F.explode(F.when(bad, F.array(_REPAIR))).alias(_REPAIR)).select(F.col(_REPAIR)["f"].alias(FIELDS))
 
 
 def read_lines(
@@ -152,11 +162,11 @@ def header_names(
     A header that is missing or cannot be repaired raises ``ValueError``.
     """
     first = read_lines(spark, path, encoding=encoding, header=False, whole_file=whole_file).limit(1)
-    row = _repair(split_csv_lines(first), width).first()
-    if row is None or row[REJECTED] or not row[FIELDS]:
+    rows, bad = _prepared(split_csv_lines(first), width)
+    row = rows.select(bad.alias("bad"), F.col(_REPAIR)["f"].alias(FIELDS), F.array(*_cells(width)).alias("names")).first()
+    if row is None or row["bad"] or not row[FIELDS]:
         raise ValueError(f"no usable header line in {path}: {row and row[FIELDS]}")
-    names = list(row[FIELDS])
-    return (names + [f"_c{i}" for i in range(len(names), width)])[:width]
+    return [f"_c{i}" if name is None else name for i, name in enumerate(row["names"])]
 
 
 def read_ragged_csv(
@@ -179,7 +189,7 @@ def read_ragged_csv(
 
 
 def _po_line_fields(li: DataFrame) -> list[Column]:
-    """The 29 fields of a stand-in PO line, as strings, from a line item."""
+    """The first ten fields of a stand-in PO line, as strings, from a line item."""
     k = F.col("l_orderkey")
     ln = F.col("l_linenumber")
     fields = [
@@ -194,7 +204,6 @@ def _po_line_fields(li: DataFrame) -> list[Column]:
         F.col("l_discount").cast("decimal(4,2)").cast("string"),
         F.col("l_tax").cast("decimal(4,2)").cast("string"),
     ]
-    fields += [F.concat(F.lit("v"), ((k * i + ln) % 97).cast("string")) for i in range(10, S.EKPO_FIELD_COUNT)]
     return fields
 
 
@@ -207,28 +216,26 @@ def po_lines_from_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
     can repair.
     """
     li = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
-    names = [f"f{i}" for i in range(S.EKPO_FIELD_COUNT)]
-    # Fields first, as columns: the damaged variants then reference columns
-    # instead of repeating 29 field expressions in every branch.
+    k, line = F.col("l_orderkey"), F.col("l_linenumber")
+    numbers = F.sequence(F.lit(10), F.lit(S.EKPO_FIELD_COUNT - 1))
+    tail = F.transform(numbers, lambda i: F.concat(F.lit("v"), ((k * i + line) % 97).cast("string")))
     fl = li.select(
-        *[c.alias(n) for c, n in zip(_po_line_fields(li), names)],
-        (F.col("l_linenumber") % 4).alias("_kind"),
-        (F.col("l_orderkey") % 4 + 1).cast("int").alias("_extra"),
-        (F.col("l_orderkey") % 64 == 5).alias("_lost"),
+        *[c.alias(f"f{i}") for i, c in enumerate(_po_line_fields(li))],
+        F.array_join(tail, ",").alias("tail"),
+        (line % 4).alias("_kind"),
+        (k % 4 + 1).cast("int").alias("_extra"),
+        (k % 64 == 5).alias("_lost"),
     )
-    f = [F.col(n) for n in names]
-    kind = F.col("_kind")
-    q = F.lit('"')
-    merged2 = F.concat(q, f[5], F.lit('"",'), f[6], F.lit('"""'))
-    merged3 = F.concat(q, f[5], F.lit('"",x,'), f[7], F.lit('"""'))
+    f = [F.col(f"f{i}") for i in range(10)]
+    kind, q, lost = F.col("_kind"), F.lit('"'), F.col("_lost")
     extra = F.array_join(F.array_repeat(F.lit("x"), F.col("_extra")), ",")
-    head = F.concat_ws(",", *f[:5])
-    cells = (
-        F.when((kind == 1) & F.col("_lost"), F.concat_ws(",", f[5], *f[7:]))
-        .when((kind == 2) & F.col("_lost"), F.concat_ws(",", F.concat(q, f[5], F.lit(',x"')), *f[8:]))
-        .when(kind == 1, F.concat_ws(",", merged2, *f[7:]))
-        .when(kind == 2, F.concat_ws(",", merged3, *f[8:]))
-        .when(kind == 3, F.concat_ws(",", f[5], extra, *f[6:]))
-        .otherwise(F.concat_ws(",", *f[5:]))
+    # Fields 5 to 7 as each kind of damage leaves them.
+    middle = (
+        F.when((kind == 1) & lost, F.concat_ws(",", f[5], f[7]))
+        .when((kind == 2) & lost, F.concat(q, f[5], F.lit(',x"')))
+        .when(kind == 1, F.concat(q, f[5], F.lit('"",'), f[6], F.lit('""",'), f[7]))
+        .when(kind == 2, F.concat(q, f[5], F.lit('"",x,'), f[7], F.lit('"""')))
+        .when(kind == 3, F.concat_ws(",", f[5], extra, f[6], f[7]))
+        .otherwise(F.concat_ws(",", f[5], f[6], f[7]))
     )
-    return fl.select(F.concat_ws(",", head, cells).alias("value"))
+    return fl.select(F.concat_ws(",", *f[:5], middle, f[8], f[9], "tail").alias("value"))
