@@ -42,7 +42,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlens.functions.joins import nullsafe_join
@@ -461,12 +461,38 @@ def _take_out(with_text: bool):
     return work
 
 
+#: Bits of a text's hash put behind a doc_id, where ids are small enough to leave room for them.
+NAME_BITS = 24
+
+
+def row_names(docs: DataFrame):
+    """Functions (id, text) -> name and name -> id.  A name is a long in the order of the ids that also tells rows
+    of one id with different texts apart: with the mark, 48 bits of hashes do for ids below 2^38, and 86 for null ids,
+    which come before all others.  Ids above 2^38 leave fewer bits, from 2^62 on none (the mark's 24 remain)."""
+    ids = F.col("doc_id").cast("long")
+    ends = pick(docs, "doc_id").agg(F.min(ids), F.max(ids)).first()
+    free = max(0, min(NAME_BITS, 62 - max(abs(x or 0) for x in ends).bit_length()))
+    null_bits = 62 if free else 0
+    lowest = F.lit(-(1 << 63)).cast("long")
+
+    def name(doc_id: Column, text: Column) -> Column:
+        # Seeded differently from the mark, which is the lowest bits of the hash of the text alone.
+        other = F.xxhash64(text, F.lit("name"))
+        low = lambda bits: other.bitwiseAND(F.lit((1 << bits) - 1).cast("long"))
+        return F.when(doc_id.isNull(), lowest + low(null_bits)).otherwise(F.shiftleft(doc_id, free).bitwiseOR(low(free)))
+
+    def doc_id(name: Column) -> Column:
+        return F.when(name >= F.lit(-(1 << 62)).cast("long") if free else name != lowest, F.shiftright(name, free))
+
+    return name, doc_id
+
+
 def remove_repeats(docs: DataFrame, depth: int = DEPTH, with_text: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256, and ``kept`` (the remaining bytes) if asked for."""
     text = F.coalesce(F.col("text").cast("binary"), F.lit("").cast("binary"))
-    lowest = F.lit(-(1 << 63)).cast("long")  # stands for a null id
+    name, doc_id = row_names(docs)
     rows = pick(docs, "doc_id", "text").select(
-        F.coalesce(F.col("doc_id").cast("long"), lowest).alias("doc_id"),
+        name(F.col("doc_id").cast("long"), text).alias("doc_id"),
         F.xxhash64(text).bitwiseAND(0xFFFFFF).cast("int").alias("mark"),
         text.alias("text"),
     )
@@ -475,4 +501,4 @@ def remove_repeats(docs: DataFrame, depth: int = DEPTH, with_text: bool = False)
         "doc_id", "text", F.col("spans.begin").alias("begin"), F.col("spans.end").alias("end")
     )
     out = joined.mapInArrow(_take_out(with_text), _RESULT + (", kept binary" if with_text else ""))
-    return out.withColumn("doc_id", F.when(F.col("doc_id") != lowest, F.col("doc_id")))
+    return out.withColumn("doc_id", doc_id(F.col("doc_id")))

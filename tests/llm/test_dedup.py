@@ -214,3 +214,30 @@ def test_components_of_chains_stars_and_rings(spark):
     expected = {i: 0 for i in range(41)} | {100 + k: 100 for k in range(30)} | {200: 200, 201: 200, 202: 200}
     assert got == expected
     assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_rows_of_one_id_with_equal_marks_keep_their_own_bytes(spark):
+    """Texts whose 24-bit marks agree, under one id and under none, of which one only holds a repeat."""
+    draw = random.Random(11)
+    passage = "".join(draw.choice(string.ascii_lowercase) for _ in range(130))
+    mark = lambda t: xxhash.xxh64_intdigest(t.encode(), 42) & 0xFFFFFF
+    plain, found, k = {}, [], 0
+    for k in range(14_000):
+        text = f"{k} " + "".join(draw.choice(string.ascii_lowercase) for _ in range(160))
+        plain[mark(text)] = text
+    while len(found) < 8:
+        k += 1
+        text = f"{passage} {k} tail"
+        if mark(text) in plain:
+            found.append((text, plain[mark(text)]))
+    rows = [(-5, passage)]
+    for i, (a, b) in enumerate(found):
+        rows += [(None if i % 2 else 7, t) for t in (a, b)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r["doc_id"], bytes(r["kept"]).decode()): r["n_removed"] for r in remove_repeats(docs, 100, with_text=True).collect()}
+    assert len(got) == len(rows)
+    for i, (_, b) in enumerate(found):
+        assert got[None if i % 2 else 7, b] == 0
+    # The null ids come first, so of all nine rows with the passage one of theirs keeps it.
+    removed = sorted(n for n in got.values() if n)
+    assert len(removed) == 8 and removed[0] >= 130 and got[-5, ""] == 130
