@@ -36,7 +36,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerlens.llm.byte_bpe import runs
@@ -371,7 +371,12 @@ def sample_texts(docs: DataFrame) -> list[str]:
     counts = {r["hit"]: r["n"] for r in rows.groupBy("hit").agg(F.count(F.lit(1)).alias("n")).collect()}
     draw = F.shiftrightunsigned(F.xxhash64(F.coalesce("doc_id", F.lit(0)), "text", F.lit("secrets")), 11) / F.lit(float(1 << 53))
     shares = [min(1.0, SAMPLE_DOCS / 2 / max(1, counts.get(hit, 0))) for hit in (False, True)]
-    drawn = rows.where(draw < F.when(F.col("hit"), shares[1]).otherwise(shares[0])).select(F.col("text").cast("binary"), draw.alias("draw"))
+    rows = rows.select("hit", F.col("text").cast("binary").alias("text"), draw.alias("draw"))
+
+    def bounded(rows: DataFrame) -> DataFrame:
+        # Rows that repeat id and text are drawn together, so a bound holds as well: each task keeps no more than this.
+        place = F.row_number().over(Window.partitionBy("hit").orderBy("draw", "text"))
+        return rows.withColumn("place", place).where(F.col("place") <= SAMPLE_DOCS).select("text", "draw")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in parts(batches):
@@ -379,7 +384,10 @@ def sample_texts(docs: DataFrame) -> list[str]:
             texts = [t.encode("utf-8", "replace") for t in texts]
             yield pa.RecordBatch.from_arrays([pa.array(texts, pa.binary()), batch.column(1)], names=["text", "draw"])
 
-    found = drawn.mapInArrow(work, "text binary, draw double").collect()
+    sampled = lambda rows: bounded(rows).mapInArrow(work, "text binary, draw double").collect()
+    found = sampled(rows.where(F.col("draw") < F.when(F.col("hit"), shares[1]).otherwise(shares[0])))
+    if len(found) < min(SAMPLE_DOCS, sum(counts.values())) // 8:  # few different rows: take the first ones
+        found = sampled(rows)
     return [bytes(r["text"]).decode() for r in sorted(found, key=lambda r: (r["draw"], bytes(r["text"])))]
 
 
