@@ -25,7 +25,7 @@ from ledgerlens.session import materialize
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a letter, and null ones, go."""
+    """Documents without a letter, and null ones, go; those without a ``lang`` get the predicted one."""
     return with_known_language(docs)
 
 

@@ -38,7 +38,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerlens.llm.byte_bpe import LETTER, code_point_classes, runs
@@ -80,21 +81,30 @@ def labelled_sample(docs: DataFrame) -> dict[str, list[str]]:
     sizes = labelled.groupBy("lang").agg(
         F.count_if(short).alias("n"), F.coalesce(F.sum(F.when(short, length)), F.lit(0)).alias("chars"), F.count_if(~short).alias("n_long")
     )
-    shares = {}
+    shares, most = {}, {}
     for r in sizes.collect():
         few = r["chars"] < SAMPLE_CHARS  # all of them, then, and long ones as well
         wanted = max(SAMPLE_DOCS, 2 * SAMPLE_CHARS * r["n"] / max(1, r["chars"]))
         shares[r["lang"], False] = min(1.0, wanted / max(1, r["n"]))
         shares[r["lang"], True] = min(1.0, SAMPLE_LONG_DOCS / max(1, r["n_long"])) if few else 0.0
+        most[r["lang"], False], most[r["lang"], True] = int(2 * wanted), 2 * SAMPLE_LONG_DOCS
     if not shares:
         return {}
-    share = [F.create_map(*[F.lit(v) for (lang, k), x in shares.items() if k == long for v in (lang, x)])[F.col("lang")] for long in (False, True)]
-    draw = F.shiftrightunsigned(F.xxhash64(F.col("doc_id"), F.lit("sample")), 11) / F.lit(float(1 << 53))
-    drawn = (
-        labelled.where(draw < F.when(short, share[0]).otherwise(share[1]))
-        .select("lang", F.when(short, F.col("text")).otherwise(_pieces(F.col("text"))).alias("text"), draw.alias("draw"), (~short).alias("long"))
-        .collect()  # per language about SAMPLE_DOCS texts, or twice SAMPLE_CHARS, and SAMPLE_LONG_DOCS times SAMPLE_CHARS
-    )
+    by_lang = lambda of, long: F.create_map(*[F.lit(v) for (lang, k), x in of.items() if k == long for v in (lang, x)])[F.col("lang")]
+    draw = F.shiftrightunsigned(F.xxhash64(F.col("doc_id"), F.col("text"), F.lit("sample")), 11) / F.lit(float(1 << 53))
+    rows = labelled.select("lang", "text", draw.alias("draw"), (~short).alias("long"))
+
+    def drawn_from(rows: DataFrame) -> list:
+        # Rows that repeat id and text are drawn together, so a bound holds as well: each task keeps no more than this.
+        place = F.row_number().over(Window.partitionBy("lang", "long").orderBy("draw", "text"))
+        some = rows.withColumn("place", place).where(F.col("place") <= F.when(F.col("long"), by_lang(most, True)).otherwise(by_lang(most, False)))
+        return some.select("lang", F.when(F.col("long"), _pieces(F.col("text"))).otherwise(F.col("text")).alias("text"), "draw", "long").collect()
+
+    # Per language at most twice SAMPLE_DOCS texts, or four times SAMPLE_CHARS, and twice SAMPLE_LONG_DOCS times SAMPLE_CHARS.
+    drawn = drawn_from(rows.where(F.col("draw") < F.when(F.col("long"), by_lang(shares, True)).otherwise(by_lang(shares, False))))
+    missed = sorted({lang for lang, _ in shares} - {r["lang"] for r in drawn})
+    if missed:  # few different rows, and none of them drawn: take the first ones
+        drawn += drawn_from(rows.where(F.col("lang").isin(missed)))
     out: dict[str, list[str]] = {}
     for r in sorted(drawn, key=lambda r: (r["lang"], r["long"], r["draw"], r["text"])):
         texts = out.setdefault(r["lang"], [])
@@ -262,15 +272,21 @@ def identify_language(docs: DataFrame, sample: dict[str, list[str]] | None = Non
 
 
 def with_known_language(docs: DataFrame, sample: dict[str, list[str]] | None = None) -> DataFrame:
-    """The rows of ``docs``, all columns as they are, whose text has a letter, whether or not a language was learnt."""
+    """The rows of ``docs`` whose text has a letter, whether or not a language was learnt; a null ``lang``
+    becomes the predicted one, where there is such a column.  All other columns stay as they are."""
     shared, key = _share(docs, sample)
-    at = docs.columns.index("text")
+    at, lang = docs.columns.index("text"), docs.columns.index("lang") if "lang" in docs.columns else None
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parser = _worker_parser(shared, key)
         for batch in parts(batches, 2000):
-            lettered = [found[2] for found in _predict(parser, batch.column(at))]
-            yield batch.filter(pa.array(lettered, pa.bool_()))
+            found = _predict(parser, batch.column(at))
+            columns = list(batch.columns)
+            if lang is not None:
+                said = pa.array([None if f[0] == "und" else f[0] for f in found], pa.string())
+                columns[lang] = pc.coalesce(columns[lang].cast(pa.string()), said)
+            named = pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
+            yield named.filter(pa.array([f[2] for f in found], pa.bool_()))
 
     by_place = docs.toDF(*[f"_in{i}" for i in range(len(docs.columns))])
     return by_place.mapInArrow(work, by_place.schema).toDF(*docs.columns)

@@ -176,3 +176,10 @@ def test_pipeline_decides_by_row(spark):
         docs = stage(spark, docs, SF)
     left = sorted((i or 0, t.strip().lower()) for i, t in texts_of(docs))
     assert left == [(0, pad("case")), (0, pad("clean")), (0, pad("group")), (1, pad("copy")), (2, near), (3, pad("mine"))]
+
+
+def test_pipeline_on_an_empty_table(spark, nothing):
+    docs = nothing
+    for _, stage in corpus_pipeline.STAGES:
+        docs = stage(spark, docs, SF)
+    assert docs.count() == 0

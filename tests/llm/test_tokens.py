@@ -308,3 +308,29 @@ def test_license_rules_in_order():
     find = lambda text: [n for n, _, _ in recogniser.licenses(recogniser.sentences(text))[0]]
     assert find("licence a. licence b. licence a.\nlicence c.") == ["AB", "A", "C"]
     assert recogniser.licenses(recogniser.sentences("licence b. other. licence c"))[1] == ["b"]
+
+
+def test_rows_that_share_an_id_lose_no_language(spark):
+    """One id for all rows of a language, equal texts or not: some are drawn, and never more than the bound."""
+    words = {"en": "the river walks and sings along", "de": "der fluss läuft und singt entlang", "fr": "une chanson près du fleuve gris"}
+    rows = [(i, f"{words['en']} {i}", "en") for i in range(300)]
+    rows += [(1451, f"{words['de']} {i}", "de") for i in range(4000)] + [(1451, words["fr"] * 3, "fr")] * 4000
+    for shift in (0, 25):
+        docs = spark.createDataFrame([(i + shift, *r) for i, *r in rows], "doc_id long, text string, lang string")
+        sample = labelled_sample(docs)
+        assert set(sample) == set(words) or shift
+        assert all(sum(map(len, texts)) < 90_000 for texts in sample.values())
+
+
+def test_a_missing_language_is_filled_in(spark):
+    rows = [(i, "the river walks and sings along the old road", "en") for i in range(40)]
+    docs = spark.createDataFrame([*rows, (50, "the river walks along the road", None), (51, "12", None)], "doc_id long, text string, lang string")
+    kept = {r["doc_id"]: r["lang"] for r in with_known_language(docs).collect()}
+    assert kept[50] == "en" and 51 not in kept and len(kept) == 41
+
+
+def test_secret_sample_of_equal_rows_is_bounded(spark):
+    from ledgerlens.llm.secrets import SAMPLE_DOCS, sample_texts
+
+    docs = spark.createDataFrame([(None, "password = hunter22")] * 9000 + [(1, "clean text")], "doc_id long, text string")
+    assert 0 < len(sample_texts(docs)) <= 2 * SAMPLE_DOCS
