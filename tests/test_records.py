@@ -36,7 +36,7 @@ def _expected(text):
     return sorted(map(tuple, csv.reader(io.StringIO(text.replace("\r\n", "\n").removesuffix("\n")))))
 
 
-@pytest.mark.parametrize("seed", range(6))
+@pytest.mark.parametrize("seed", range(4))
 def test_records_of_random_files_equal_csv_module(small_blocks, tmp_dir, seed):
     """Any characters: quotes inside plain cells, text behind closing quotes, cells that never close."""
     draw = random.Random(seed)
