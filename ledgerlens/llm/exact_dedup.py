@@ -144,10 +144,11 @@ def build_index(history: DataFrame, n_buckets: int) -> DataFrame:
 
 def look_up(docs: DataFrame, index: DataFrame, n_buckets: int) -> DataFrame:
     """doc_id, digest, member, and for members the winner and group size of the history."""
-    placed = docs.select("doc_id", "digest", _bucket(n_buckets))
+    # Dealt by place in the written table, since ids may be null or repeat.
+    placed = docs.select("doc_id", "digest", _bucket(n_buckets), F.monotonically_increasing_id().alias("_place"))
     # One row per bucket: how many chunks of bounded size its lookups make.
     chunks = placed.groupBy("bucket").agg(F.ceil(F.count(F.lit(1)) / BUCKET_ROWS).cast("int").alias("_chunks"))
-    chunk = F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(0))), F.col("_chunks")).cast("int")
+    chunk = F.pmod(F.xxhash64("_place"), F.col("_chunks")).cast("int")
     dealt = placed.join(chunks, "bucket").select("doc_id", "digest", "bucket", chunk.alias("chunk"))
     copies = index.join(chunks, "bucket").select(
         *index.columns, F.explode(F.sequence(F.lit(0), F.col("_chunks") - 1)).alias("chunk")

@@ -10,9 +10,10 @@ import numpy as np
 import pytest
 import xxhash
 
+from ledgerlens.llm import exact_dedup as exact_dedup_module
 from ledgerlens.llm import induced
 from ledgerlens.llm.components import connected_components
-from ledgerlens.llm.exact_dedup import build_perfect_hash, exact_dedup, slots
+from ledgerlens.llm.exact_dedup import build_index, build_perfect_hash, digests, exact_dedup, look_up, slots
 from ledgerlens.llm.induced import Scratch, suffixes
 from ledgerlens.llm.simhash import GrayIndex, fingerprint, simhash_groups
 from ledgerlens.llm.suffix_dedup import Cutter, remove_repeats
@@ -49,6 +50,19 @@ def test_exact_dedup(table, request):
     assert Counter(got) == Counter(expected)
 
 
+def test_hot_digests_without_ids_are_dealt_out(spark, monkeypatch):
+    monkeypatch.setattr(exact_dedup_module, "BUCKET_ROWS", 50)
+    rows = [(None, "same")] * 400 + [(3, "Same")] * 400 + [(None, f"t{k}") for k in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = Counter((r["doc_id"], r["keep_id"], r["group_size"], r["kept"]) for r in exact_dedup(docs).collect())
+    assert got == {(None, 3, 800, False): 400, (3, 3, 800, True): 400, (None, None, 1, True): 200}
+    new = digests(docs)
+    seen = []
+    monkeypatch.setattr(exact_dedup_module, "_look_up", lambda docs, index: docs[["doc_id", "digest"]].assign(member=True, winner=len(docs), group_size=0))
+    found = look_up(new, build_index(new, 4), 4)
+    assert found.agg({"winner": "max"}).collect()[0][0] < 300  # of 800 lookups of one digest, in 17 chunks
+
+
 def test_history_removes_repeats_and_groups_the_rest(spark):
     old = spark.createDataFrame([(1, "a"), (2, "A"), (3, "b")], "doc_id long, text string")
     new = spark.createDataFrame([(10, "a"), (11, "c"), (12, "C"), (13, "d"), (14, None)], "doc_id long, text string")
