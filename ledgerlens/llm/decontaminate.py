@@ -9,9 +9,11 @@ the window, and by comparing all words at the places that are left.  Places
 where the rare terms stand near each other, but not at their offsets, give
 proximity matches.
 
-Scale: three scans of the texts (term counts, postings, comparison) and one
-shuffle of them by document, for the comparison.  Words are counted with
-map-side combination.  The benchmark's terms are joined from a written table,
+Scale: four scans of the texts (term counts, postings, comparison, word
+counts).  Only texts with candidates are compared: a table of at most
+``MARKS`` marks of their rows is broadcast and sorts out the others before
+anything is shuffled.  Rows are told apart by a 128-bit hash of id and text, so
+rows of one id or none share no list.  Words are counted with map-side combination.  The benchmark's terms are joined from a written table,
 so Spark broadcasts them while that table is small (its size is known) and
 shuffles otherwise.  A window of only frequent words has long posting lists;
 those joins are inner joins, whose hot terms adaptive execution splits.
@@ -36,6 +38,8 @@ from ledgerlens.session import materialize
 WINDOW_WORDS = 10
 #: Rarest terms of a window whose posting lists are intersected.
 LISTS = 2
+#: Different marks of rows with candidates; a table of so many small numbers is broadcast.
+MARKS = 1 << 18
 _NOT_WORD = "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
 
 
@@ -58,9 +62,17 @@ def item_windows(benchmark: DataFrame, size: int) -> DataFrame:
     )
 
 
+def _keyed(docs: DataFrame) -> DataFrame:
+    """doc_id, text and ``row``, which tells rows of different id or text apart."""
+    docs, more = pick(docs, "doc_id", "text"), F.lit("row")
+    return docs.select(
+        "doc_id", "text", F.struct(F.xxhash64("doc_id", "text").alias("a"), F.xxhash64(more, "doc_id", "text").alias("b")).alias("row")
+    )
+
+
 def _terms_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """doc_id, position and term of every occurrence of the wanted terms (a distinct column ``term``)."""
-    every = docs.select("doc_id", F.posexplode(words(F.col("text"))).alias("position", "term"))
+    """row, position and term of every occurrence of the wanted terms (a distinct column ``term``)."""
+    every = docs.select("row", F.posexplode(words(F.col("text"))).alias("position", "term"))
     return every.join(wanted, "term", "left_semi")
 
 
@@ -80,7 +92,7 @@ def rarest_terms(docs: DataFrame, windows: DataFrame, lists: int) -> DataFrame:
 
 
 def candidate_starts(docs: DataFrame, windows: DataFrame, lists: int = LISTS, slack: int = 0) -> DataFrame:
-    """doc_id, phrase, start (0-based word) and exact: places where the window's rarest terms meet.
+    """row, phrase, start (0-based word) and exact: places where the window's rarest terms meet.
 
     ``exact`` places have the rare terms at their offsets.  With ``slack``
     there are also the places of the rarest term with the next one at most so
@@ -90,7 +102,7 @@ def candidate_starts(docs: DataFrame, windows: DataFrame, lists: int = LISTS, sl
     wanted = materialize(rare.select("term").distinct(), "index-terms")
     postings = materialize(_terms_of(docs, wanted), "postings")
     found = postings.join(rare, "term").select(
-        "list", "doc_id", "phrase", (F.col("position") - F.col("offset")).alias("start")
+        "list", "row", "phrase", (F.col("position") - F.col("offset")).alias("start")
     )
     found = found.where(F.col("start") >= -slack)
     lengths = rare.groupBy("phrase").agg(F.max("list").alias("last"))  # one-word windows have one list
@@ -100,11 +112,11 @@ def candidate_starts(docs: DataFrame, windows: DataFrame, lists: int = LISTS, sl
     if slack:
         block = F.floor(F.col("start") / (slack + 1))
         near = found.where("list = 1").select(
-            F.col("doc_id").alias("_doc"), F.col("phrase").alias("_phrase"), F.col("start").alias("_start"),
+            F.col("row").alias("_row"), F.col("phrase").alias("_phrase"), F.col("start").alias("_start"),
             F.explode(F.array(block - 1, block, block + 1)).alias("_block"),
         )
         meets = (
-            F.col("doc_id").eqNullSafe(F.col("_doc"))
+            (F.col("row") == F.col("_row"))
             & (F.col("phrase") == F.col("_phrase"))
             & (block == F.col("_block"))
             & (F.abs(F.col("start") - F.col("_start")) <= slack)
@@ -112,10 +124,10 @@ def candidate_starts(docs: DataFrame, windows: DataFrame, lists: int = LISTS, sl
         starts.append(out.join(near, meets, "left_semi").withColumn("exact", F.lit(False)))
     for k in range(1, lists):
         other = found.where(F.col("list") == k).select(
-            F.col("doc_id").alias("_doc"), F.col("phrase").alias("_phrase"), F.col("start").alias("_start")
+            F.col("row").alias("_row"), F.col("phrase").alias("_phrase"), F.col("start").alias("_start")
         )
         meets = (
-            F.col("doc_id").eqNullSafe(F.col("_doc"))
+            (F.col("row") == F.col("_row"))
             & (F.col("phrase") == F.col("_phrase"))
             & (F.col("start") == F.col("_start"))
         )
@@ -124,25 +136,29 @@ def candidate_starts(docs: DataFrame, windows: DataFrame, lists: int = LISTS, sl
         out = both if k == 1 else both.unionByName(out.join(short, F.col("phrase") == F.col("_phrase"), "left_semi"))
     starts.append(out.unionByName(alone).withColumn("exact", F.lit(True)))
     both = starts[0] if len(starts) == 1 else starts[0].unionByName(starts[1])
-    return both.groupBy("doc_id", "phrase", "start").agg(F.max("exact").alias("exact"))
+    return both.groupBy("row", "phrase", "start").agg(F.max("exact").alias("exact"))
 
 
 def _with_matches(docs: DataFrame, candidates: DataFrame, windows: DataFrame) -> DataFrame:
-    """doc_id, words and the matches of every document: the windows that stand at their candidate starts."""
-    lists = (
+    """doc_id, row, words and the checked candidates of the documents that have any: whether the window stands there."""
+    lists = materialize(
         candidates.join(windows.select("phrase", "items", F.size("words").alias("length")), "phrase")
-        .groupBy(F.col("doc_id").alias("_doc"))
-        .agg(F.collect_list(F.struct("phrase", "start", "length", "items", "exact")).alias("candidates"))
+        .groupBy(F.col("row").alias("_row"))
+        .agg(F.collect_list(F.struct("phrase", "start", "length", "items", "exact")).alias("candidates")),
+        "candidate-lists",
     )
+    mark = lambda row: F.pmod(F.col(row)["a"], F.lit(MARKS)).cast("int")
+    marks = lists.select(mark("_row").alias("_mark")).distinct()
     stands = lambda c: F.array_join(F.slice("words", c["start"] + 1, c["length"]), " ") == c["phrase"]
     checked = F.transform(
-        F.coalesce("candidates", F.array().cast(lists.schema["candidates"].dataType)),
+        "candidates",
         lambda c: c.withField("phrase_match", (c["start"] >= 0) & c["exact"] & F.when(c["start"] >= 0, stands(c)).otherwise(False)),
     )
     return (
-        docs.join(lists, F.col("doc_id").eqNullSafe(F.col("_doc")), "left")
-        .select("doc_id", words(F.col("text")).alias("words"), "candidates")
-        .select("doc_id", "words", checked.alias("checked"))
+        docs.join(F.broadcast(marks), mark("row") == F.col("_mark"), "left_semi")
+        .join(lists, F.col("row") == F.col("_row"))
+        .select("doc_id", "row", words(F.col("text")).alias("words"), "candidates")
+        .select("doc_id", "row", "words", checked.alias("checked"))
     )
 
 
@@ -153,7 +169,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW_WORDS, s
     ``near`` matches have the window's two rarest terms at most so many words
     off their distance in the window, and no phrase match at that place.
     """
-    docs = pick(docs, "doc_id", "text")
+    docs = _keyed(docs)
     windows = materialize(item_windows(benchmark, window), "windows")
     candidates = candidate_starts(docs, windows, slack=slack)
     every = _with_matches(docs, candidates, windows).select("doc_id", F.explode("checked").alias("m"))
@@ -164,7 +180,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW_WORDS, s
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW_WORDS) -> DataFrame:
     """One row per document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated."""
-    docs = pick(docs, "doc_id", "text")
+    docs = _keyed(docs)
     windows = materialize(item_windows(benchmark, window), "windows")
     found = _with_matches(docs, candidate_starts(docs, windows), windows)
     hits = F.filter("checked", lambda m: m["phrase_match"])
@@ -172,9 +188,17 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW_WO
         F.flatten(F.transform("hits", lambda m: F.sequence(m["start"], m["start"] + m["length"] - 1)))
     )
     items = F.sort_array(F.array_distinct(F.flatten(F.transform("hits", lambda m: m["items"]))))
+    hit = (
+        found.select(F.col("row").alias("_row"), hits.alias("hits"))
+        .where(F.size("hits") > 0)
+        .select("_row", F.size(places).cast("long").alias("n_hit"), items.alias("items"))
+        .dropDuplicates(["_row"])  # rows that repeat id and text have the same hits
+    )
+    listed = F.coalesce("items", F.array().cast("array<string>"))
     return (
-        found.select("doc_id", F.size("words").cast("long").alias("n_words"), hits.alias("hits"))
-        .select("doc_id", "n_words", F.size(places).cast("long").alias("n_hit"), items.alias("items"))
+        docs.select("doc_id", "row", F.size(words(F.col("text"))).cast("long").alias("n_words"))
+        .join(hit, F.col("row") == F.col("_row"), "left")
+        .select("doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), listed.alias("items"))
         .select(
             "doc_id",
             "n_words",

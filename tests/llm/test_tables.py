@@ -55,6 +55,18 @@ def test_contamination(table, request, spark):
     assert got == Counter(plain_contamination(texts_of(docs), ITEMS))
 
 
+def test_rows_of_one_id_share_no_candidates(spark):
+    items = [(1, PASSAGE), (2, "so on we go")]
+    rows = [(i, f"{PASSAGE} number {k % 40}") for k in range(300) for i in (None, 7)]
+    rows += [(i, f"clean text {k} so on") for k in range(300) for i in (None, 7)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = Counter(tuple(r) for r in contamination(docs, spark.createDataFrame(items, "item_id long, text string")).collect())
+    assert got == Counter(plain_contamination(rows, items))
+    assert sum(n for r, n in got.items() if r[5]) == 600
+    found = matches(docs, spark.createDataFrame(items, "item_id long, text string"))
+    assert Counter(r["doc_id"] for r in found.collect()) == {None: 300 * 12, 7: 300 * 12}
+
+
 def test_empty_benchmark(spark, awkward):
     items = spark.createDataFrame([], "item_id long, text string")
     assert {r["contaminated"] for r in contamination(awkward, items).collect()} == {False}
