@@ -26,6 +26,7 @@ gives an empty result; other columns are not looked at.
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -40,6 +41,7 @@ from ledgerlens.llm.tables import IntTable
 
 CACHED_WORDS = 250_000
 CACHED_PAIRS = 1_000_000
+CACHED_CHARS = 16_000_000  # of the words held together
 MARK = "▁"  # stands for a space
 _UNKNOWN = -1
 _NEVER = float("-inf")
@@ -72,6 +74,8 @@ class PrefixCounter:
         self.pairs = IntTable()
         self.profiles: dict[int, tuple] = {}
         self.words: dict = {}
+        self.held_chars = 0
+        self.answers: dict[int, bool] = {}
         self._make_trie()
         self.split = re.compile(f"{MARK}*[^{MARK}\n]+|{MARK}+|\n").findall
 
@@ -134,9 +138,10 @@ class PrefixCounter:
             else:
                 j += 1
 
-    def counts(self, word: str) -> list[int]:
-        """The number of tokens of each prefix, from the empty one on."""
-        ids, counts, last = self.ids, [0], [_UNKNOWN]
+    def counts(self, word: str) -> array:
+        """The number of tokens of each prefix, from the empty one on; linear in the word."""
+        ids, width, answers = self.ids, len(self.pieces), self.answers
+        counts, last = array("i", [0]), array("i", [_UNKNOWN])
         for end in range(1, len(word) + 1):
             if word[end - 1] not in ids:
                 counts.append(counts[-1] + len(word[end - 1].encode()))
@@ -144,7 +149,15 @@ class PrefixCounter:
                 continue
             for begin in range(max(0, end - self.longest), end):
                 piece = ids.get(word[begin:end])
-                if piece is not None and self._fits(np.array([last[begin]]), np.array([piece]))[0]:
+                if piece is None:
+                    continue
+                pair = (last[begin] + 1) * width + piece
+                fits = answers.get(pair)
+                if fits is None:
+                    if len(answers) >= CACHED_PAIRS:
+                        answers.clear()
+                    fits = answers[pair] = self.stays(last[begin], piece)
+                if fits:
                     counts.append(counts[begin] + 1)
                     last.append(piece)
                     break
@@ -194,15 +207,17 @@ class PrefixCounter:
         """Hold, for these words, the count and the step of the count at each character (one signed
         byte each); forget others if they would be too many."""
         new = words - self.words.keys()
-        if len(self.words) + len(new) > CACHED_WORDS:
+        chars = sum(map(len, new))
+        if len(self.words) + len(new) > CACHED_WORDS or self.held_chars + chars > CACHED_CHARS:
             self.words.clear()
-            new = words
+            new, self.held_chars, chars = words, 0, sum(map(len, words))
+        self.held_chars += chars
         by_length: dict[int, list[str]] = {}
         for w in new:
             by_length.setdefault(len(w), []).append(w)
         for length, same in by_length.items():
             if length > 64:
-                counts = np.array([self.counts(w) for w in same], np.int32)
+                counts = np.stack([np.frombuffer(self.counts(w), np.int32) for w in same])
             else:
                 counts = self.counts_together(same)
             totals = counts[:, -1].tolist()

@@ -1,8 +1,10 @@
 """BPE, token counts, language, secrets and licences against libraries and plain versions."""
 
 import hashlib
+import itertools
 import random
 import re
+import time
 from collections import Counter
 
 import numpy as np
@@ -13,7 +15,7 @@ from ledgerlens.llm.byte_bpe import ByteBpe, encode_decode
 from ledgerlens.llm.language_id import CrossParser, identify_language, labelled_sample, suffix_automaton, with_known_language
 from ledgerlens.llm.licenses import SENTENCES, Recogniser, scan_licenses
 from ledgerlens.llm.queries import tokenizer
-from ledgerlens.llm.secrets import BEGIN, INSIDE, LinearChain, pattern_spans, scan_secrets, secret_spans, train
+from ledgerlens.llm.secrets import BEGIN, INSIDE, OUTSIDE, LinearChain, Tokens, pattern_spans, scan_secrets, secret_spans, train
 from ledgerlens.llm.tables import IntTable
 from ledgerlens.llm.token_counts import PrefixCounter, count_of_prefix, longest_prefix, read_pieces
 
@@ -334,3 +336,72 @@ def test_secret_sample_of_equal_rows_is_bounded(spark):
 
     docs = spark.createDataFrame([(None, "password = hunter22")] * 9000 + [(1, "clean text")], "doc_id long, text string")
     assert 0 < len(sample_texts(docs)) <= 2 * SAMPLE_DOCS
+
+
+def test_unbroken_text_is_counted_in_linear_time(pieces):
+    counter, rnd = PrefixCounter(read_pieces(MODEL)), np.random.default_rng(8)
+    text = "".join(rnd.choice(list("ABCDEFabcdefghij0123456789+/é漢"), 60_000))
+    begin = time.process_time()
+    got = counter.texts([text, text[:30_000], "x" * 70])
+    assert time.process_time() - begin < 5  # 0.3 s where nothing else runs
+    assert [n for n, _ in got] == [len(pieces.encode(t)) for t in (text, text[:30_000], "x" * 70)]
+
+
+def test_word_cache_is_bounded_by_characters(pieces, monkeypatch):
+    monkeypatch.setattr(token_counts, "CACHED_CHARS", 2000)
+    counter, texts = PrefixCounter(read_pieces(MODEL)), [*fuzz(200, seed=5), "y" * 3000, "after"]
+    got = [n for k in range(0, len(texts), 5) for n, _ in counter.texts(texts[k : k + 5])]
+    assert got == [len(pieces.encode(t)) for t in texts]
+    assert sum(map(len, counter.words)) == counter.held_chars
+
+
+def _all_scores(model, features):
+    """Every labelling of a few tokens with its score, by enumeration."""
+    found = {}
+    for labels in itertools.product(range(3), repeat=len(features)):
+        steps = list(zip(labels, labels[1:]))
+        if labels and labels[0] != INSIDE and (OUTSIDE, INSIDE) not in steps:
+            found[labels] = sum(model.weights[f, y].sum() for f, y in zip(features, labels)) + sum(model.steps[s] for s in steps)
+    return found
+
+
+def test_viterbi_equals_enumeration():
+    rnd, model = np.random.default_rng(4), LinearChain()
+    model.weights, model.steps, model.trained = rnd.normal(size=model.weights.shape), rnd.normal(size=(3, 3)), True
+    counts = np.array([5, 0, 1, 7, 3, 5, 2])
+    features = rnd.integers(0, Tokens.WIDTH, (counts.sum(), len(Tokens.SIZES)))
+    got = np.split(model.decode(features, counts), np.cumsum(counts)[:-1])
+    for labels, rows in zip(got, np.split(features, np.cumsum(counts)[:-1])):
+        best = _all_scores(model, rows)
+        assert not len(rows) or tuple(labels.tolist()) == max(best, key=best.get)
+
+
+def test_training_follows_the_likelihood_by_enumeration(monkeypatch):
+    """The first step of training moves every weight along the gradient of the enumerated likelihood."""
+    rnd = np.random.default_rng(6)
+    features = Tokens.STARTS + np.stack([rnd.integers(0, n, (6, 4)) for n in Tokens.SIZES], axis=-1)
+    labels = np.array([(0, 0, 1, 2), (1, 2, 2, 0), (0, 1, 1, 0), (0, 0, 0, 0), (1, 0, 1, 2), (0, 0, 0, 1)])
+    shown = [f for f in range(len(Tokens.SIZES)) if f not in Tokens.OF_NAMES]
+    rows = [features[i] if i % 2 == 0 else features[i][:, shown] for i in range(len(features))]  # odd windows hide names
+    model = LinearChain()
+
+    def likelihood():
+        out = 0.0
+        for row, y in zip(rows, labels):
+            scores = _all_scores(model, row)
+            out += scores[tuple(y.tolist())] - np.log(sum(np.exp(s) for s in scores.values()))
+        return out
+
+    slopes = {}
+    for name in ("weights", "steps"):
+        table = getattr(model, name)
+        for at in np.ndindex(table.shape):
+            table[at] = 1e-4
+            up = likelihood()
+            table[at] = -1e-4
+            slopes[name, at], table[at] = (up - likelihood()) / 2e-4, 0.0
+    monkeypatch.setattr(secrets, "EPOCHS", 1)
+    model.train(features, labels)
+    for (name, at), slope in slopes.items():
+        if abs(slope) > 1e-3 and not (name == "steps" and at == (OUTSIDE, INSIDE)):
+            assert np.sign(getattr(model, name)[at]) == np.sign(slope), (name, at, slope)
