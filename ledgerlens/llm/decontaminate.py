@@ -140,7 +140,7 @@ def candidate_starts(docs: DataFrame, windows: DataFrame, lists: int = LISTS, sl
 
 
 def _with_matches(docs: DataFrame, candidates: DataFrame, windows: DataFrame) -> DataFrame:
-    """doc_id, row, words and the checked candidates of the documents that have any: whether the window stands there."""
+    """doc_id, row and the checked candidates of the documents that have any: whether the window stands there."""
     lists = materialize(
         candidates.join(windows.select("phrase", "items", F.size("words").alias("length")), "phrase")
         .groupBy(F.col("row").alias("_row"))
@@ -149,16 +149,17 @@ def _with_matches(docs: DataFrame, candidates: DataFrame, windows: DataFrame) ->
     )
     mark = lambda row: F.pmod(F.col(row)["a"], F.lit(MARKS)).cast("int")
     marks = lists.select(mark("_row").alias("_mark")).distinct()
-    stands = lambda c: F.array_join(F.slice("words", c["start"] + 1, c["length"]), " ") == c["phrase"]
+    stands = lambda w, c: F.array_join(F.slice(w, c["start"] + 1, c["length"]), " ") == c["phrase"]
+    match = lambda w, c: (c["start"] >= 0) & c["exact"] & F.when(c["start"] >= 0, stands(w, c)).otherwise(False)
+    # The list of one list of words binds the words, so that a text is split once and not for each candidate.
     checked = F.transform(
-        "candidates",
-        lambda c: c.withField("phrase_match", (c["start"] >= 0) & c["exact"] & F.when(c["start"] >= 0, stands(c)).otherwise(False)),
+        F.array(words(F.col("text"))),
+        lambda w: F.transform("candidates", lambda c: c.withField("phrase_match", match(w, c))),
     )
     return (
         docs.join(F.broadcast(marks), mark("row") == F.col("_mark"), "left_semi")
         .join(lists, F.col("row") == F.col("_row"))
-        .select("doc_id", "row", words(F.col("text")).alias("words"), "candidates")
-        .select("doc_id", "row", "words", checked.alias("checked"))
+        .select("doc_id", "row", checked[0].alias("checked"))
     )
 
 
