@@ -124,7 +124,7 @@ def test_kd_shards_by_target_and_with_a_hot_group(spark, nothing):
 
 
 def test_registered_queries():
-    assert {n.split("_")[0] for n in LLM_QUERIES} == {f"op{k}" for k in range(1, 11)}
+    assert {n.split("_")[0] for n in LLM_QUERIES} == {f"op{k}" for k in range(1, 14)}
     assert set(LLM_QUERIES) | {"pipeline"} <= set(entry.queries())
     assert [n for n, _ in corpus_pipeline.STAGES][-1] == "byte-level BPE" and len(corpus_pipeline.STAGES) == 5
 
