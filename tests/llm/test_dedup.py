@@ -15,7 +15,8 @@ from ledgerlens.llm import induced
 from ledgerlens.llm.components import connected_components
 from ledgerlens.llm.exact_dedup import build_index, build_perfect_hash, digests, exact_dedup, look_up, slots
 from ledgerlens.llm.induced import Scratch, suffixes
-from ledgerlens.llm.simhash import GrayIndex, fingerprint, simhash_groups
+from ledgerlens.llm import simhash
+from ledgerlens.llm.simhash import GrayIndex, bit_orders, fingerprint, links_within, simhash_groups
 from ledgerlens.llm.suffix_dedup import Cutter, remove_repeats
 
 from .conftest import texts_of
@@ -221,6 +222,47 @@ def test_gray_index_finds_all_near_codes():
     assert got == {(int(b), int(c)) for b in base for c in codes if (int(b) ^ int(c)).bit_count() <= 4}
 
 
+def test_near_codes_agree_on_top_of_some_order():
+    rnd = np.random.default_rng(3)
+    for distance, rows in [(0, 10), (1, 10), (4, 10), (4, 1 << 40), (7, 1 << 30), (30, 10)]:
+        orders = bit_orders(distance, rows)
+        codes = rnd.integers(0, 1 << 64, 200, dtype=np.uint64)
+        flips = [sum(1 << int(x) for x in rnd.choice(64, distance, replace=False)) for _ in codes]
+        near = codes ^ np.array(flips, np.uint64)
+        found = np.zeros(len(codes), bool)
+        for order in orders:
+            assert (order.restored(order.moved(codes)) == codes).all()
+            found |= (order.moved(codes) ^ order.moved(near)) & np.uint64(order.top_bits) == 0
+        assert found.all()
+    assert len(bit_orders(4, 1 << 20)) == 5 and len(bit_orders(4, 1 << 33)) == 15
+
+
+@pytest.mark.parametrize("distance, block_rows, widest", [(4, 1 << 18, 1 << 20), (4, 40, 200), (1, 100, 500), (0, 100, 500), (18, 300, 1000)])
+def test_links_within_over_many_blocks(spark, monkeypatch, distance, block_rows, widest):
+    """Clusters, and a hot group that shares most segments, over blocks that one key fills many times."""
+    monkeypatch.setattr(simhash, "BLOCK_ROWS", block_rows)
+    monkeypatch.setattr(simhash, "WIDEST", widest)
+    rnd = np.random.default_rng(7)
+    base = rnd.integers(0, 1 << 64, 60, dtype=np.uint64)
+    near = [b ^ np.uint64(sum(1 << int(x) for x in rnd.choice(64, k, replace=False))) for b in base for k in (1, 3, 4, 5, 6)]
+    hot = base[0] ^ (rnd.integers(0, 1 << 14, 500, dtype=np.uint64) << np.uint64(rnd.integers(0, 50)))
+    codes = np.unique(np.concatenate([base, near, hot, np.array([0, 1, 1 << 63], np.uint64)]))
+    distinct = spark.createDataFrame([(int(c),) for c in codes.view(np.int64)], "fingerprint long")
+    got = [(r["a"] % (1 << 64), r["b"] % (1 << 64)) for r in links_within(distinct, distance).collect()]
+    place = {int(c): i for i, c in enumerate(codes)}
+    parent = list(range(len(codes)))
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in got:
+        a, b = root(place[a]), root(place[b])
+        parent[max(a, b)] = min(a, b)
+    assert [root(i) for i in range(len(codes))] == plain_components([int(c) for c in codes], distance)
+
+
 def test_components_of_chains_stars_and_rings(spark):
     links = [(i, i + 1) for i in range(40)] + [(100, 100 + k) for k in range(1, 30)] + [(200, 201), (201, 202), (202, 200), (300, 300)]
     random.Random(2).shuffle(links)
