@@ -126,7 +126,9 @@ def lfa1(spark: SparkSession, sf_dir: str, variant: str = "part") -> DataFrame:
         years = F.explode(F.sequence(F.lit(FIRST_YEAR), F.lit(LAST_YEAR)))
         parts = table(spark, sf_dir, "part").select("p_partkey", "p_name", years.alias("_year"))
         key = F.concat_ws("-", _str("p_partkey"), _str("_year"))
-        return parts.select(key.alias(S.VENDOR), F.col("p_name").alias(S.VENDOR_NAME))
+        # Spark's size estimate leaves out what explode adds, so without the hint the master, of as many rows as there
+        # are parts times years, would be broadcast as long as the parts alone are small.
+        return parts.select(key.alias(S.VENDOR), F.col("p_name").alias(S.VENDOR_NAME)).hint("merge")
     if variant == "supp":
         return table(spark, sf_dir, "supplier").select(_str("s_suppkey").alias(S.VENDOR), F.col("s_name").alias(S.VENDOR_NAME))
     months = table(spark, sf_dir, "orders").select("o_custkey", _customer_month().alias(S.VENDOR)).distinct()

@@ -102,3 +102,20 @@ def test_no_date_predicate_and_whole_views(spark, monkeypatch):
     assert "ZP" in types
     labels = {r["type"] for r in E.queries()["invoice_payment_mix"](spark, SF_SMALL).select("type").distinct().collect()}
     assert len(labels) == 4
+
+
+def test_vendor_master_of_a_row_per_part_and_year_is_not_broadcast(spark, tmp_dir):
+    """Spark estimates the exploded master by the parts alone; the joins by vendor merge, whatever the parts' size."""
+    from ledgerlens import schemas as S
+    from ledgerlens.sources import testviews as tv
+
+    rows = [(i, f"part {i}") for i in range(50)] + [(None, "no key"), (7, None)]
+    spark.createDataFrame(rows, "p_partkey long, p_name string").write.parquet(f"{tmp_dir}/part.parquet")
+    master = tv.lfa1(spark, tmp_dir)
+    years = range(tv.FIRST_YEAR, tv.LAST_YEAR + 1)
+    wanted = [("-".join(str(x) for x in (k, y) if x is not None), name) for k, name in rows for y in years]
+    assert sorted(map(str, map(tuple, master.collect()))) == sorted(map(str, wanted))
+    for name in ("invoice_file", "eligible_invoices", "sundry_invoices"):
+        plan = E.queries()[name](spark, SF_SMALL)._jdf.queryExecution().sparkPlan().toString()
+        joins = [line for line in plan.splitlines() if "Join" in line and f"__rk0_{S.VENDOR}" in line]
+        assert joins and all("SortMergeJoin" in j for j in joins), (name, joins)
