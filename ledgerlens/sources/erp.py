@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ledgerlens import schemas as S
-from ledgerlens.sources.records import FILE, VALUE, file_lines, has_open_lines, records, without_headers
+from ledgerlens.sources.records import VALUE, file_lines, first_record, has_open_lines, records, without_headers
 
 # Date patterns tried in order for text dates.
 DATE_PATTERNS = (
@@ -93,13 +93,13 @@ def read_csv_text(spark: SparkSession, path: str, encoding: str = "UTF-8", multi
         fields = [T.StructField(c, T.StringType()) for c in [*reader.csv(path).columns, CORRUPT]]
         return reader.option("enforceSchema", True).schema(T.StructType(fields)).csv(path)
     found = records(file_lines(spark, path, encoding))
-    top = found.where("_first").orderBy(FILE).select(VALUE).first()
+    top = first_record(found)
     if top is None:
         raise ValueError(f"no header line in {path}")
     names = next(csv.reader([top[VALUE]]))
     names = [n or f"_c{i}" for i, n in enumerate(names)]
     ddl = ", ".join(f"`{n.replace('`', '``')}` string" for n in [*names, CORRUPT])
-    rows = without_headers(found).where(F.trim(VALUE) != "")
+    rows = without_headers(found, top).where(F.trim(VALUE) != "")
     return rows.select(F.from_csv(F.col(VALUE), ddl, options).alias("r")).select("r.*")
 
 

@@ -6,9 +6,10 @@ begins a record depends on everything before it.  But a line can only do four
 things to the state "inside a quoted cell": leave it, flip it, set it or clear
 it.  Such functions compose associatively, so the state before every line is a
 prefix scan: first inside each block, for both states the block may begin in,
-then over one row per block and file.  Records that span lines, also over block
-ends, are put together by the position of their first line; all others are
-not shuffled again.
+then over one row per block and file.  A block is scanned by the task that reads
+it.  Records are put together there; only those that go over the end of a block
+(or of the rows a scan gets at once) are shuffled, by the position of their
+first line.
 
 Lines follow the rules of Python's ``csv`` module: a quote opens a cell only at
 its beginning, doubled quotes stay inside, text may follow a closing quote, an
@@ -18,7 +19,12 @@ whatever the file has; one at the very end of a file is not part of an open cell
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ledgerlens.session import materialize
@@ -74,21 +80,77 @@ def _state(first: Column) -> Column:
     return (F.coalesce(F.col("_base"), first) + F.col("_flips")) % 2 == 1
 
 
+def _scanned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For lines in their order: what ``records`` needs to know of each, if none (if a cell) was open where its block begins.
+
+    Where both come to the same, and a record begins and ends among the lines
+    at hand, its lines are put together at once and count as one closed line.
+    """
+    at_block = None
+    for batch in batches:
+        files, blocks = batch.column(1), batch.column(2).to_numpy()
+        new = (blocks[1:] != blocks[:-1]) | pc.not_equal(files.slice(1), files.slice(0, max(0, len(files) - 1))).to_numpy(False)
+        cuts = [0, *(np.flatnonzero(new) + 1).tolist(), batch.num_rows]
+        for begin, end in zip(cuts, cuts[1:]):
+            if begin == end:
+                continue
+            if at_block != (at_block := (files[begin].as_py(), blocks[begin])):
+                is_open, record = [False, True], [-1, -1]
+            part = batch.slice(begin, end - begin)
+            at, (z, o) = part.column(3).to_numpy(), (part.column(k).to_numpy(False) for k in (4, 5))
+            place = np.arange(len(at))
+            flips = np.cumsum(z & ~o)
+            last_set = np.maximum.accumulate(np.where(z == o, place, -1))
+            before, begun = [], []
+            for s in (0, 1):
+                after = np.where(last_set >= 0, z[last_set] ^ ((flips - flips[last_set]) % 2 == 1), is_open[s] ^ (flips % 2 == 1))
+                before.append(np.append(is_open[s], after[:-1]))
+                first = np.maximum.accumulate(np.where(before[s], -1, place))
+                begun.append(np.where(first >= 0, at[first], record[s]))
+                is_open[s], record[s] = bool(after[-1]), int(begun[s][-1])
+                ended = after if s == 0 else ended | after
+            # Whole records from the first line that begins one in either case to the last that ends one after it.
+            starts, ends = np.flatnonzero(~(before[0] | before[1])), np.flatnonzero(~ended) + 1
+            ends = ends[ends > starts[0]] if len(starts) else ends[:0]
+            top, rest = (int(starts[0]), int(ends[-1])) if len(ends) else (len(at), len(at))
+            firsts = np.append(top, ends[:-1])[: len(ends)]
+            value = part.column(0).cast(pa.string())
+            lists = pa.ListArray.from_arrays(pa.array(np.append(firsts, rest), pa.int32()), value)
+            kept = np.concatenate([place[:top], firsts, place[rest:]]).astype(np.int64)
+            joined = np.repeat([False, True, False], [top, len(firsts), len(at) - rest])
+            facts = [z[kept] & ~joined, o[kept] & ~joined, *(before[s][kept] for s in (0, 1))]
+            records_of = [pa.array(begun[s][kept], mask=begun[s][kept] < 0) for s in (0, 1)]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.concat_arrays([value.slice(0, top), pc.binary_join(lists, "\n"), value.slice(rest)]),
+                    part.column(1).take(pa.array(kept)).cast(pa.string()),
+                    pa.array(blocks[begin:end][kept]),
+                    pa.array(at[kept]),
+                    *map(pa.array, facts),
+                    *records_of,
+                ],
+                names=[c.split()[0] for c in _SCANNED.split(", ")],
+            )
+
+
+_SCANNED = (
+    f"{VALUE} string, {FILE} string, {BLOCK} long, {AT} long, _z boolean, _o boolean, "
+    "_open0 boolean, _open1 boolean, _rec0 long, _rec1 long"
+)
+
+
 def records(lines: DataFrame) -> DataFrame:
     """value, ``_file`` and ``_first`` (the file's first record) of the CSV records in ``file_lines``.
 
-    The lines are written once with what they do to the state, dealt by block;
-    a block is as large as Spark reads files.
+    The lines are scanned where they are read and written once with what they
+    do to the state, or as whole records; only lines of records that go over
+    the end of a block, or of the rows scanned at once, are shuffled.
     """
     z, o = open_after(F.col(VALUE))
-    rows = _scan(lines.withColumn("_z", z).withColumn("_o", o), "_z", "_o", [FILE, BLOCK], AT)
-    upto = Window.partitionBy(FILE, BLOCK).orderBy(AT).rowsBetween(Window.unboundedPreceding, 0)
-    for s in (0, 1):
-        rows = rows.withColumn(f"_open{s}", _state(F.lit(s)))
-        # The line that began the record of this one, if it is in this block.
-        rows = rows.withColumn(f"_rec{s}", F.last(F.when(~F.col(f"_open{s}"), F.col(AT)), ignorenulls=True).over(upto))
-    kept = [VALUE, FILE, BLOCK, AT, "_z", "_o", "_open0", "_open1", "_rec0", "_rec1"]
-    rows = materialize(rows.select(*kept), "csv-lines")
+    # Many small files or blocks go to as many tasks, and written files, as a shuffle would; a task reads them in order.
+    tasks = int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = lines.select(VALUE, FILE, BLOCK, AT, z.alias("_z"), o.alias("_o")).coalesce(tasks)
+    rows = materialize(rows.mapInArrow(_scanned, _SCANNED), "csv-lines")
     after = lambda c: F.when(F.col(c), F.col("_o")).otherwise(F.col("_z"))
     blocks = rows.groupBy(FILE, BLOCK).agg(
         F.max_by(after("_open0"), AT).alias("_end0"), F.max_by(after("_open1"), AT).alias("_end1"),
@@ -100,7 +162,8 @@ def records(lines: DataFrame) -> DataFrame:
     blocks = blocks.withColumn("_last", last).select(
         FILE, BLOCK, "_inside", "_top", F.last("_last", ignorenulls=True).over(before).alias("_carried")
     )
-    rows = rows.join(blocks, [FILE, BLOCK])
+    # One row per block: no more than the list of tasks that read the files.  Joined otherwise, all lines are shuffled.
+    rows = rows.join(F.broadcast(materialize(blocks, "csv-blocks")), [FILE, BLOCK])
     is_open = F.when(F.col("_inside"), F.col("_open1")).otherwise(F.col("_open0"))
     begun = F.when(F.col("_inside"), F.col("_rec1")).otherwise(F.col("_rec0"))
     rows = rows.select(
@@ -116,9 +179,14 @@ def records(lines: DataFrame) -> DataFrame:
     return whole.unionByName(joined)
 
 
-def without_headers(found: DataFrame) -> DataFrame:
-    """The ``value`` of records without the files' first ones that equal that of the first file."""
-    top = found.where("_first").orderBy(FILE).select(VALUE).first()
+def first_record(found: DataFrame) -> Row | None:
+    """The ``value`` of the first record of the first file that is not empty."""
+    return found.where("_first").orderBy(FILE).select(VALUE).first()
+
+
+def without_headers(found: DataFrame, top: Row | None = None) -> DataFrame:
+    """The ``value`` of records without the files' first ones that equal that of the first file (``top``, if known)."""
+    top = top or first_record(found)
     if top is not None:
         found = found.where(~F.col("_first") | (F.col(VALUE) != top[VALUE]))
     return found.select(VALUE)

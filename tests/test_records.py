@@ -93,3 +93,23 @@ def test_records_are_dealt_by_block_and_joined_by_key(small_blocks, tmp_dir):
     assert file_lines(small_blocks, path).rdd.getNumPartitions() > 20
     got = records(file_lines(small_blocks, path))
     assert got.count() == 400 and got.where("value not like '%a\nb%'").count() == 0
+
+
+def test_only_records_over_the_end_of_a_block_are_shuffled(spark, tmp_dir):
+    """Lines are put together where they are read: one written row a record, but for those cut by the rows of a batch."""
+    from ledgerlens import session
+
+    path = os.path.join(tmp_dir, "r.csv")
+    text = "".join(f'{i},"a ""b""\n\nc",{i}\n{i},plain,"x"\n' for i in range(400)) + '9,"open\n'
+    _write(path, text)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    for rows in ("10000", "7"):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+        try:
+            found = records(file_lines(spark, path))
+            written = next(p for p in reversed(session._written[spark.sparkContext.applicationId]) if "/csv-lines-" in p)
+            # Besides the records two more lines of the first one, which may as well go on from a block before.
+            assert spark.read.parquet(written).count() == 803 or rows == "7"
+            assert _fields(found) == _expected(text) and found.where("_first").count() == 1
+        finally:
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
