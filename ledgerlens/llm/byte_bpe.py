@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlens.llm.common import parts, pick, worker_cache
+from ledgerlens.llm.common import parts, pick, worker_table
 from ledgerlens.llm.tables import IntTable
 
 #: Code points that are worked through at once, and slices that are cached.
@@ -319,10 +319,7 @@ def _read(column: pa.Array) -> list[str]:
 
 
 def _worker_bpe(rank_file) -> ByteBpe:
-    cache, key = worker_cache(), hashlib.sha256(rank_file.value).digest()
-    if cache.get("byte_bpe_key") != key:
-        cache["byte_bpe_key"], cache["byte_bpe"] = key, ByteBpe(rank_file.value)
-    return cache["byte_bpe"]
+    return worker_table(("byte_bpe", hashlib.sha256(rank_file.value).digest()), lambda: ByteBpe(rank_file.value))
 
 
 def encode_decode(docs: DataFrame, rank_path: str, keep_ids: bool = False) -> DataFrame:

@@ -5,12 +5,15 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import string
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from typing import TypeVar
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+Table = TypeVar("Table")
+
 
 def pick(df: DataFrame, *names: str) -> DataFrame:
     """The named columns only, by exact name and the first one where a name repeats.
@@ -60,20 +63,48 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def release_memory() -> None:
+    """Freed memory goes back to the system, since an idle worker otherwise keeps the most that it ever used."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only where the C library can
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def parts(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
-    """The batches in slices, so that few texts are unpacked at once.  At the end freed memory goes back to
-    the system, since an idle worker otherwise keeps the most that it ever used."""
+    """The batches in slices, so that few texts are unpacked at once.  Memory is released at the end, and at the
+    beginning what the task before still held at its end."""
+    release_memory()
     for batch in batches:
         for begin in range(0, batch.num_rows, rows):
             yield batch.slice(begin, rows)
-    pa.default_memory_pool().release_unused()
-    with contextlib.suppress(OSError, AttributeError):  # only where the C library can
-        ctypes.CDLL(None).malloc_trim(0)
+    batch = None
+    release_memory()
 
 
-def worker_cache() -> dict:
-    """A dictionary that lives as long as the Python worker, for tables built from a broadcast."""
+def _worker_tables() -> dict:
+    """A dictionary that lives as long as the Python worker."""
     import sys
     import types
 
-    return sys.modules.setdefault("_corpus_worker_cache", types.ModuleType("_corpus_worker_cache")).__dict__
+    return vars(sys.modules.setdefault("_corpus_worker_tables", types.ModuleType("_corpus_worker_tables"))).setdefault("held", {})
+
+
+def drop_worker_tables() -> None:
+    """What an earlier operator left in this Python worker goes."""
+    held = _worker_tables()
+    if held:
+        held.clear()
+        release_memory()
+
+
+def worker_table(key: object, build: Callable[[], Table]) -> Table:
+    """The table of this key, built once in a Python worker (from a broadcast).
+
+    A worker holds one table: it goes from stage to stage, and would otherwise
+    keep those of all operators that ever ran in it.
+    """
+    held = _worker_tables()
+    if key not in held:
+        drop_worker_tables()
+        held[key] = build()
+    return held[key]

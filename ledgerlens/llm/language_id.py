@@ -43,7 +43,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerlens.llm.byte_bpe import LETTER, code_point_classes, runs
-from ledgerlens.llm.common import parts, pick, worker_cache
+from ledgerlens.llm.common import parts, pick, worker_table
 from ledgerlens.llm.tables import IntTable
 
 #: Labelled letters per language, the longest document taken whole for them, and how many documents are drawn.
@@ -230,10 +230,7 @@ class CrossParser:
 
 
 def _worker_parser(shared, key: str) -> CrossParser:
-    cache = worker_cache()
-    if cache.get("parser_key") != key:
-        cache["parser_key"], cache["parser"] = key, CrossParser(shared.value)
-    return cache["parser"]
+    return worker_table(("parser", key), lambda: CrossParser(shared.value))
 
 
 def _share(docs: DataFrame, sample: dict[str, list[str]] | None):

@@ -47,7 +47,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlens.functions.joins import nullsafe_join
-from ledgerlens.llm.common import parts, pick, row_key
+from ledgerlens.llm.common import drop_worker_tables, parts, pick, row_key
 from ledgerlens.llm.components import connected_components
 from ledgerlens.session import materialize
 
@@ -92,6 +92,7 @@ def fingerprints(docs: DataFrame, words: int = SHINGLE_WORDS, keyed: bool = Fals
     """doc_id and the fingerprint as a (signed) long; if ``keyed``, the row key as well."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drop_worker_tables()
         for batch in parts(batches):
             found = b"".join(fingerprint(t or b"", words) for t in batch.column(1).to_pylist())
             column = pa.array(np.frombuffer(found, ">i8").astype(np.int64))

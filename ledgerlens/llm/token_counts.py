@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlens.llm.byte_bpe import runs
-from ledgerlens.llm.common import parts, pick, worker_cache
+from ledgerlens.llm.common import parts, pick, worker_table
 from ledgerlens.llm.tables import IntTable
 
 CACHED_WORDS = 250_000
@@ -250,13 +250,11 @@ def token_counts(docs: DataFrame, model_path: str, limit: int = 4096, with_steps
     schema = "doc_id long, n_bytes long, n_tokens long, over_limit boolean" + (", steps binary" if with_steps else "")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache, key = worker_cache(), ("pieces", model_path, with_steps)
-        if key not in cache:
-            cache[key] = PrefixCounter(pieces.value, with_steps)
+        counter = worker_table(("pieces", model_path, with_steps), lambda: PrefixCounter(pieces.value, with_steps))
         for batch in parts(batches):
             raw = batch.column(1).to_pylist()
             texts = [(b or b"").decode("utf-8", "replace") for b in raw]
-            found = [x for begin, end in runs(texts) for x in cache[key].texts(texts[begin:end])]
+            found = [x for begin, end in runs(texts) for x in counter.texts(texts[begin:end])]
             counts = pa.array([n for n, _ in found], pa.int64())
             columns = [batch.column(0), pa.array([len(b or b"") for b in raw], pa.int64()), counts]
             columns.append(pa.array([n > limit for n, _ in found], pa.bool_()))

@@ -7,9 +7,11 @@ from collections import Counter
 from itertools import combinations, permutations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from ledgerlens.llm import common
 from ledgerlens.llm import hyperminhash as H
 from ledgerlens.llm.clusters import choose_pivots, cluster_vectors, nearest, pivot_distances
 from ledgerlens.llm.filter_audit import audit_documents, audit_masks, lehmer_rank, removal_intervals
@@ -243,3 +245,19 @@ def test_audit_of_other_filters(spark):
     assert len(got) == 18 and got["GFH", 1] == (6, 4, 0, 0) and got["GFH", 2] == (6, 0, 4, 0) and got["GFH", 3] == (5, 1, 0, 1)
     with pytest.raises(ValueError):
         audit_masks(counts, "BA")
+
+
+def test_a_worker_holds_the_table_of_one_operator(spark):
+    """One worker runs several operators in turn; the fingerprints drop what the others left."""
+
+    def work(batches):
+        list(batches)
+        built = []
+        for key in ("parser", "parser", "bpe", "parser"):
+            assert common.worker_table(key, lambda: built.append(key) or [key]) == [key]
+            assert list(common._worker_tables()) == [key]
+        common.drop_worker_tables()
+        yield pa.RecordBatch.from_arrays([pa.array(built), pa.array([len(common._worker_tables())] * 3)], names=["built", "left"])
+
+    got = spark.range(1).repartition(1).mapInArrow(work, "built string, left long").collect()
+    assert [tuple(r) for r in got] == [("parser", 0), ("bpe", 0), ("parser", 0)]
