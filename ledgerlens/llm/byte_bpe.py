@@ -37,12 +37,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlens.llm.common import parts, pick, worker_table
+from ledgerlens.llm.common import map_batches, parts, pick, worker_table
 from ledgerlens.llm.tables import IntTable
 
 #: Code points that are worked through at once, and slices that are cached.
 RUN_CHARS = 1_000_000
-CACHED = 200_000
+CACHED = 100_000
 _NEVER = 1 << 62
 
 # The code points that are white space in Unicode.
@@ -354,4 +354,4 @@ def encode_decode(docs: DataFrame, rank_path: str, keep_ids: bool = False) -> Da
                 )
 
     rows = pick(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), F.col("text").cast("binary"))
-    return rows.mapInArrow(work, schema)
+    return map_batches(rows, work, schema)

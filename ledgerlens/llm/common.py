@@ -63,6 +63,23 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+#: Bytes of a batch that goes to a Python worker, and Spark's setting for it.
+BATCH_BYTES = 4 << 20
+_BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def map_batches(df: DataFrame, work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
+    """``mapInArrow`` in batches of bounded bytes, unless the session has a bound of its own.
+
+    Spark's 10,000 rows of documents are tens of MB, which each task holds in the executor's native memory (twice
+    while a vector grows) and again in its Python worker.
+    """
+    spark = df.sparkSession
+    if spark.conf.get(_BATCH_SETTING, None) is None:
+        spark.conf.set(_BATCH_SETTING, str(BATCH_BYTES))
+    return df.mapInArrow(work, schema)
+
+
 def release_memory() -> None:
     """Freed memory goes back to the system, since an idle worker otherwise keeps the most that it ever used."""
     pa.default_memory_pool().release_unused()

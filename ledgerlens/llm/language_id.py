@@ -43,7 +43,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerlens.llm.byte_bpe import LETTER, code_point_classes, runs
-from ledgerlens.llm.common import parts, pick, worker_table
+from ledgerlens.llm.common import map_batches, parts, pick, worker_table
 from ledgerlens.llm.tables import IntTable
 
 #: Labelled letters per language, the longest document taken whole for them, and how many documents are drawn.
@@ -186,7 +186,7 @@ class CrossParser:
         """The number of phrases of each text in each language."""
         lengths = np.array([len(t) for t in texts], np.int64)
         order = np.argsort(-lengths, kind="stable")
-        joined = np.concatenate([*texts, np.zeros(0, np.uint8)]).astype(np.int32)
+        joined = np.concatenate([*texts, np.zeros(0, np.uint8)])
         column, is_rare = joined, None
         if self.n_symbols > self.width:
             column, is_rare = np.minimum(joined, self.width - 1), (joined > LETTERS) & (joined < self.n_symbols - 1)
@@ -265,7 +265,7 @@ def identify_language(docs: DataFrame, sample: dict[str, list[str]] | None = Non
         held_out(F.col("doc_id")).alias("held_out"),
         F.col("text").cast("binary").alias("text"),
     )
-    return rows.mapInArrow(work, "doc_id long, held_out boolean, lang_pred string, score double")
+    return map_batches(rows, work, "doc_id long, held_out boolean, lang_pred string, score double")
 
 
 def with_known_language(docs: DataFrame, sample: dict[str, list[str]] | None = None) -> DataFrame:
@@ -286,4 +286,4 @@ def with_known_language(docs: DataFrame, sample: dict[str, list[str]] | None = N
             yield named.filter(pa.array([f[2] for f in found], pa.bool_()))
 
     by_place = docs.toDF(*[f"_in{i}" for i in range(len(docs.columns))])
-    return by_place.mapInArrow(work, by_place.schema).toDF(*docs.columns)
+    return map_batches(by_place, work, by_place.schema).toDF(*docs.columns)

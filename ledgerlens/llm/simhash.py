@@ -47,7 +47,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlens.functions.joins import nullsafe_join
-from ledgerlens.llm.common import drop_worker_tables, parts, pick, row_key
+from ledgerlens.llm.common import drop_worker_tables, map_batches, parts, pick, row_key
 from ledgerlens.llm.components import connected_components
 from ledgerlens.session import materialize
 
@@ -101,7 +101,7 @@ def fingerprints(docs: DataFrame, words: int = SHINGLE_WORDS, keyed: bool = Fals
 
     more = [row_key(F.col("doc_id"), F.col("text")).alias("row_key")] if keyed else []
     rows = pick(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), F.col("text").cast("binary"), *more)
-    return rows.mapInArrow(work, "doc_id long, fingerprint long" + ", row_key binary" * keyed)
+    return map_batches(rows, work, "doc_id long, fingerprint long" + ", row_key binary" * keyed)
 
 
 def gray_rank(codes: np.ndarray) -> np.ndarray:

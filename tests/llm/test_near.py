@@ -261,3 +261,24 @@ def test_a_worker_holds_the_table_of_one_operator(spark):
 
     got = spark.range(1).repartition(1).mapInArrow(work, "built string, left long").collect()
     assert [tuple(r) for r in got] == [("parser", 0), ("bpe", 0), ("parser", 0)]
+
+
+def test_batches_to_workers_are_bounded_by_bytes(spark):
+    """Also where 10,000 rows are far more; all rows come, and a bound that the session has stays."""
+
+    def work(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows]), pa.array([batch.nbytes])], names=["n", "size"])
+
+    setting, before = common._BATCH_SETTING, spark.conf.get(common._BATCH_SETTING, None)
+    rows = spark.range(0, 3000, 1, 1).select("id", F.repeat(F.lit("some words "), 500).alias("text"))
+    try:
+        spark.conf.unset(setting)
+        got = common.map_batches(rows, work, "n long, size long").collect()
+        assert sum(r["n"] for r in got) == 3000 and max(r["size"] for r in got) < 1.1 * common.BATCH_BYTES
+        spark.conf.set(setting, "1m")
+        got = common.map_batches(rows, work, "n long, size long").collect()
+        assert sum(r["n"] for r in got) == 3000 and max(r["size"] for r in got) < 1.1 * 2**20
+        assert spark.conf.get(setting) == "1m"
+    finally:
+        spark.conf.unset(setting) if before is None else spark.conf.set(setting, before)
